@@ -66,12 +66,12 @@ def quantiles(
     if by:
         bounds = rows.groupBy(*by).agg(interval.alias("_s"))
         rows = join_small(rows, bounds, by, "inner")
-        s = F.col("_s")
     else:
-        s = rows.agg(interval.alias("_s")).scalar()
+        # One row, as a scalar subquery.
+        rows = rows.withColumn("_s", rows.agg(interval.alias("_s")).scalar())
 
     k = len(ordered)
-    b, n = s["b"], s["n"]
+    b = F.col("_s.b")
     inside = F.lit(False)
     floor_of_lump = [F.lit(float("-inf")), F.lit(float("-inf"))]
     for i, p in enumerate(ordered):
@@ -84,37 +84,26 @@ def quantiles(
     counted = (
         rows.select(
             *by,
-            *([n.alias("_n")] if by else []),
+            F.col("_s.n").alias("_n"),
             F.when(inside, v).otherwise(F.greatest(*floor_of_lump)).alias("_x"),
             (~inside).alias("_lump"),
         )
-        .groupBy(*by, *(["_n"] if by else []), "_x", "_lump")
+        .groupBy(*by, "_n", "_x", "_lump")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = W.partitionBy(*by) if by else W.partitionBy()
-    w = w.orderBy("_x", "_lump").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*by).orderBy("_x", "_lump").rowsBetween(W.unboundedPreceding, 0)
     ranked = counted.withColumn("_to", F.sum("_c").over(w))
-    total = F.col("_n") if by else n
-    picks = []
-    for name, p in probs.items():
-        low, high, weight = _low_high(total, p, rule)
-        at_low, at_high = _at_rank(low), _at_rank(high)
-        picks.append((name, at_low, at_high, weight))
-    aggs = []
-    for name, at_low, at_high, _ in picks:
-        aggs += [F.max(at_low).alias(f"_lo_{name}"), F.max(at_high).alias(f"_hi_{name}")]
-    keys = by + (["_n"] if by else [])
-    found = ranked.groupBy(*keys).agg(*aggs) if by else ranked.agg(*aggs)
-    return found.select(
-        *by,
-        *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * weight
-            ).alias(name)
-            for name, _, _, weight in picks
-        ],
-    )
+    ranks = {name: _low_high(F.col("_n"), p, rule) for name, p in probs.items()}
+    picks = [F.max("_n").alias("_n")]
+    for name, (low, high, _) in ranks.items():
+        picks += [F.max(_at_rank(low)).alias(f"_lo_{name}"), F.max(_at_rank(high)).alias(f"_hi_{name}")]
+    found = ranked.groupBy(*by).agg(*picks)
+
+    def value_of(name: str, weight: Column) -> Column:
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return (low + (high - low) * weight).alias(name)
+
+    return found.select(*by, *[value_of(name, weight) for name, (_, _, weight) in ranks.items()])
 
 
 def _at_rank(rank: Column) -> Column:

@@ -62,9 +62,12 @@ def join_small(fact: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def null_safe_div(num: Column, den: Column, scale: float = 1.0) -> Column:
-    """num / den * scale as double, 0 when den is 0."""
-    return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den * F.lit(scale))
+def bind(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Add the single row of ``one_row`` as a struct column: a scalar subquery, run once.
+
+    Referring to the column instead of the subquery keeps one copy of it in the plan.
+    """
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns).alias("s")).scalar())
 
 
 def percent(num: Column, den: Column) -> Column:

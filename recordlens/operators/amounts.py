@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.quantiles import LINEAR, NEAREST, quantile_scalar, quantiles
 from recordlens.functions.ranking import global_rank, top_per_group
-from recordlens.functions.runtime import exact_sum, percent
+from recordlens.functions.runtime import bind, exact_sum, percent
 from recordlens.functions.scalars import SIZE_LIMITS, SIZE_NAMES, execution_rate, size_tier
 
 # Quantiles of the statistics.
@@ -104,15 +104,15 @@ def top_concentration(
 ) -> DataFrame:
     """One row: entities and amount in the top list, total amount, share in percent."""
     valid = df.filter(F.col(amount) > 0)
-    threshold = quantile_scalar(valid, amount, 1 - pct / 100, rule=rule)
+    q = quantiles(valid, amount, {"threshold": 1 - pct / 100}, rule=rule)
     a = F.col(amount)
-    in_top = a >= F.col("_t")
-    return valid.select(amount, threshold.alias("_t")).agg(
+    in_top = a >= F.col("_q.threshold")
+    return bind(valid.select(amount), q, "_q").agg(
         F.count(F.lit(1)).alias("entities"),
         F.count_if(in_top).alias("top_entities"),
         exact_sum(F.when(in_top, a)).cast("double").alias("top_amount"),
         exact_sum(a).cast("double").alias("total_amount"),
-        F.max("_t").alias("threshold"),
+        F.max("_q.threshold").alias("threshold"),
     ).withColumn("share_pct", percent(F.col("top_amount"), F.col("total_amount")))
 
 
@@ -121,7 +121,6 @@ def amount_stats(df: DataFrame, amount: str, executed: str | None = None) -> Dat
     a = F.col(amount)
     valid = df.filter(a > 0)
     q = quantiles(valid, amount, AMOUNT_PERCENTILES)
-    s = q.select(F.struct(*q.columns).alias("s")).scalar()
     aggs = [
         F.count(F.lit(1)).alias("with_amount"),
         (exact_sum(a).cast("double") / F.count(F.lit(1))).alias("mean"),
@@ -130,7 +129,7 @@ def amount_stats(df: DataFrame, amount: str, executed: str | None = None) -> Dat
         F.max(a).alias("max"),
         exact_sum(a).cast("double").alias("total"),
     ]
-    extra = [s[c].alias(c) for c in q.columns]
+    extra = ["_q.*"]
     if executed:
         rate = execution_rate(F.col(executed), a)
         rates = valid.select(rate.alias("r")).filter(F.col("r") > 0)
@@ -139,10 +138,9 @@ def amount_stats(df: DataFrame, amount: str, executed: str | None = None) -> Dat
             F.count_if(rate > 0).alias("with_execution"),
         ]
         extra.append(quantile_scalar(rates, "r", 0.5).alias("median_rate"))
-    every = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return valid.agg(*aggs).select(
-        every.alias("entities"), percent(F.col("with_amount"), every).alias("coverage_pct"), "*", *extra
-    )
+    every = df.agg(F.count(F.lit(1)).alias("entities"))
+    out = bind(bind(valid.agg(*aggs), q, "_q"), every, "_e").select("_e.*", "*", *extra).drop("_q", "_e")
+    return out.withColumn("coverage_pct", percent(F.col("with_amount"), F.col("entities")))
 
 
 def skew_flag(stats: DataFrame) -> DataFrame:
@@ -204,18 +202,18 @@ def trimmed_amount_stats(
     """Statistics after dropping the tails: above p99, and with ``low`` also below p1."""
     bounds = {"hi": high} if low is None else {"lo": low, "hi": high}
     q = quantiles(df, amount, bounds)
-    s = q.select(F.struct(*q.columns).alias("s")).scalar()
-    a = F.col(amount)
-    kept = df.filter(a <= s["hi"]) if low is None else df.filter((a >= s["lo"]) & (a <= s["hi"]))
+    a, hi = F.col(amount), F.col("_q.hi")
+    inside = a <= hi if low is None else (a >= F.col("_q.lo")) & (a <= hi)
+    kept = bind(df.select(amount), q, "_q").filter(inside).select(amount)
     inner = quantiles(kept, amount, {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9, "q95": 0.95})
-    t = inner.select(F.struct(*inner.columns).alias("s")).scalar()
-    return kept.agg(
+    moments = kept.agg(
         F.count(F.lit(1)).alias("n"),
         (exact_sum(a).cast("double") / F.count(F.lit(1))).alias("mean"),
         F.stddev_pop(a).alias("std"),
         F.min(a).alias("min"),
         F.max(a).alias("max"),
-    ).select("*", *[t[c].alias(c) for c in inner.columns])
+    )
+    return bind(moments, inner, "_q").select("*", "_q.*").drop("_q")
 
 
 def size_tiers(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.quantiles import quantile_scalar, quantiles
 from recordlens.functions.ranking import top_per_group
-from recordlens.functions.runtime import percent
+from recordlens.functions.runtime import bind, percent
 from recordlens.functions.scalars import coerce_number
 from recordlens.operators.describe import top_k_entities, total_rows
 
@@ -28,16 +28,17 @@ def cohort_summary(
     df: DataFrame, measure: str, p: float = DENSE, flags: Sequence[str] = ()
 ) -> DataFrame:
     """One row: threshold, size, percent of all, mean, maximum, percent per flag."""
-    threshold = quantile_scalar(df, measure, p)
-    members = df.filter(F.col(measure) >= threshold)
+    marked = bind(df, quantiles(df, measure, {"threshold": p}), "_q")
+    members = marked.filter(F.col(measure) >= F.col("_q.threshold"))
     n = F.count(F.lit(1))
     return members.agg(
+        F.max("_q.threshold").alias("threshold"),
         n.alias("n"),
         percent(n, total_rows(df)).alias("pct"),
         F.avg(measure).alias("mean"),
         F.max(measure).alias("max"),
         *[percent(F.count_if(coerce_number(F.col(f), 0.0) > 0), n).alias(f"{f}_pct") for f in flags],
-    ).select(threshold.alias("threshold"), "*")
+    )
 
 
 def cohort_profile(
@@ -77,13 +78,10 @@ def complexity_score(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 def with_tier(scored: DataFrame) -> DataFrame:
     """Tier by the quartiles and the 90th percentile of the score; a limit belongs below."""
     q = quantiles(scored, "score", {"q25": 0.25, "q75": 0.75, "q90": 0.9})
-    s = q.select(F.struct(*q.columns).alias("s")).scalar()
-    c = F.col("score")
-    return scored.withColumn(
-        "tier",
-        F.when(c <= s["q25"], TIERS[0]).when(c <= s["q75"], TIERS[1])
-        .when(c <= s["q90"], TIERS[2]).otherwise(TIERS[3]),
-    )
+    c, s = F.col("score"), F.col("_q")
+    named = F.when(c <= s["q25"], TIERS[0]).when(c <= s["q75"], TIERS[1])
+    named = named.when(c <= s["q90"], TIERS[2]).otherwise(TIERS[3])
+    return bind(scored, q, "_q").withColumn("tier", named).drop("_q")
 
 
 def complexity_tiers(tiered: DataFrame, total: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.quantiles import LINEAR, NEAREST, quantile_scalar, quantiles
 from recordlens.functions.ranking import top_per_group
-from recordlens.functions.runtime import exact_sum, join_small, percent
+from recordlens.functions.runtime import bind, exact_sum, join_small, percent
 from recordlens.functions.scalars import coerce_number, decade_bucket, share_band, tier
 from recordlens.operators.profile import per_column, union_all
 
@@ -270,13 +270,13 @@ def related_distribution(df: DataFrame, total: str) -> DataFrame:
     q = quantiles(
         df, total, {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
     )
-    row = q.select(F.struct(*q.columns).alias("s")).scalar()
-    return df.agg(
+    moments = df.agg(
         F.avg(total).alias("mean"),
         F.stddev_samp(total).alias("std"),
         F.min(total).alias("min"),
         F.max(total).alias("max"),
-    ).select("*", *[row[c].alias(c) for c in q.columns])
+    )
+    return bind(moments, q, "_q").select("*", "_q.*").drop("_q")
 
 
 def highest_lowest(density: DataFrame, measures: Sequence[str], name: str = "child") -> DataFrame:
@@ -354,7 +354,7 @@ def specialization_index(
 ) -> DataFrame:
     """Group mean over overall mean per child table, for the ``k`` largest groups."""
     means = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(count_cols)]
-    overall = df.agg(F.struct(*means).alias("o")).scalar()
+    overall = df.agg(*[F.avg(c).alias(c) for c in count_cols])
     per_group = (
         df.filter(F.col(group).isNotNull())
         .groupBy(group)
@@ -369,12 +369,12 @@ def specialization_index(
         .filter(F.col("n") >= minimum)
     )
     index = {
-        f"_s{i}": F.when(overall[f"_m{i}"] > 0, F.col(f"_m{i}") / overall[f"_m{i}"]).otherwise(0.0)
-        for i in range(len(count_cols))
+        f"_s{i}": F.when(F.col(f"_o.{c}") > 0, F.col(f"_m{i}") / F.col(f"_o.{c}")).otherwise(0.0)
+        for i, c in enumerate(count_cols)
     }
     rows = ", ".join(f"'{c.removesuffix('_count')}', _s{i}" for i, c in enumerate(count_cols))
     return (
-        per_group.withColumns(index)
+        bind(per_group, overall, "_o").withColumns(index)
         .select(
             group, "n", "mean_total", "std_total",
             F.expr(f"stack({len(count_cols)}, {rows}) as (child, specialization)"),
@@ -493,11 +493,13 @@ def top_k_entities(df: DataFrame, by: str, key: str, columns: Sequence[str], k:
 def quantile_outliers(df: DataFrame, total: str) -> DataFrame:
     """Thresholds and sizes of the upper 5% and 1%."""
     q = quantiles(df, total, {"p95": 0.95, "p99": 0.99})
-    s = q.select(F.struct("p95", "p99").alias("s")).scalar()
-    return df.agg(
-        F.count_if(F.col(total) >= s["p95"]).alias("high_count"),
-        F.count_if(F.col(total) >= s["p99"]).alias("ultra_count"),
-    ).select("*", s["p95"].alias("p95"), s["p99"].alias("p99"))
+    marked = bind(df.select(total), q, "_q")
+    return marked.agg(
+        F.count_if(F.col(total) >= F.col("_q.p95")).alias("high_count"),
+        F.count_if(F.col(total) >= F.col("_q.p99")).alias("ultra_count"),
+        F.max("_q.p95").alias("p95"),
+        F.max("_q.p99").alias("p99"),
+    )
 
 
 def outlier_entities(

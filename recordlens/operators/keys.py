@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.functions.runtime import percent
+from recordlens.functions.runtime import bind, percent
 from recordlens.operators.profile import union_all
 
 # Limits of the classification.
@@ -92,15 +92,13 @@ def relationship_class(
     )
     candidate = (F.col("category") == base_category) & (F.col("relationship") == "1:1")
     overall = joined.agg(
-        F.struct(
-            F.min(F.when(candidate, F.col("table_name"))).alias("master"),
-            F.when(F.bool_or(F.col("coverage_pct") < RISK_COVERAGE), "medium").otherwise("low").alias("risk"),
-        ).alias("o")
-    ).scalar()
-    return joined.select(
-        "*",
-        F.coalesce(F.col("table_name") == overall["master"], F.lit(False)).alias("is_master"),
-        overall["risk"].alias("risk_level"),
+        F.min(F.when(candidate, F.col("table_name"))).alias("master"),
+        F.when(F.bool_or(F.col("coverage_pct") < RISK_COVERAGE), "medium").otherwise("low").alias("risk"),
+    )
+    return bind(joined, overall, "_o").select(
+        *joined.columns,
+        F.coalesce(F.col("table_name") == F.col("_o.master"), F.lit(False)).alias("is_master"),
+        F.col("_o.risk").alias("risk_level"),
     )
 
 

@@ -281,16 +281,16 @@ _LINE_COLUMNS = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_li
 _WIDE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus"
 
 
-def _wide_sql() -> str:
+def _wide_sql(order: str = "pos") -> str:
     parts = []
     for c in _LINE_COLUMNS:
         parts.append(
             f"""w_{c} AS (
-      SELECT l_orderkey, string_agg(v, ' | ' ORDER BY pos) AS v FROM (
+      SELECT l_orderkey, string_agg(v, ' | ' ORDER BY {order}) AS v FROM (
         SELECT l_orderkey, CAST({c} AS INTEGER)::VARCHAR AS v, min(pos) AS pos FROM p GROUP BY 1, 2) GROUP BY 1)"""
             if c not in ("l_returnflag", "l_linestatus")
             else f"""w_{c} AS (
-      SELECT l_orderkey, string_agg(v, ' | ' ORDER BY pos) AS v FROM (
+      SELECT l_orderkey, string_agg(v, ' | ' ORDER BY {order}) AS v FROM (
         SELECT l_orderkey, {c} AS v, min(pos) AS pos FROM p GROUP BY 1, 2) GROUP BY 1)"""
         )
     joins = " ".join(f"LEFT JOIN w_{c} ON w_{c}.l_orderkey = o_orderkey" for c in _LINE_COLUMNS)
@@ -313,35 +313,40 @@ def wide_extract(t: Tables) -> DataFrame:
     return N.wide_extract(_wide_tables(t), "entity_id", _urgent(t))
 
 
-def wide_from_parts(t: Tables, limit: int) -> DataFrame:
-    """Wide extract with what was split put together again."""
-    tables, ids = _wide_tables(t), _urgent(t)
+@query("wide_extract_split", _wide_sql("v") + "SELECT * FROM wide")
+def wide_extract_split(t: Tables) -> DataFrame:
+    """The same values when entities of more than 8 rows go the way of large ones.
+
+    A column with more than 8 distinct values then comes in parts. Values are sorted for
+    the comparison, as parts are divided by hash.
+    """
+    tables, ids, limit = _wide_tables(t), _urgent(t), 8
     wide = N.wide_extract(tables, "entity_id", ids, limit=limit)
+    values = F.flatten(F.collect_list(F.split("values", r" \| ")))
     for table in tables:
         parts = N.wide_overflow(table, "entity_id", ids, limit)
-        whole = parts.groupBy("entity_id").pivot("column", table.columns).agg(
-            F.array_join(F.flatten(F.collect_list(F.split("values", r" \| "))), " | ")
+        whole = (
+            parts.groupBy("entity_id").pivot("column", table.columns)
+            .agg(F.array_join(values, " | "))
+            .withColumnsRenamed({c: f"_{c}" for c in table.columns})
         )
-        renamed = whole.withColumnsRenamed({c: f"_{c}" for c in table.columns})
-        wide = wide.join(renamed, "entity_id", "left").withColumns(
+        wide = wide.join(whole, "entity_id", "left").withColumns(
             {
-                f"{table.name}_{c}": F.coalesce(f"_{c}", f"{table.name}_{c}")
+                f"{table.name}_{c}": F.array_join(
+                    F.array_sort(
+                        F.split(
+                            F.when(F.length(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(f"{table.name}_{c}")),
+                            r" \| ",
+                        )
+                    ),
+                    " | ",
+                )
                 for c in table.columns
             }
         ).drop(*[f"_{c}" for c in table.columns])
     return wide
 
 
-@query("wide_extract_split", _wide_sql() + "SELECT * FROM wide")
-def wide_extract_split(t: Tables) -> DataFrame:
-    """The same rows when entities of more than 8 rows go the way of large ones.
-
-    A column with more than 8 distinct values is split; its parts, ordered by place, are
-    joined again here, which small entities allow.
-    """
-    return wide_from_parts(t, 8)
-
-
 @query(
     "audit_wide_extract",
     _wide_sql() + """
