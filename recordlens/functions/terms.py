@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -62,8 +62,13 @@ SEARCH_FIELDS = {
 KEY_ALIASES = ("予算事業ID", "予算事業コード", "事業ID")
 # ---------------------------------------------------------------------------
 
-_META = re.compile(r"[\\^$.|?*+()\[\]{}]")
-_WORD = re.compile(r"\\b([^\\^$.|?*+()\[\]{}]+)\\b")
+# Optional runs at either end of a pattern: they do not change whether it occurs.
+_OPTIONAL = re.compile(r"^\[[^\]]*\]\*|\[[^\]]*\]\*$")
+# A plain text, with escaped full stops, perhaps between word boundaries.
+_PLAIN = re.compile(r"(\\b)?((?:[^\\^$.|?*+()\[\]{}]|\\\.)+?)(\\b)?")
+# Characters beyond the Latin blocks.
+_BEYOND_LATIN = r"[^\x00-\x{24F}]"
+_LAST_LATIN = 0x24F
 
 
 def key_column(columns: list[str], aliases: tuple[str, ...] = KEY_ALIASES) -> str | None:
@@ -78,21 +83,34 @@ def java_pattern(pattern: str) -> str:
 
 def fold(text: Column) -> Column:
     """Lower case, with the letters that case folding maps onto i, s and k."""
-    return F.lower(F.translate(text, "İıſK", "iisk"))
+    letters = "İıſK"
+    special = F.lit(False)
+    for c in letters:
+        special = special | text.contains(c)
+    return F.lower(F.when(special, F.translate(text, letters, "iisk")).otherwise(text))
 
 
-def occurs(text: Column, folded: Column, pattern: str) -> Column:
-    """Whether a pattern occurs in a text, ignoring case.
+def with_folded(cells: DataFrame) -> DataFrame:
+    """Add what :func:`occurs` tests: the folded text, and whether it leaves the Latin blocks."""
+    return cells.withColumn("_folded", fold(F.col("text"))).withColumn(
+        "_beyond", F.col("_folded").rlike(_BEYOND_LATIN)
+    )
 
-    Plain terms are a substring test on the folded text. A plain term between word
-    boundaries uses the same test to spare most texts the regular expression.
-    """
-    if not _META.search(pattern):
-        return folded.contains(_fold_term(pattern))
-    found = text.rlike(java_pattern(pattern))
-    word = _WORD.fullmatch(pattern)
-    return folded.contains(_fold_term(word.group(1))) & found if word else found
 
+def occurs(pattern: str) -> Column:
+    """Whether a pattern occurs in ``text``, ignoring case.
 
-def _fold_term(term: str) -> str:
-    return term.lower()
+    Plain terms are a substring test on the folded text, which a term beyond the Latin
+    blocks takes only where the text has such characters. Between word boundaries the
+    same test spares most texts the regular expression.
+    """
+    text, folded = F.col("text"), F.col("_folded")
+    plain = _PLAIN.fullmatch(_OPTIONAL.sub("", pattern))
+    if plain is None:
+        return text.rlike(java_pattern(pattern))
+    before, term, after = plain.groups()
+    term = term.replace("\\.", ".").lower()
+    found = folded.contains(term)
+    if any(ord(c) > _LAST_LATIN for c in term):
+        found = F.col("_beyond") & found
+    return found & text.rlike(java_pattern(pattern)) if before or after else found

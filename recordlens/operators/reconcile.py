@@ -150,10 +150,10 @@ def _char_tokens(df: DataFrame, name: str) -> DataFrame:
         F.col("_ch") != ""
     )
     counted = chars.groupBy(*df.columns, "_ch").agg(F.count(F.lit(1)).alias("_m"))
-    return counted.select(
-        *df.columns,
-        F.concat_ws("\u0001", "_ch", F.explode(F.sequence(F.lit(1), F.col("_m")))).alias("token"),
+    copies = F.transform(
+        F.sequence(F.lit(1).cast("long"), F.col("_m")), lambda k: F.concat_ws(" ", "_ch", k.cast("string"))
     )
+    return counted.select(*df.columns, F.explode(copies).alias("token"))
 
 
 def _prefix_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlens.functions.ranking import assign_chunks, top_per_group
-from recordlens.functions.runtime import percent
+from recordlens.functions.runtime import percent, spread_few_files
 from recordlens.functions.scalars import clip_text
 from recordlens.functions.terms import (
-    EXACT_PATTERNS, EXACT_TEXTS, fold, java_pattern, occurs,
+    EXACT_PATTERNS, EXACT_TEXTS, fold, java_pattern, occurs, with_folded,
 )
 
 Families = Mapping[str, Sequence[str]]
@@ -24,6 +24,7 @@ CELL = ("entity_id", "table_name", "field", "row_pos")
 SNIPPET = 300
 EXAMPLE = 200
 DETAIL_LIMIT = 100_000
+_MASK_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
         fields = [f for f in t.fields if f in t.df.columns]
         if not fields:
             continue
+        rows = spread_few_files(t.df)
         pos = F.col(t.row_pos) if t.row_pos else F.lit(0)
         ids = [
             F.col(t.key).cast("long").alias("entity_id"),
@@ -54,10 +56,11 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
             pos.cast("long").alias("row_pos"),
         ]
         if len(fields) == 1:
-            cells = t.df.select(*ids, F.lit(fields[0]).alias("field"), F.col(fields[0]).alias("text"))
+            cells = rows.select(*ids, F.lit(fields[0]).alias("field"), F.col(fields[0]).alias("text"))
         else:
-            wide = t.df.select(*ids, *[F.col(f).cast("string").alias(f) for f in fields])
-            cells = wide.unpivot(["entity_id", "table_name", "row_pos"], fields, "field", "text")
+            # An array of the fields, exploded: stays in generated code, unlike unpivot here.
+            pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
+            cells = rows.select(*ids, F.inline(F.array(*pairs)))
         cells = cells.select(*CELL, "text").filter(
             F.col("entity_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
         )
@@ -69,21 +72,30 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
 
 def search_terms(cells: DataFrame, families: Families) -> DataFrame:
     """One row per cell and term that occurs in it, all families in one scan."""
-    folded = cells.withColumn("_folded", fold(F.col("text")))
-    marks = [
-        F.when(
-            occurs(F.col("text"), F.col("_folded"), term),
-            F.lit(f"{family}\u0001{term}"),
+    pairs = [(family, term) for family, terms in families.items() for term in terms]
+    folded = with_folded(cells)
+    masks = {}
+    for w in range(0, len(pairs), _MASK_BITS):
+        mask = F.lit(0).cast("long")
+        for bit, (_, term) in enumerate(pairs[w : w + _MASK_BITS]):
+            found = occurs(term)
+            mask = mask.bitwiseOR(F.when(found, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        masks[f"_m{w}"] = mask
+    # One bit per term. A filter on the bits would be pushed below them and compute them
+    # twice; a cell without hits has no array element and so gives no row.
+    marked = folded.select(*CELL, "text", *[m.alias(name) for name, m in masks.items()])
+    hit_arrays = []
+    for w in range(0, len(pairs), _MASK_BITS):
+        all_terms = F.array(
+            *[F.struct(F.lit(f).alias("family"), F.lit(t).alias("term")) for f, t in pairs[w : w + _MASK_BITS]]
         )
-        for family, terms in families.items()
-        for term in terms
-    ]
-    # Skips what does not occur; expressions stay in generated code.
-    found = folded.withColumn("_found", F.concat_ws("\u0002", *marks)).filter(F.col("_found") != "")
-    hit = F.split("_hit", "\u0001")
-    return found.select(
-        *CELL, "text", F.explode(F.split("_found", "\u0002")).alias("_hit")
-    ).select(*CELL, "text", hit[0].alias("family"), hit[1].alias("term"))
+        bits = F.col(f"_m{w}")
+        hit_arrays.append(F.when(bits != 0, F.filter(all_terms, _bit_is_set(bits))).otherwise(F.array_repeat(all_terms[0], 0)))
+    return marked.select(*CELL, "text", F.inline(F.concat(*hit_arrays)))
+
+
+def _bit_is_set(mask: Column):
+    return lambda _, i: F.getbit(mask, i) == 1
 
 
 def record_counts(tables: Sequence[SearchTable]) -> DataFrame:
@@ -180,10 +192,10 @@ def search_occurrences(cells: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
     Only texts that some pattern matches reach the Python worker.
     """
-    folded = cells.withColumn("_folded", fold(F.col("text")))
+    folded = with_folded(cells)
     any_match = F.lit(False)
     for p in patterns:
-        any_match = any_match | occurs(F.col("text"), F.col("_folded"), p)
+        any_match = any_match | occurs(p)
     return (
         folded.filter(any_match)
         .select(*CELL, clip_text(F.col("text"), SNIPPET).alias("snippet"),
@@ -203,12 +215,12 @@ def occurrence_rollup(occurrences: DataFrame) -> DataFrame:
 
 def _family_flags(cells: DataFrame, families: Families) -> DataFrame:
     """Cells with one boolean per family."""
-    folded = cells.withColumn("_folded", fold(F.col("text")))
+    folded = with_folded(cells)
     flags = {}
     for name, patterns in families.items():
         hit = F.lit(False)
         for p in patterns:
-            hit = hit | occurs(F.col("text"), F.col("_folded"), p)
+            hit = hit | occurs(p)
         flags[f"in_{name}"] = hit
     return folded.withColumns(flags)
 
@@ -310,11 +322,7 @@ def strict_matches(cells: DataFrame) -> DataFrame:
     arrays = F.flatten(
         F.array(
             *[
-                F.transform(
-                    _exact_hits(p),
-                    lambda x, n=i: F.struct(F.lit(n).alias("pattern_no"), x.alias("matched_text")),
-                )
-                for i, p in enumerate(EXACT_PATTERNS)
+                F.transform(_exact_hits(p), _numbered(i)) for i, p in enumerate(EXACT_PATTERNS)
             ]
         )
     )
@@ -323,6 +331,10 @@ def strict_matches(cells: DataFrame) -> DataFrame:
     ).select(*CELL, "hit_no", "_hit.*")
 
 
+def _numbered(pattern_no: int):
+    return lambda x: F.struct(F.lit(pattern_no).alias("pattern_no"), x.alias("matched_text"))
+
+
 def strict_match_counts(cells: DataFrame) -> DataFrame:
     """Matches per strict pattern, and matches that no earlier pattern already gave.
 

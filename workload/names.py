@@ -1 +1,107 @@
-"""stub"""
+"""Name reconciliation: official names made from part names, types and brands."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recordlens.operators import reconcile as M
+from recordlens.operators.profile import union_all
+from workload.registry import Tables, query
+
+
+def officials(t: Tables) -> DataFrame:
+    """Names as they are, with a type added, with a letter lost, and types alone."""
+    name = F.col("p_name")
+    lists = [
+        t.part.select(name.alias("n")),
+        t.part.select(F.concat(name, F.lit(" ("), "p_type", F.lit(")")).alias("n")),
+        t.part.select(F.concat(F.substring(name, 1, 3), F.expr("substring(p_name, 5)"), F.lit(" ")).alias("n")),
+        t.part.select(F.col("p_type").alias("n")),
+    ]
+    return M.distinct_names(union_all(lists), "n")
+
+
+_OFFICIALS = """
+WITH of AS (
+  SELECT trim(n) AS name, count(*) AS copies FROM (
+    SELECT p_name AS n FROM part UNION ALL SELECT p_name || ' (' || p_type || ')' FROM part
+    UNION ALL SELECT substring(p_name, 1, 3) || substring(p_name, 5) || ' ' FROM part
+    UNION ALL SELECT p_type FROM part) GROUP BY 1),
+ca AS (SELECT trim(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY 1)
+"""
+
+
+def candidates(t: Tables) -> DataFrame:
+    return M.distinct_names(t.part, "p_name", "p_partkey")
+
+
+def sources(t: Tables) -> dict[str, DataFrame]:
+    return {
+        "in_lines": t.lineitem.select("l_partkey"),
+        "in_large": t.part.filter(F.col("p_size") > 25).select("p_partkey"),
+    }
+
+
+@query(
+    "exact_name_match",
+    _OFFICIALS + "SELECT name AS official_name, id AS candidate_id FROM of JOIN ca USING (name)",
+)
+def exact_name_match(t: Tables) -> DataFrame:
+    return M.exact_name_match(officials(t), candidates(t))
+
+
+@query(
+    "membership_flags",
+    _OFFICIALS + """
+    SELECT name, id, id IN (SELECT l_partkey FROM lineitem) AS in_lines,
+           id IN (SELECT p_partkey FROM part WHERE p_size > 25) AS in_large FROM ca
+    """,
+)
+def membership_flags(t: Tables) -> DataFrame:
+    return M.membership_flags(candidates(t), "id", sources(t))
+
+
+@query(
+    "merge_name_sources",
+    """
+    SELECT coalesce(p.id, s.id) AS id, coalesce(s.name, p.name) AS name
+    FROM (SELECT p_partkey AS id, p_name AS name FROM part) p
+    FULL JOIN (SELECT s_suppkey * 30 AS id, s_name AS name FROM supplier) s ON p.id = s.id
+    """,
+)
+def merge_name_sources(t: Tables) -> DataFrame:
+    first = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    second = t.supplier.select((F.col("s_suppkey") * 30).alias("id"), F.col("s_name").alias("name"))
+    return M.merge_name_sources(first, second)
+
+
+def unmatched(t: Tables) -> DataFrame:
+    return officials(t).join(candidates(t).select("name"), "name", "left_anti")
+
+
+@query("fuzzy_best_match")
+def fuzzy_best_match(t: Tables) -> DataFrame:
+    """Best partner of every name without an equal one; checked by brute force in the tests."""
+    return M.fuzzy_best_match(unmatched(t), candidates(t)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("fuzzy_blocked")
+def fuzzy_blocked(t: Tables) -> DataFrame:
+    """The same by blocking, as for two long lists."""
+    return M._scored_blocks(unmatched(t), candidates(t), M.THRESHOLD).withColumn(
+        "similarity", F.round("similarity", 6)
+    )
+
+
+@query("reconcile_names")
+def reconcile_names(t: Tables) -> DataFrame:
+    """Exact, fuzzy or none per official name, with membership flags."""
+    return M.reconcile_names(officials(t), candidates(t), sources(t)).withColumn(
+        "similarity", F.round("similarity", 6)
+    )
+
+
+@query("reconcile_stats")
+def reconcile_stats(t: Tables) -> DataFrame:
+    return M.reconcile_stats(M.reconcile_names(officials(t), candidates(t), sources(t)), ["in_lines", "in_large"])
