@@ -69,7 +69,7 @@ def concentration_ratio(df: DataFrame, group: str, ks: Sequence[int] = (3, 5)) -
     counts = group_counts(df, group)
     largest = counts.orderBy(F.desc("n"), group).limit(max(ks))
     sizes = largest.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), group))).alias("a")
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), group))).alias("a")
     )
     total = total_rows(df)
 

@@ -106,7 +106,7 @@ def missing_ids(all_ids: DataFrame, ids: DataFrame, key: str, samples: int = 5)
     """One row: how many ids of ``all_ids`` are absent from ``ids``, and the smallest ones."""
     absent = diff_ids(all_ids, ids, key)
     first = absent.orderBy(key).limit(samples).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col(key))), ", ").alias("s")
+        F.array_join(F.sort_array(F.collect_list(F.col(key))), ", ").alias("s")
     )
     return absent.agg(F.count(F.lit(1)).alias("missing_count")).select(
         "missing_count", first.scalar().alias("sample_ids")

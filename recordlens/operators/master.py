@@ -78,7 +78,7 @@ def _ordered_array(order: Sequence[str], fields: Sequence[str]) -> Column:
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("o"),
         F.struct(*fields).alias("r"),
     )
-    return F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["r"])
+    return F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["r"])
 
 
 def nest_children(df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT) -> DataFrame:

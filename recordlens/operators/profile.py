@@ -82,7 +82,7 @@ def profile_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     )
     top = top_per_group(counts.filter(known), ["column"], [F.desc("n"), F.col("value")], TOP_VALUES, "r")
     shown = top.groupBy("column").agg(
-        F.array_sort(F.collect_list(F.struct("r", "value", "n"))).alias("_top")
+        F.sort_array(F.collect_list(F.struct("r", "value", "n"))).alias("_top")
     )
     joined = F.array_join(
         F.transform("_top", lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), ", "

@@ -119,8 +119,8 @@ def search_rollup_table(hits: DataFrame, counts: DataFrame | None = None) -> Dat
     first = F.struct("row_pos", "field")
     out = hits.groupBy("family", "entity_id", "table_name").agg(
         F.count(F.lit(1)).alias("total_matches"),
-        F.array_sort(F.collect_set("field")).alias("matched_fields"),
-        F.array_sort(F.collect_set("term")).alias("terms"),
+        F.sort_array(F.collect_set("field")).alias("matched_fields"),
+        F.sort_array(F.collect_set("term")).alias("terms"),
         F.min_by(clip_text(F.col("text"), SNIPPET), first).alias("example"),
     )
     if counts is not None:
@@ -135,10 +135,10 @@ def search_rollup_entity(per_table: DataFrame) -> DataFrame:
     """
     detail = F.struct("table_name", "total_matches", "matched_fields", "terms")
     return per_table.groupBy("family", "entity_id").agg(
-        F.array_sort(F.collect_set("table_name")).alias("tables_found"),
+        F.sort_array(F.collect_set("table_name")).alias("tables_found"),
         F.sum("total_matches").alias("total_matches"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"),
-        F.array_sort(F.collect_list(detail)).alias("details"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"),
+        F.sort_array(F.collect_list(detail)).alias("details"),
     )
 
 
@@ -374,7 +374,7 @@ def match_detail(
     place = F.struct(rank, "row_pos", "field", "hit_no")
     line = F.concat(F.col("table_name"), F.lit("."), F.col("field"), F.lit(": "), F.col("matched_text"))
     spread = ["table_name", "row_pos", "field", "hit_no"]
-    ordered = F.array_sort(F.collect_list(F.struct(place.alias("o"), line.alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(place.alias("o"), line.alias("t"))))
     return (
         assign_chunks(matches, ["entity_id"], spread, limit)
         .groupBy("entity_id", "chunk")

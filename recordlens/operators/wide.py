@@ -60,7 +60,7 @@ def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -
     rows = _as_text(t, key, ids)
     regular = rows.join(F.broadcast(large_keys(rows, key, limit)), key, "left_anti")
     gathered = regular.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_o", *t.columns))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct("_o", *t.columns))).alias("_rows")
     )
     small = gathered.select(key, *[_distinct_joined(c).alias(c) for c in t.columns])
     large = (
@@ -84,7 +84,7 @@ def _large_parts(rows: DataFrame, columns: list[str], key: str, limit: int) -> D
         .groupBy(key, "column", "value")
         .agg(F.min("_o").alias("_first"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_first", "value")))
+    ordered = F.sort_array(F.collect_list(F.struct("_first", "value")))
     return (
         assign_chunks(distinct, [key, "column"], ["value"], limit)
         .groupBy(key, "column", "chunk", "chunks")

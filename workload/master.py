@@ -333,7 +333,7 @@ def wide_extract_split(t: Tables) -> DataFrame:
         wide = wide.join(whole, "entity_id", "left").withColumns(
             {
                 f"{table.name}_{c}": F.array_join(
-                    F.array_sort(
+                    F.sort_array(
                         F.split(
                             F.when(F.length(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(f"{table.name}_{c}")),
                             r" \| ",
