@@ -86,5 +86,10 @@ def percent(num: Column, den: Column) -> Column:
 
 
 def exact_sum(col: Column, scale: int = 2) -> Column:
-    """Sum that does not depend on the order of additions."""
-    return F.sum(col.cast(f"decimal(18,{scale})"))
+    """Decimal sum of doubles with ``scale`` places, which does not depend on the order.
+
+    The scaled value passes through a whole number: a direct cast of a double to decimal
+    goes over its text.
+    """
+    whole = F.rint(col.cast("double") * F.lit(float(10**scale))).cast("long").cast("decimal(18,0)")
+    return F.sum(whole) / F.lit(10**scale).cast("decimal(18,0)")

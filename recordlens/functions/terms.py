@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,26 +92,37 @@ def fold(text: Column) -> Column:
 
 
 def with_folded(cells: DataFrame) -> DataFrame:
-    """Add what :func:`occurs` tests: the folded text, and whether it leaves the Latin blocks."""
+    """Add what :func:`occurs_sql` tests: the folded text, and whether it leaves the Latin blocks."""
     return cells.withColumn("_folded", fold(F.col("text"))).withColumn(
         "_beyond", F.col("_folded").rlike(_BEYOND_LATIN)
     )
 
 
-def occurs(pattern: str) -> Column:
-    """Whether a pattern occurs in ``text``, ignoring case.
+def sql_text(value: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurs_sql(pattern: str) -> str:
+    """SQL test whether a pattern occurs in ``text``, ignoring case.
 
     Plain terms are a substring test on the folded text, which a term beyond the Latin
     blocks takes only where the text has such characters. Between word boundaries the
-    same test spares most texts the regular expression.
+    same test spares most texts the regular expression. Given as SQL, because a column
+    object per step makes long term lists slow to build.
     """
-    text, folded = F.col("text"), F.col("_folded")
+    regex = f"rlike(text, {sql_text(java_pattern(pattern))})"
     plain = _PLAIN.fullmatch(_OPTIONAL.sub("", pattern))
     if plain is None:
-        return text.rlike(java_pattern(pattern))
+        return regex
     before, term, after = plain.groups()
     term = term.replace("\\.", ".").lower()
-    found = folded.contains(term)
+    found = f"contains(_folded, {sql_text(term)})"
     if any(ord(c) > _LAST_LATIN for c in term):
-        found = F.col("_beyond") & found
-    return found & text.rlike(java_pattern(pattern)) if before or after else found
+        found = f"_beyond AND {found}"
+    return f"({found} AND {regex})" if before or after else f"({found})"
+
+
+def any_occurs(patterns: Sequence[str]) -> Column:
+    """Whether some pattern occurs in ``text``."""
+    return F.expr(" OR ".join(occurs_sql(p) for p in patterns) or "false")

@@ -74,6 +74,10 @@ def _records(df: DataFrame, key: str, drop: Sequence[str]) -> tuple[DataFrame, l
 
 def _ordered_array(order: Sequence[str], fields: Sequence[str]) -> Column:
     """All rows of a group as an array of structs in ``order``."""
+    if set(order) <= set(fields):
+        # Order columns first, so that the records sort by themselves.
+        rest = [c for c in fields if c not in order]
+        return F.sort_array(F.collect_list(F.struct(*order, *rest)))
     pair = F.struct(
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("o"),
         F.struct(*fields).alias("r"),
@@ -89,8 +93,10 @@ def nest_children(df: DataFrame, key: str, child: Child, limit: int = RECORD_LIM
     """
     rows, fields = _records(df, key, child.drop)
     regular = rows.join(F.broadcast(large_keys(rows, key, limit)), key, "left_anti")
+    # Rows are shuffled as they are: lists built before the shuffle would not be smaller.
     return (
-        regular.groupBy(key)
+        regular.repartition(key)
+        .groupBy(key)
         .agg(_ordered_array(child.order, fields).alias("records"))
         .withColumn("record_count", F.size("records").cast("long"))
     )
@@ -103,6 +109,7 @@ def nest_chunks(df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT
     spread = list(dict.fromkeys([*child.order, *fields]))
     return (
         assign_chunks(large, [key], spread, limit)
+        .repartition(key, "chunk", "chunks")
         .groupBy(key, "chunk", "chunks")
         .agg(_ordered_array(child.order, fields).alias("records"))
         .withColumn("record_count", F.size("records").cast("long"))

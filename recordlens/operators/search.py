@@ -15,7 +15,7 @@ from recordlens.functions.ranking import assign_chunks, top_per_group
 from recordlens.functions.runtime import percent, spread_few_files
 from recordlens.functions.scalars import clip_text
 from recordlens.functions.terms import (
-    EXACT_PATTERNS, EXACT_TEXTS, fold, java_pattern, occurs, with_folded,
+    EXACT_PATTERNS, EXACT_TEXTS, any_occurs, fold, java_pattern, occurs_sql, sql_text, with_folded,
 )
 
 Families = Mapping[str, Sequence[str]]
@@ -74,28 +74,24 @@ def search_terms(cells: DataFrame, families: Families) -> DataFrame:
     """One row per cell and term that occurs in it, all families in one scan."""
     pairs = [(family, term) for family, terms in families.items() for term in terms]
     folded = with_folded(cells)
-    masks = {}
-    for w in range(0, len(pairs), _MASK_BITS):
-        mask = F.lit(0).cast("long")
-        for bit, (_, term) in enumerate(pairs[w : w + _MASK_BITS]):
-            found = occurs(term)
-            mask = mask.bitwiseOR(F.when(found, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
-        masks[f"_m{w}"] = mask
+    words = [pairs[w : w + _MASK_BITS] for w in range(0, len(pairs), _MASK_BITS)]
+    masks = [
+        " | ".join(f"if({occurs_sql(term)}, {1 << bit}L, 0L)" for bit, (_, term) in enumerate(word))
+        for word in words
+    ]
     # One bit per term. A filter on the bits would be pushed below them and compute them
     # twice; a cell without hits has no array element and so gives no row.
-    marked = folded.select(*CELL, "text", *[m.alias(name) for name, m in masks.items()])
-    hit_arrays = []
-    for w in range(0, len(pairs), _MASK_BITS):
-        all_terms = F.array(
-            *[F.struct(F.lit(f).alias("family"), F.lit(t).alias("term")) for f, t in pairs[w : w + _MASK_BITS]]
+    marked = folded.selectExpr(*CELL, "text", *[f"{m} AS _m{w}" for w, m in enumerate(masks)])
+    arrays = []
+    for w, word in enumerate(words):
+        terms = ", ".join(
+            f"named_struct('family', {sql_text(f)}, 'term', {sql_text(t)})" for f, t in word
         )
-        bits = F.col(f"_m{w}")
-        hit_arrays.append(F.when(bits != 0, F.filter(all_terms, _bit_is_set(bits))).otherwise(F.array_repeat(all_terms[0], 0)))
-    return marked.select(*CELL, "text", F.inline(F.concat(*hit_arrays)))
-
-
-def _bit_is_set(mask: Column):
-    return lambda _, i: F.getbit(mask, i) == 1
+        arrays.append(
+            f"if(_m{w} = 0, array_repeat(named_struct('family', '', 'term', ''), 0), "
+            f"filter(array({terms}), (x, i) -> getbit(_m{w}, i) = 1))"
+        )
+    return marked.selectExpr(*CELL, "text", f"inline(concat({', '.join(arrays)}))")
 
 
 def record_counts(tables: Sequence[SearchTable]) -> DataFrame:
@@ -193,11 +189,8 @@ def search_occurrences(cells: DataFrame, patterns: Sequence[str]) -> DataFrame:
     Only texts that some pattern matches reach the Python worker.
     """
     folded = with_folded(cells)
-    any_match = F.lit(False)
-    for p in patterns:
-        any_match = any_match | occurs(p)
     return (
-        folded.filter(any_match)
+        folded.filter(any_occurs(patterns))
         .select(*CELL, clip_text(F.col("text"), SNIPPET).alias("snippet"),
                 _spans_udf(patterns)(F.col("text")).alias("_spans"))
         .select(*CELL, "snippet", F.inline("_spans"))
@@ -216,13 +209,7 @@ def occurrence_rollup(occurrences: DataFrame) -> DataFrame:
 def _family_flags(cells: DataFrame, families: Families) -> DataFrame:
     """Cells with one boolean per family."""
     folded = with_folded(cells)
-    flags = {}
-    for name, patterns in families.items():
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | occurs(p)
-        flags[f"in_{name}"] = hit
-    return folded.withColumns(flags)
+    return folded.withColumns({f"in_{name}": any_occurs(p) for name, p in families.items()})
 
 
 def compare_families(cells: DataFrame, families: Families, base: str) -> DataFrame:

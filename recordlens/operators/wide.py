@@ -59,7 +59,8 @@ def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -
     """
     rows = _as_text(t, key, ids)
     regular = rows.join(F.broadcast(large_keys(rows, key, limit)), key, "left_anti")
-    gathered = regular.groupBy(key).agg(
+    # Rows are shuffled as they are: lists built before the shuffle would not be smaller.
+    gathered = regular.repartition(key).groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("_o", *t.columns))).alias("_rows")
     )
     small = gathered.select(key, *[_distinct_joined(c).alias(c) for c in t.columns])

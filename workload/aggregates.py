@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.functions.runtime import materialize
 from recordlens.operators import cohorts as C
 from recordlens.operators import describe as D
 from recordlens.operators import master as M
 from recordlens.operators.profile import completeness
 from workload.frames import (
-    COUNTS, ENTITIES, GROUP_ORDERS, LABELLED, LINE_ORDER, entities, group_orders, labelled,
+    COUNTS, ENTITIES, GROUP_ORDERS, LABELLED, LINE_ORDER, entities, group_orders, labelled, stored_entities,
 )
 from workload.registry import Tables, query
 
@@ -204,7 +205,7 @@ _DENSITY = "\nUNION ALL".join(_density_sql(c) for c in CHILDREN)
 
 @query("child_density", ENTITIES + _DENSITY, "coverage_pct mean std median")
 def child_density(t: Tables) -> DataFrame:
-    return D.child_density(entities(t), COUNTS)
+    return D.child_density(stored_entities(t), COUNTS)
 
 
 @query(
@@ -238,7 +239,7 @@ def child_density_from_nested(t: Tables) -> DataFrame:
     "mean std p25 median p75 p90 p95",
 )
 def related_distribution(t: Tables) -> DataFrame:
-    return D.related_distribution(entities(t), "total_related_records")
+    return D.related_distribution(stored_entities(t), "total_related_records")
 
 
 @query(
@@ -253,7 +254,7 @@ def related_distribution(t: Tables) -> DataFrame:
     "highest_value lowest_value",
 )
 def highest_lowest(t: Tables) -> DataFrame:
-    return D.highest_lowest(D.child_density(entities(t), COUNTS), ["coverage_pct", "mean", "total"])
+    return D.highest_lowest(D.child_density(stored_entities(t), COUNTS), ["coverage_pct", "mean", "total"])
 
 
 @query(
@@ -323,7 +324,7 @@ s AS (
     "mean_total std_total specialization",
 )
 def specialization_index(t: Tables) -> DataFrame:
-    return D.specialization_index(entities(t), "n_name", COUNTS, "total_related_records")
+    return D.specialization_index(stored_entities(t), "n_name", COUNTS, "total_related_records")
 
 
 # --- recipients and goals -------------------------------------------------
@@ -371,7 +372,7 @@ _LIMITS = (20, 27, 34)
     "median_contract_types median_hhi",
 )
 def diversity_stats(t: Tables) -> DataFrame:
-    return D.diversity_stats(diversity(t), _LIMITS)
+    return D.diversity_stats(materialize(diversity(t)), _LIMITS)
 
 
 @query(
@@ -425,7 +426,7 @@ _Q = "(SELECT quantile_cont({c}, {p}) FROM m)"
     "p95 p99",
 )
 def quantile_outliers(t: Tables) -> DataFrame:
-    return D.quantile_outliers(entities(t), "total_related_records")
+    return D.quantile_outliers(stored_entities(t), "total_related_records")
 
 
 @query(
@@ -437,7 +438,7 @@ def quantile_outliers(t: Tables) -> DataFrame:
     """,
 )
 def outlier_entities(t: Tables) -> DataFrame:
-    return D.outlier_entities(entities(t), "total_related_records", "c_custkey", ["c_name", "n_name"])
+    return D.outlier_entities(stored_entities(t), "total_related_records", "c_custkey", ["c_name", "n_name"])
 
 
 @query(
@@ -454,7 +455,7 @@ def outlier_entities(t: Tables) -> DataFrame:
     "threshold",
 )
 def per_table_outliers(t: Tables) -> DataFrame:
-    return D.per_table_outliers(entities(t), COUNTS, "c_custkey")
+    return D.per_table_outliers(stored_entities(t), COUNTS, "c_custkey")
 
 
 # --- cohorts --------------------------------------------------------------
@@ -472,7 +473,7 @@ def per_table_outliers(t: Tables) -> DataFrame:
     "threshold pct mean events_count_pct",
 )
 def cohort_summary(t: Tables) -> DataFrame:
-    return C.cohort_summary(entities(t), "total_related_records", flags=["events_count"])
+    return C.cohort_summary(stored_entities(t), "total_related_records", flags=["events_count"])
 
 
 @query(
@@ -484,7 +485,7 @@ def cohort_summary(t: Tables) -> DataFrame:
     """,
 )
 def cohort_profile(t: Tables) -> DataFrame:
-    return C.cohort_profile(entities(t), "total_related_records", ["n_name", "c_mktsegment"])
+    return C.cohort_profile(stored_entities(t), "total_related_records", ["n_name", "c_mktsegment"])
 
 
 @query(
@@ -497,7 +498,7 @@ def cohort_profile(t: Tables) -> DataFrame:
 )
 def cohort_top(t: Tables) -> DataFrame:
     return C.cohort_top(
-        entities(t), "total_related_records", "c_custkey", ["c_name", "n_name", "c_mktsegment"], C.DENSE, 5
+        stored_entities(t), "total_related_records", "c_custkey", ["c_name", "n_name", "c_mktsegment"], C.DENSE, 5
     )
 
 
@@ -511,7 +512,7 @@ def cohort_top(t: Tables) -> DataFrame:
     "threshold pct mean",
 )
 def high_child_cohort(t: Tables) -> DataFrame:
-    return C.cohort_summary(entities(t), "lineitem_count", C.MANY)
+    return C.cohort_summary(stored_entities(t), "lineitem_count", C.MANY)
 
 
 @query(
@@ -522,11 +523,11 @@ def high_child_cohort(t: Tables) -> DataFrame:
     """,
 )
 def high_child_groups(t: Tables) -> DataFrame:
-    return C.cohort_profile(entities(t), "lineitem_count", ["n_name"], C.MANY)
+    return C.cohort_profile(stored_entities(t), "lineitem_count", ["n_name"], C.MANY)
 
 
 def _scored(t: Tables) -> DataFrame:
-    return C.complexity_score(entities(t), MEASURES)
+    return C.complexity_score(stored_entities(t), MEASURES)
 
 
 _TIERED = ENTITIES.rstrip() + """,
@@ -607,7 +608,7 @@ def group_rank(t: Tables) -> DataFrame:
 )
 def derived_flags(t: Tables) -> DataFrame:
     """All yes/no findings, each from the operator that measures it."""
-    master = entities(t)
+    master = stored_entities(t)
     scored = C.complexity_score(master, MEASURES)
     total = "total_related_records"
 
@@ -621,7 +622,7 @@ def derived_flags(t: Tables) -> DataFrame:
         one(master, F.max(total).alias("max_total"), F.avg(total).alias("mean_total")),
         completeness(labelled(t)),
         D.group_count_stats(master, "n_name").select("groups"),
-        D.diversity_stats(diversity(t), _LIMITS).select("entities", "simple", "very_complex"),
+        D.diversity_stats(materialize(diversity(t)), _LIMITS).select("entities", "simple", "very_complex"),
         one(decades, F.max_by(mean, "decade").alias("latest"),
             F.when(F.count(F.lit(1)) > 1, F.min_by(mean, "decade")).alias("previous")),
         one(ranks, F.avg(F.when(F.col("rank") <= 3, score)).alias("top3"),

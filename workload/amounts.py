@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.functions.quantiles import NEAREST
+from recordlens.functions.runtime import materialize
 from recordlens.functions.scalars import top_list_tier
 from recordlens.operators import amounts as A
 from recordlens.operators import master as M
@@ -129,7 +130,8 @@ def tier_of_top_list(t: Tables) -> DataFrame:
     "total mean pct",
 )
 def top_share_by_group(t: Tables) -> DataFrame:
-    return A.top_share_by_group(A.top_percent(group_orders(t), "o_totalprice"), "n_name", "o_totalprice")
+    top = materialize(A.top_percent(group_orders(t), "o_totalprice"))
+    return A.top_share_by_group(top, "n_name", "o_totalprice")
 
 
 @query(
@@ -169,7 +171,9 @@ st AS (
     "coverage_pct mean std total mean_rate p50 p75 p90 p95 p99 median_rate",
 )
 def amount_stats(t: Tables) -> DataFrame:
-    return A.amount_stats(order_amounts(t), "o_totalprice", "executed")
+    # Stored, as every quantile goes over it.
+    amounts = materialize(order_amounts(t).select("o_totalprice", "executed"))
+    return A.amount_stats(amounts, "o_totalprice", "executed")
 
 
 @query(
@@ -283,7 +287,7 @@ def top_list_report(t: Tables) -> DataFrame:
         F.col("c_custkey").alias("o_custkey"), "n_name"
     )
     base = t.orders.join(groups, "o_custkey")
-    top = A.top_percent(base, "o_totalprice")
+    top = materialize(A.top_percent(base, "o_totalprice"))
     # Lines are nested only for the orders of the list.
     master = M.build_master(
         top, "o_orderkey", ["o_custkey"], [],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.functions.runtime import exact_sum
+from recordlens.functions.runtime import exact_sum, materialize
 from recordlens.functions.scalars import has_child_flags, total_related
 from recordlens.operators.master import attach_by_key
 from recordlens.operators.search import SearchTable
@@ -48,6 +48,11 @@ def entities(t: Tables) -> DataFrame:
     return out.withColumn("total_related_records", total_related(COUNTS))
 
 
+def stored_entities(t: Tables) -> DataFrame:
+    """The same, stored once for queries that go over it several times."""
+    return materialize(entities(t))
+
+
 ENTITIES = """
 WITH oc AS (
   SELECT o_custkey AS k, count(*) AS n, min(year(o_orderdate)) AS y0, max(year(o_orderdate)) AS y1
