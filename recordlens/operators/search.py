@@ -71,7 +71,11 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
 
 
 def search_terms(cells: DataFrame, families: Families) -> DataFrame:
-    """One row per cell and term that occurs in it, all families in one scan."""
+    """One row per cell and term that occurs in it, all families in one scan.
+
+    Whole texts are searched; a hit carries the head of its text only, so that a text with
+    many hits is not copied for each of them.
+    """
     pairs = [(family, term) for family, terms in families.items() for term in terms]
     folded = with_folded(cells)
     words = [pairs[w : w + _MASK_BITS] for w in range(0, len(pairs), _MASK_BITS)]
@@ -81,7 +85,8 @@ def search_terms(cells: DataFrame, families: Families) -> DataFrame:
     ]
     # One bit per term. A filter on the bits would be pushed below them and compute them
     # twice; a cell without hits has no array element and so gives no row.
-    marked = folded.selectExpr(*CELL, "text", *[f"{m} AS _m{w}" for w, m in enumerate(masks)])
+    snippet = f"substring(text, 1, {SNIPPET}) AS snippet"
+    marked = folded.selectExpr(*CELL, snippet, *[f"{m} AS _m{w}" for w, m in enumerate(masks)])
     arrays = []
     for w, word in enumerate(words):
         terms = ", ".join(
@@ -91,7 +96,7 @@ def search_terms(cells: DataFrame, families: Families) -> DataFrame:
             f"if(_m{w} = 0, array_repeat(named_struct('family', '', 'term', ''), 0), "
             f"filter(array({terms}), (x, i) -> getbit(_m{w}, i) = 1))"
         )
-    return marked.selectExpr(*CELL, "text", f"inline(concat({', '.join(arrays)}))")
+    return marked.selectExpr(*CELL, "snippet", f"inline(concat({', '.join(arrays)}))")
 
 
 def record_counts(tables: Sequence[SearchTable]) -> DataFrame:
@@ -117,7 +122,7 @@ def search_rollup_table(hits: DataFrame, counts: DataFrame | None = None) -> Dat
         F.count(F.lit(1)).alias("total_matches"),
         F.sort_array(F.collect_set("field")).alias("matched_fields"),
         F.sort_array(F.collect_set("term")).alias("terms"),
-        F.min_by(clip_text(F.col("text"), SNIPPET), first).alias("example"),
+        F.min_by("snippet", first).alias("example"),
     )
     if counts is not None:
         out = out.join(counts, ["entity_id", "table_name"], "left")
@@ -279,7 +284,7 @@ def missed_examples(
     )
     return first.select(
         "family", "entity_id", "n", "table_name", "field", "term",
-        clip_text(F.col("text"), EXAMPLE).alias("text"),
+        clip_text(F.col("snippet"), EXAMPLE).alias("text"),
     )
 
 
@@ -364,7 +369,8 @@ def match_detail(
     ordered = F.sort_array(F.collect_list(F.struct(place.alias("o"), line.alias("t"))))
     return (
         assign_chunks(matches, ["entity_id"], spread, limit)
-        .groupBy("entity_id", "chunk")
+        .repartition("entity_id", "chunk", "chunks")
+        .groupBy("entity_id", "chunk", "chunks")
         .agg(
             F.array_join(F.transform(ordered, lambda x: x["t"]), " | ").alias("match_detail"),
             F.count(F.lit(1)).alias("match_count"),

@@ -105,12 +105,18 @@ def wide_extract(
 ) -> DataFrame:
     """Entities in ``ids`` with their match detail and count and all columns of all tables.
 
-    Every joined side is unique by key and hashed by it, so each table shuffles once.
-    Absent values are ''.
+    ``detail``: (key, chunk, chunks, match_detail, match_count). An entity whose detail is
+    in several chunks gets the whole count here and keeps its detail in those chunks. Every
+    joined side is unique by key and hashed by it, so each table shuffles once. Absent
+    values are ''.
     """
     out = ids.select(key).distinct()
     if detail is not None:
-        out = out.join(detail.select(key, "match_detail", "match_count"), key, "left").withColumns(
+        per_entity = detail.groupBy(key).agg(
+            F.max(F.when(F.col("chunks") == 1, F.col("match_detail"))).alias("match_detail"),
+            F.sum("match_count").alias("match_count"),
+        )
+        out = out.join(per_entity, key, "left").withColumns(
             {
                 "match_detail": F.coalesce("match_detail", F.lit("")),
                 "match_count": F.coalesce("match_count", F.lit(0)),

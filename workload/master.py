@@ -411,7 +411,7 @@ def strict_extract(t: Tables) -> DataFrame:
         N.WideTable("documents", t.documents.select("doc_id", "lang", "source"), "doc_id", ("source",)),
         N.WideTable("conversations", t.conversations.select("conv_id", "role"), "conv_id", ("role",)),
     ]
-    return N.wide_extract(wide, "entity_id", ids, detail.filter(F.col("chunk") == 0))
+    return N.wide_extract(wide, "entity_id", ids, detail)
 
 
 @query(

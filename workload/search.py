@@ -250,7 +250,7 @@ def strict_table_summary(t: Tables) -> DataFrame:
     lines AS (
       SELECT entity_id, row_pos, table_name, field, n0 + n2 AS n,
              CASE table_name WHEN 'documents' THEN 1 WHEN 'conversations' THEN 2 ELSE 3 END AS o FROM strict)
-    SELECT entity_id, CAST(sum(n) AS BIGINT) AS match_count, 0 AS chunk,
+    SELECT entity_id, CAST(sum(n) AS BIGINT) AS match_count, 0 AS chunk, 1 AS chunks,
            upper(string_agg(rtrim(repeat(table_name || '.' || field || ': AI | ', n), ' |'), ' | ' ORDER BY o, row_pos, field)) AS match_detail
     FROM lines GROUP BY 1
     """,
