@@ -1,0 +1 @@
+"""Composed pipelines are operators themselves; see recordlens.operators.master.build_master."""
