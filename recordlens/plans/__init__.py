@@ -1 +1 @@
-"""Composed pipelines are operators themselves; see recordlens.operators.master.build_master."""
+"""Composed pipelines over the operators."""

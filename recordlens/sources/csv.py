@@ -83,11 +83,12 @@ def allow_java_charsets(spark: SparkSession) -> None:
 
 def read_csv_any_encoding(
     spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS,
-    infer: bool = True, keep_source: bool = False,
+    infer: bool = True, keep_source: bool = False, multi_line: bool = False,
 ) -> DataFrame:
     """All files as one frame; a column some file lacks is null there.
 
-    The file list is on the driver as in any Spark read; file contents never are.
+    The file list is on the driver as in any Spark read; file contents never are. With
+    ``multi_line`` quoted values may hold line breaks, at the price of one task per file.
     """
     found = detect_encodings(spark, paths, encodings).collect()
     unreadable = sorted(r["path"] for r in found if r["encoding"] is None)
@@ -103,7 +104,8 @@ def read_csv_any_encoding(
         if name not in by_encoding:
             continue
         df = spark.read.csv(
-            sorted(by_encoding[name]), header=True, inferSchema=infer, encoding=JAVA_CHARSETS[name]
+            sorted(by_encoding[name]), header=True, inferSchema=infer, encoding=JAVA_CHARSETS[name],
+            quote='"', escape='"', multiLine=multi_line,
         )
         if keep_source:
             df = df.select(
@@ -117,7 +119,9 @@ def read_all_string(spark: SparkSession, paths: Sequence[str], encoding: str = "
     """CSV without any type inference."""
     if encoding not in ("utf-8", "utf-8-sig"):
         allow_java_charsets(spark)
-    return spark.read.csv(list(paths), header=True, inferSchema=False, encoding=JAVA_CHARSETS[encoding])
+    return spark.read.csv(
+        list(paths), header=True, inferSchema=False, encoding=JAVA_CHARSETS[encoding], quote='"', escape='"'
+    )
 
 
 def tag_source_category(file_name: Column) -> tuple[Column, Column]:

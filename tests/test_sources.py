@@ -100,3 +100,9 @@ def test_csv_sink_writes_nested_as_json(spark):
 def test_absent_tables_are_skipped(spark):
     found = columnar.read_columnar(spark, "/root/testdata/sf0.001", ["nation", "nowhere"])
     assert list(found) == ["nation"]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "q.csv", "shift_jis", 'id,文\n1,"二行の\n""引用"""\n2,一行\n')
+    rows = csv.read_csv_any_encoding(spark, [path], multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [(1, '二行の\n"引用"'), (2, "一行")]

@@ -10,6 +10,7 @@ from recordlens.functions.runtime import materialize
 from recordlens.functions.scalars import top_list_tier
 from recordlens.operators import amounts as A
 from recordlens.operators import master as M
+from recordlens.plans.top_list import top_list_report as top_list_plan
 from workload.frames import AMOUNTS, GROUP_ORDERS, LINE_ORDER, group_orders, order_amounts
 from workload.registry import Tables, query
 
@@ -286,19 +287,11 @@ def top_list_report(t: Tables) -> DataFrame:
     groups = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("o_custkey"), "n_name"
     )
-    base = t.orders.join(groups, "o_custkey")
-    top = materialize(A.top_percent(base, "o_totalprice"))
-    # Lines are nested only for the orders of the list.
-    master = M.build_master(
-        top, "o_orderkey", ["o_custkey"], [],
-        {"lineitem": M.Child(M.restrict_to_ids(lines, "o_orderkey", top), LINE_ORDER)},
+    report = top_list_plan(
+        t.orders.join(groups, "o_custkey"), "o_orderkey", "o_totalprice", "n_name",
+        {"lineitem": M.Child(lines, LINE_ORDER)}, ["o_custkey"],
     )
-    ranked = A.amount_rank(master, "o_totalprice", "o_orderkey")
-    total = top.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")).scalar()
-    shares = A.top_share_by_group(top, "n_name", "o_totalprice").select(
-        "n_name", F.col("n").alias("group_entities"), F.col("pct").alias("group_pct")
-    )
-    return ranked.join(shares, "n_name").select(
+    return report.select(
         "rank", "o_orderkey", "o_custkey", "n_name", "o_totalprice", "lineitem_count", "has_lineitem",
-        "group_entities", "group_pct", (F.col("o_totalprice") * 100 / total).alias("amount_pct"),
+        "group_entities", "group_pct", "amount_pct",
     )

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from recordlens.functions.ranking import dedupe_first
 from recordlens.operators import keys as K
 from recordlens.operators import master as M
-from recordlens.operators import search as X
 from recordlens.operators import wide as N
+from recordlens.plans.strict_extract import strict_extract as strict_plan
 from workload.frames import CELLS, LINE_ORDER, LINE_SQL_ORDER, LABELLED, labelled, search_tables
 from workload.registry import Tables, query
 
@@ -403,15 +403,11 @@ def wide_extract_summary(t: Tables) -> DataFrame:
 
 
 def strict_extract(t: Tables) -> DataFrame:
-    tables = search_tables(t)
-    cells = X.text_cells(tables)
-    ids = X.strict_entities(cells).select("entity_id").distinct()
-    detail = X.match_detail(X.strict_matches(cells), [s.name for s in tables])
     wide = [
         N.WideTable("documents", t.documents.select("doc_id", "lang", "source"), "doc_id", ("source",)),
         N.WideTable("conversations", t.conversations.select("conv_id", "role"), "conv_id", ("role",)),
     ]
-    return N.wide_extract(wide, "entity_id", ids, detail)
+    return strict_plan(search_tables(t), wide)[0]
 
 
 @query(
