@@ -72,7 +72,8 @@ def quantiles(
 
     k = len(ordered)
     b = F.col("_s.b")
-    inside = F.lit(False)
+    # In a small group the margin is less than the rank or two that neighbours need.
+    inside = F.col("_s.n") <= accuracy
     floor_of_lump = [F.lit(float("-inf")), F.lit(float("-inf"))]
     for i, p in enumerate(ordered):
         # No lower (upper) bound where the margin reaches the smallest (largest) value.
