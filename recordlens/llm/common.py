@@ -137,3 +137,58 @@ def within(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for every n in ``counts``, end to end."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def keyed(documents: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(_key, doc_id, *columns): a unique key that orders the rows as doc_id does.
+
+    That is doc_id itself where it has no nulls and no repeats. Otherwise rows get their rank by
+    (doc_id, columns), nulls last, from a range partitioning that is stored, and one offset
+    per partition; rows equal in all of these differ in rank only.
+    """
+    from pyspark.sql import functions as F
+
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
+    ids = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        return plain.select(F.col("doc_id").alias("_key"), "doc_id", *columns)
+    order = [F.asc_nulls_last("doc_id"), *[F.asc_nulls_last(c) for c in columns]]
+    return ranked(plain, order).withColumnRenamed("_rank", "_key")
+
+
+def ranked(df: DataFrame, order: list) -> DataFrame:
+    """``df`` with ``_rank`` from 0 in ``order``: a stored range partitioning plus an offset per partition."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    parts = store(
+        df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}),
+        "ranked",
+    )
+    # One row per partition.
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # The low 33 bits count the rows of a partition.
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return parts.join(offsets, "_part").withColumn("_rank", F.col("_before") + at).drop("_part", "_at", "_before")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Columns of equal length as one compressed value; sorted integers go in as differences."""
+    return pa.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
+    size = n * sum(np.dtype(t).itemsize for t in dtypes)
+    raw = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for t in dtypes:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
+def deltas(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
