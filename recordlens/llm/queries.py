@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm import simhash, suffix_dedup
+from recordlens.llm import packing, simhash, suffix_dedup, token_files
+from recordlens.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_files.round_trip(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return found.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op7_mixture_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.pack_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
+    )
