@@ -192,3 +192,53 @@ def unpack(data: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
 
 def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
+
+
+def space_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches without ASCII white space; none crosses texts."""
+    return _stretches(block, NOT_SPACE)
+
+
+def plain_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of ASCII letters and digits and of all bytes beyond ASCII."""
+    return _stretches(block, WORD_BYTE)
+
+
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+WORD_BYTE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+
+
+def _stretches(block: Block, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = member[block.data]
+    n = len(inside)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    # A text's edge also parts words.
+    cut = block.starts[(block.starts > 0) & (block.starts < n)]
+    first[cut] = inside[cut]
+    last[cut - 1] = inside[cut - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def window_hashes(values: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, hash) of every ``k`` neighbours of one group; a shorter group gives one of all it has.
+
+    ``group`` is non-decreasing. The hash depends on the order.
+    """
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.concatenate([begin, [n]]))
+    out = np.zeros(n, np.uint64)
+    for j in range(min(k, n)):
+        shifted = values[j:] * np.uint64(pow(BASE, j + 1, 1 << 64))
+        if j:
+            shifted = np.where(group[j:] == group[:-j], shifted, np.uint64(0))
+        out[: n - j] += shifted
+    counts = np.maximum(sizes - k + 1, 1)
+    first = np.repeat(begin, counts) + within(counts)
+    return first, mix(out[first])
