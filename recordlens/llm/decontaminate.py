@@ -33,13 +33,12 @@ ITEM_BYTES_AT_ONCE = 64 << 20
 FOUND_SCHEMA = "doc_id long, item_id long, start long, end long, words long, distance int, similarity double"
 
 
-def shingles_of(texts: pa.Array, k: int):
-    """(first word, hash) of all shingles, words' (start, end, text), lower-cased; null counts as empty."""
+def words_of(texts: pa.Array):
+    """Words' hash, text, start and end, lower-cased, and the block; null counts as empty."""
     block = block_of(pc.utf8_lower(pc.fill_null(texts, "")))
     starts, ends = plain_words(block)
     text = np.searchsorted(block.starts, starts, side="right") - 1
-    first, h = window_hashes(RangeHash(block.data).of(starts, ends), text, k)
-    return first, h, starts, ends, text, block
+    return RangeHash(block.data).of(starts, ends), text, starts, ends, block
 
 
 def simhash(bits: np.ndarray) -> np.ndarray:
@@ -72,20 +71,32 @@ class Items:
     fingerprints: np.ndarray
     known: np.ndarray
     owners: list[np.ndarray]
+    shingle: int
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str], k: int) -> Items:
-        first, h, starts, _, text, _ = shingles_of(pa.array(texts, pa.string()), k)
+        word, text, *_ = words_of(pa.array(texts, pa.string()))
+        first, h = window_hashes(word, text, k)
         words = np.bincount(text, minlength=len(ids))
         owner = text[first] if len(first) else np.zeros(0, np.int64)
         keep = np.flatnonzero(words)
         parts = [h[owner == i] for i in keep]
         prints = np.array([simhash(signs(p).sum(axis=0)[None, :])[0] for p in parts], np.uint64)
+        # Items of fewer words than a shingle are looked up as a whole.
         number = np.searchsorted(keep, owner)
+        long = words[keep][number] >= k
+        number, h = number[long], h[long]
         order = np.lexsort((number, h))
         known, begin = np.unique(h[order], return_index=True)
         owners = [np.unique(x) for x in np.split(number[order], begin[1:])] if len(known) else []
-        return cls(np.array(ids, np.int64)[keep], words[keep], parts, prints, known, owners)
+        return cls(np.array(ids, np.int64)[keep], words[keep], parts, prints, known, owners, k)
+
+    def short(self) -> dict[int, dict[int, list[int]]]:
+        """By number of words: the items of a single short shingle by its hash."""
+        out: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero(self.words < self.shingle):
+            out.setdefault(int(self.words[i]), {}).setdefault(int(self.shingles[i][0]), []).append(int(i))
+        return out
 
     def tables(self, radius: int, blocks: int) -> list[tuple[int, int, list[np.ndarray]]]:
         """Per block: shift, width, and by value the items within ``radius // blocks`` bits of it."""
@@ -105,7 +116,18 @@ def find_in(
     texts: pa.Array, items: Items, tables: list, bitmap: np.ndarray, k: int, radius: int, similarity: float
 ) -> Iterator[tuple]:
     """(text, item, start byte, end byte, words, distance, similarity): the best window of each text and item."""
-    first, h, starts, ends, text, block = shingles_of(texts, k)
+    word, text, starts, ends, block = words_of(texts)
+    for n, wanted in items.short().items():
+        first, h = window_hashes(word, text, n)
+        seen = set()
+        for j in np.flatnonzero(np.isin(h, np.array(list(wanted), np.uint64))):
+            a, t = int(first[j]), int(text[first[j]])
+            base = int(block.starts[t])
+            for i in wanted[int(h[j])]:
+                if (t, i) not in seen:
+                    seen.add((t, i))
+                    yield t, int(items.ids[i]), int(starts[a]) - base, int(ends[a + n - 1]) - base, n, 0, 1.0
+    first, h = window_hashes(word, text, k)
     if not len(h) or not len(items.known):
         return
     hit = np.flatnonzero(bitmap[(h >> np.uint64(44)).astype(np.int64)])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm import packing, simhash, suffix_dedup, token_files
+from recordlens.llm import decontaminate, packing, pii, simhash, suffix_dedup, token_files
 from recordlens.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,28 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
     )
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def joined_spans(spans: str) -> Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(table(spark, folder, "documents")).withColumn("_base", F.filter("spans", lambda s: s["base"]))
+    counts = {
+        f"n_{k}": F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS
+    }
+    return found.select(
+        "doc_id", *[c.alias(n) for n, c in counts.items()],
+        F.sha2(joined_spans("_base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"),
+        (F.size("spans") - F.size("_base")).cast("long").alias("n_added"),
+    )
