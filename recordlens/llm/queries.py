@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm import decontaminate, packing, pii, simhash, suffix_dedup, token_files
+from recordlens.llm import decontaminate, fingerprint, packing, pii, simhash, suffix_dedup, token_files
 from recordlens.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined_spans("_base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"),
         (F.size("spans") - F.size("_base")).cast("long").alias("n_added"),
     )
+
+
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprint.fingerprint_documents(table(spark, folder, "documents"))
+    return found.withColumnRenamed("edited_text_sha256", "edited_sha256")
