@@ -87,13 +87,15 @@ def _anchors(documents: DataFrame, length: int, anchor: int, buckets: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for part in text_slices(batch, limit=1 << 20):
-                yield from found_long(part) if _too_long(part) else ()
-                if not _too_long(part):
-                    found.append(one(block_of(part.column("text")), np.asarray(part.column("_key"))))
-            if found:
-                yield pieces(found)
+            for some in text_slices(batch, limit=12 << 20):
+                found = []
+                for part in text_slices(some, limit=1 << 20):
+                    if _too_long(part):
+                        yield from found_long(part)
+                    else:
+                        found.append(one(block_of(part.column("text")), np.asarray(part.column("_key"))))
+                if found:
+                    yield pieces(found)
 
     def _too_long(part: pa.RecordBatch) -> bool:
         return part.num_rows == 1 and (pc.binary_length(part.column("text"))[0].as_py() or 0) >= 1 << PLACE_BITS
@@ -250,7 +252,8 @@ def _cut_contexts(texts: DataFrame, wanted: DataFrame, length: int, buckets: int
     """Per part of documents: the wanted contexts' bytes, or window hashes of anchors with very many contexts."""
 
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, bytes, int]] = []
+        whole: list[tuple] = []
+        windows: list[tuple] = []
         if wanted.num_rows:
             asked = []
             for n, payload in zip(wanted["n"].to_pylist(), wanted["payload"].to_pylist(), strict=True):
@@ -259,43 +262,47 @@ def _cut_contexts(texts: DataFrame, wanted: DataFrame, length: int, buckets: int
             h, key, first, span, pre, many = (np.concatenate(x) for x in zip(*asked, strict=True))
             for keys, _, _, block in _open(texts):
                 order = np.argsort(keys, kind="stable")
-                at = np.searchsorted(keys[order], key)
-                here = np.flatnonzero((at < len(keys)) & (keys[order][np.minimum(at, len(keys) - 1)] == key))
-                if len(here):
-                    start = block.starts[order[at[here]]] + first[here]
-                    rows += cut(block, start, h[here], key[here], first[here], span[here], pre[here], many[here])
+                at = np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)
+                here = keys[order][at] == key
+                start = np.where(here, block.starts[order[at]] + first, 0)
+                i = np.flatnonzero(here & (many == 0))
+                if len(i):
+                    sizes = span[i].astype(np.int64) + length
+                    data = block.data[np.repeat(start[i], sizes) + within(sizes)]
+                    whole.append((h[i], key[i], first[i], span[i].astype(np.int64), pre[i].astype(np.int64), data))
+                i = np.flatnonzero(here & (many == 1))
+                if len(i):
+                    windows.append(by_window(block, start[i], key[i], first[i], span[i]))
+        rows: list[tuple[int, int, bytes, int]] = []
+        if whole:
+            h, key, first, span, pre, data = (np.concatenate(x) for x in zip(*whole, strict=True))
+            sizes = span + length
+            begin = np.cumsum(sizes) - sizes
+            for b, i in _by((mix(h) % np.uint64(buckets)).astype(np.int64)):
+                n = sizes[i]
+                body = data[np.repeat(begin[i], n) + within(n)]
+                rows.append((b, len(i), pack(h[i], key[i], first[i], span[i], pre[i], body), len(body)))
+        if windows:
+            g, key, first, word = (np.concatenate(x) for x in zip(*windows, strict=True))
+            for b, i in _by((mix(g) % np.uint64(buckets)).astype(np.int64)):
+                rows.append((b, len(i), pack(g[i], key[i], first[i], word[i].view(np.int64), np.full(len(i), -1)), 0))
         return pa.table(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
              pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())],
             names=["bucket", "n", "payload", "size"],
         )
 
-    def cut(block, start, h, key, first, span, pre, many) -> list[tuple]:
-        rows = []
-        few = many == 0
-        sizes = span[few].astype(np.int64) + length
-        begin = np.cumsum(sizes) - sizes
-        data = block.data[np.repeat(start[few], sizes) + within(sizes)]
-        hf, kf, ff, sf, pf = h[few], key[few], first[few], span[few], pre[few]
-        for b, i in _by((mix(hf) % np.uint64(buckets)).astype(np.int64)):
-            n = sizes[i]
-            body = data[np.repeat(begin[i], n) + within(n)]
-            rows.append((b, len(i), pack(hf[i], kf[i], ff[i], sf[i].astype(np.int64), pf[i].astype(np.int64), body), len(body)))
-        if (~few).any():
-            # One entry per window: its hash for the group, another of the same bytes for the context.
-            n = span[~few].astype(np.int64) + 1
-            at = np.repeat(start[~few], n) + within(n)
-            g = RangeHash(block.data).of(at, at + length)
-            word = np.zeros(len(at), np.uint64)
-            for k in range(0, length, 8):  # an independent second hash of the bytes
-                piece = np.zeros(len(at), np.uint64)
-                for j in range(k, min(k + 8, length)):
-                    piece = (piece << np.uint64(8)) | block.data[at + j]
-                word = mix(word ^ piece)
-            k, f = np.repeat(key[~few], n), np.repeat(first[~few], n) + within(n)
-            for b, i in _by((mix(g) % np.uint64(buckets)).astype(np.int64)):
-                rows.append((b, len(i), pack(g[i], k[i], f[i], word[i].view(np.int64), np.full(len(i), -1)), 0))
-        return rows
+    def by_window(block: Block, start: np.ndarray, key: np.ndarray, first: np.ndarray, span: np.ndarray) -> tuple:
+        """One entry per window: its hash for the group, another of the same bytes for the context."""
+        n = span.astype(np.int64) + 1
+        at = np.repeat(start, n) + within(n)
+        word = np.zeros(len(at), np.uint64)
+        for k in range(0, length, 8):
+            piece = np.zeros(len(at), np.uint64)
+            for j in range(k, min(k + 8, length)):
+                piece = (piece << np.uint64(8)) | block.data[at + j]
+            word = mix(word ^ piece)
+        return RangeHash(block.data).of(at, at + length), np.repeat(key, n), np.repeat(first, n) + within(n), word
 
     return (
         texts.groupBy("part").cogroup(wanted.groupBy("part"))
@@ -421,7 +428,7 @@ def dedup_substrings(
         raise ValueError("anchor must be 8 to length bytes, and at most 250 less than length")
     spark = documents.sparkSession
     parts = shuffle_partitions(spark)
-    buckets = 4 * parts
+    buckets = parts
     docs = keyed(documents)
     anchors = store(_anchors(docs, length, anchor, buckets), "anchors")
     met = store(_meet(anchors, length, parts, together), "met")
