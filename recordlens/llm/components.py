@@ -31,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for all nodes of ``edges`` (a, b: long); the root is the least node of its component.
+    """(node, root) for all nodes of ``edges`` (a, b: of one type with an order); the root is the least node of its component.
 
     Alternates large-star and small-star steps, which end in one star per component after a
     number of rounds logarithmic in the number of nodes. A hub's neighbours are never

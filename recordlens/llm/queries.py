@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm import decontaminate, fingerprint, packing, pii, simhash, suffix_dedup, token_files
+import corpus_pipeline
+from recordlens.llm import (
+    decontaminate, fingerprint, html_text, language, packing, pii, quality, simhash, suffix_dedup, token_files,
+)
 from recordlens.llm.tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +32,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 @query("op1_suffix_array_dedup")
@@ -87,3 +90,28 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = fingerprint.fingerprint_documents(table(spark, folder, "documents"))
     return found.withColumnRenamed("edited_text_sha256", "edited_sha256")
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identify_pages(table(spark, folder, "pages"), table(spark, folder, "documents"))
+    return found.drop("posterior")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, folder, "pages"))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,6 +1,6 @@
 """SimHash near-duplicates by generalised pigeonhole: exact within the Hamming radius.
 
-1. Every text gets a 64-bit fingerprint of its word shingles.
+1. Every text gets a fingerprint of its word shingles, of 64 bits or a multiple.
 2. The distinct fingerprints' bits are put into groups of correlated bits.
 3. Every group gets a threshold of its own. If the thresholds of m groups add up to
    radius - m + 1, two fingerprints within the radius are within the threshold in at least one
@@ -32,69 +32,85 @@ SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
 
-# Costs of a listed or probed value and of a compared pair, in like units.
-SIGNATURE_COST, PAIR_COST = 20.0, 1.0
+# Costs of a listed or probed value, which is shuffled and sorted, and of a compared pair, in like units.
+SIGNATURE_COST, PAIR_COST = 1000.0, 1.0
 # Members of a list that one task compares with each other; longer lists are cut into pairs of parts.
 LIST_PART = 16_384
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """A bit is 1 if more than half of the shingles' XXH64 values have it; no words give 0."""
+def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS, seed: int = SEED, bits: int = BITS) -> bytes:
+    """A bit is 1 if more than half of the shingles' XXH64 values have it; no words give 0.
+
+    Big-endian bytes. Every further 64 bits come from XXH64 with the next seed.
+    """
     words = text.lower().split()  # bytes: A-Z only, and the six white-space bytes
     if not words:
-        return 0
+        return bytes(bits // 8)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return b"".join(xxhash.xxh64_digest(joined, seed + k) for k in range(bits // 64))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-shingle] + 1])
     digest = xxhash.xxh64_digest
-    raw = b"".join(
-        [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    )
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > len(starts)).tobytes(), "big")
+    pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    out = b""
+    for k in range(bits // 64):
+        raw = b"".join([digest(x, seed + k) for x in pieces])
+        ones = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out += np.packbits(ones * 2 > len(starts)).tobytes()
+    return out
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long. A null text is empty."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED, bits: int = BITS) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text, in big-endian bytes. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                known: dict[bytes, int] = {}
-                out = np.empty(part.num_rows, np.uint64)
-                for i, t in enumerate(pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()):
+                known: dict[bytes, bytes] = {}
+                out = []
+                for t in pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist():
                     if t not in known:
-                        known[t] = fingerprint(t, shingle, seed)
-                    out[i] = known[t]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"]
-                )
+                        known[t] = fingerprint(t, shingle, seed, bits)
+                    out.append(known[t])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "fp"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
+        run, "doc_id long, fp binary"
     )
 
 
-def _joint_bits(fps: DataFrame) -> np.ndarray:
-    """For every two bits, the number of fingerprints that have both; 64 rows from every task."""
-    names = [f"c{j}" for j in range(BITS)]
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of 64-bit numbers, the last of which has the lowest bits."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(column), -1)
+
+
+def _bytes(fp: np.ndarray) -> pa.Array:
+    width = fp.shape[1] * 8
+    raw = fp.astype(">u8").tobytes()
+    return pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
+
+
+def _joint_bits(fps: DataFrame, bits: int) -> np.ndarray:
+    """For every two bits, the number of fingerprints that have both; a row per bit from every task."""
+    names = [f"c{j}" for j in range(bits)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BITS, BITS), np.int64)
+        total = np.zeros((bits, bits), np.int64)
         for batch in batches:
-            fp = np.asarray(batch.column(0)).view(np.uint64)
-            bits = ((fp[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
-            total += (bits.T @ bits).astype(np.int64)
+            for lo in range(0, batch.num_rows, 4096):
+                fp = _numbers(batch.column(0).slice(lo, 4096))
+                ones = np.stack([_values(fp, [b]) for b in range(bits)], axis=1).astype(np.float64)
+                total += (ones.T @ ones).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(BITS)), *[pa.array(total[:, j]) for j in range(BITS)]], names=["i", *names]
+            [pa.array(np.arange(bits)), *[pa.array(total[:, j]) for j in range(bits)]], names=["i", *names]
         )
 
     schema = "i long, " + ", ".join(f"{n} long" for n in names)
     rows = fps.select("fp").mapInArrow(run, schema).groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    out = np.zeros((BITS, BITS))
-    for r in rows:  # 64 rows
+    out = np.zeros((bits, bits))
+    for r in rows:  # a row per bit
         out[r["i"]] = [r[n] for n in names]
     return out
 
@@ -106,10 +122,11 @@ def group_bits(joint: np.ndarray, n: int, m: int) -> list[list[int]]:
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    left = set(range(BITS))
+    bits = len(joint)
+    left = set(range(bits))
     groups = []
     for g in range(m):
-        size = BITS // m + (g < BITS % m)
+        size = bits // m + (g < bits % m)
         group = [max(sorted(left), key=lambda b: corr[b, sorted(left)].sum())]
         left.remove(group[0])
         while len(group) < size:
@@ -125,11 +142,11 @@ def ball(width: int, t: int) -> int:
     return sum(comb(width, j) for j in range(t + 1))
 
 
-def choose_groups(n: int, radius: int, most: int = 8) -> int:
+def choose_groups(n: int, radius: int, bits: int = BITS, most: int = 24) -> int:
     """How many groups cost least for ``n`` evenly spread fingerprints."""
 
     def cost(m: int) -> float:
-        width, total = BITS // m, radius - m + 1
+        width, total = bits // m, radius - m + 1
         ts = [total // m + (i < total % m) for i in range(m)]
         return sum(n * ball(width, t) * (SIGNATURE_COST + PAIR_COST * n / 2.0**width) for t in ts if t >= 0)
 
@@ -151,10 +168,11 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
 
 
 def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
-    """The bits of a group as a number."""
+    """The bits of a group as a number; bit 0 is the lowest."""
     out = np.zeros(len(fp), np.uint64)
+    last = fp.shape[1] - 1
     for k, b in enumerate(bits):
-        out |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+        out |= ((fp[:, last - b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(k)
     return out
 
 
@@ -163,7 +181,7 @@ def _listed(fps: DataFrame, groups: list[list[int]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray(batch.column(0)).view(np.uint64)
+            fp = _numbers(batch.column(0))
             keys = [_values(fp, g) | np.uint64(i << 56) for i, g in enumerate(groups)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
 
@@ -185,7 +203,7 @@ def _signatures(fps: DataFrame, groups: list[list[int]], thresholds: list[int])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                fp = np.asarray(batch.column(0).slice(lo, 4096)).view(np.uint64)
+                fp = _numbers(batch.column(0).slice(lo, 4096))
                 keys, who, probe = [], [], []
                 for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
                     if t < 0:
@@ -202,31 +220,31 @@ def _signatures(fps: DataFrame, groups: list[list[int]], thresholds: list[int])
                         probe.append(np.ones(len(at), bool))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.concatenate(who).view(np.int64)), pa.array(np.concatenate(probe)),
+                        pa.array(np.concatenate(keys).view(np.int64)), _bytes(np.concatenate(who)),
+                        pa.array(np.concatenate(probe)),
                     ],
                     names=["key", "fp", "probe"],
                 )
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
+    return fps.select("fp").mapInArrow(run, "key long, fp binary, probe boolean")
 
 
 class _Forest:
     """Union-find over the fingerprints of one task; only edges that join two trees go out."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict[bytes, bytes] = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x: bytes) -> bytes:
         up = self.up
         while (y := up.get(x, x)) != x:
             up[x] = up.get(y, y)
             x = y
         return x
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
         out = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        for x, y in zip(_bytes(a).to_pylist(), _bytes(b).to_pylist(), strict=True):
             r, s = self.root(x), self.root(y)
             if r != s:
                 self.up[max(r, s)] = min(r, s)
@@ -235,7 +253,11 @@ class _Forest:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+    """Whether fingerprints, their words on the last axis, are within the radius."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    for k in range(1, a.shape[-1]):
+        out = out + np.bitwise_count(a[..., k] ^ b[..., k])
+    return out <= radius
 
 
 def _links(listed: DataFrame, radius: int) -> DataFrame:
@@ -246,19 +268,22 @@ def _links(listed: DataFrame, radius: int) -> DataFrame:
     """
 
     def compare(fp: np.ndarray, probe: np.ndarray, side: np.ndarray, split: bool):
-        step = max(1, 2_000_000 // max(len(fp), 1))
-        for lo in range(0, len(fp), step):
-            x = slice(lo, lo + step)
-            ok = _near(fp[x, None], fp[None, :], radius) & ~(probe[x, None] & probe[None, :])
-            ok &= (side[x, None] < side[None, :]) if split else (np.arange(len(fp))[x, None] < np.arange(len(fp)))
+        # Members come before probes, so a member meets what follows it.
+        rows = np.flatnonzero(side == 0) if split else np.flatnonzero(~probe)
+        cols = np.flatnonzero(side == 1) if split else np.arange(len(fp))
+        step = max(1, 500_000 // max(len(cols), 1))
+        for lo in range(0, len(rows), step):
+            x = rows[lo : lo + step]
+            ok = _near(fp[x][:, None], fp[cols][None, :], radius)
+            ok &= ~(probe[x][:, None] & probe[cols][None, :]) if split else x[:, None] < cols[None, :]
             i, j = np.nonzero(ok)
-            yield fp[x][i], fp[j]
+            yield fp[x[i]], fp[cols[j]]
 
     def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """Sorted columns that hold whole groups only."""
         rest = None
         for batch in batches:
-            got = [np.asarray(batch.column(i)) for i in range(5)]
+            got = [_numbers(batch.column(i)) if i == 1 else np.asarray(batch.column(i)) for i in range(5)]
             if rest is not None:
                 got = [np.concatenate([a, b]) for a, b in zip(rest, got, strict=True)]
             same = (got[0] == got[0][-1]) & (got[3] == got[3][-1]) & (got[4] == got[4][-1])
@@ -272,13 +297,12 @@ def _links(listed: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         for key, fp, flags, left, right in groups_of(b for b in batches if b.num_rows):
-            fp = fp.view(np.uint64)
             probe, side = (flags & 1).astype(bool), flags >> 1
             new = np.flatnonzero(
                 np.concatenate([[True], (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
             )
             sizes = np.diff(np.concatenate([new, [len(key)]]))
-            found: list[tuple[int, int]] = []
+            found: list[tuple[bytes, bytes]] = []
             small = np.repeat((sizes <= 64) & (left[new] == right[new]), sizes)
             gid = np.repeat(np.arange(len(new)), sizes)
             for shift in range(1, int(min(64, sizes.max(initial=1)))):
@@ -294,13 +318,13 @@ def _links(listed: DataFrame, radius: int) -> DataFrame:
                 for a, b in compare(fp[s], probe[s], side[s], split):
                     found += forest.join(a, b)
             if found:
-                pairs = np.array(found, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return listed.mapInArrow(run, "a long, b long")
+    return listed.mapInArrow(run, "a binary, b binary")
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """(a, b) among distinct fingerprints ``fp``: enough links within ``radius`` to join all that are linked.
 
     No link between different components' members exists beyond these; pairs already joined
@@ -308,8 +332,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     spark = fps.sparkSession
     n = fps.count()
-    m = choose_groups(n, radius)
-    groups = group_bits(_joint_bits(fps), n, m)
+    m = choose_groups(n, radius, bits)
+    groups = group_bits(_joint_bits(fps, bits), n, m)
     listed = store(_listed(fps, groups), "listed")
     pairs = {
         r["g"]: float(r["s"])
@@ -353,7 +377,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED
+    documents: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED, bits: int = BITS
 ) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``documents`` (doc_id, text; other columns are left out).
 
@@ -362,10 +386,10 @@ def near_duplicates(
     other. Repeated doc_ids each keep a row. Rows without a doc_id take part in linking; if all of
     a component's are null, its id is null. An empty table gives no rows.
     """
-    fps = store(fingerprints(documents, shingle, seed), "fingerprints")
+    fps = store(fingerprints(documents, shingle, seed, bits), "fingerprints")
     distinct = store(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     # Only fingerprints that have a link occur in the components.
-    roots = store(components(near_links(distinct.select("fp"), radius)), "roots")
+    roots = store(components(near_links(distinct.select("fp"), radius, bits)), "roots")
     ids = (
         distinct.join(roots, distinct["fp"] == roots["node"], "left")
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
