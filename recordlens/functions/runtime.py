@@ -62,16 +62,6 @@ def join_small(fact: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Spread a table of fewer files than cores over all of them, before work heavy on the CPU.
-
-    A table of many files, as any large one, is left as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
-
-
 def bind(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     """Add the single row of ``one_row`` as a struct column: a scalar subquery, run once.
 

@@ -242,9 +242,15 @@ def _long_counts(df: DataFrame, count_cols: Sequence[str], keep: Sequence[str] =
     return wide.unpivot(list(keep), [c.removesuffix("_count") for c in count_cols], "column", "n")
 
 
-def child_density_from_nested(df: DataFrame, array_cols: Sequence[str]) -> DataFrame:
-    """Coverage, mean, upper median, total and maximum of the sizes of non-empty arrays."""
-    sizes = df.select(*[F.size(c).cast("long").alias(c) for c in array_cols])
+def child_density_from_nested(df: DataFrame, array_cols: Sequence[str], key: str | None = None) -> DataFrame:
+    """Coverage, mean, upper median, total and maximum of the sizes of non-empty arrays.
+
+    With ``key``, an entity's records may be spread over several rows (chunks): their sizes
+    are added up first.
+    """
+    sizes = df.select(*([key] if key else []), *[F.greatest(F.size(c), F.lit(0)).cast("long").alias(c) for c in array_cols])
+    if key:
+        sizes = sizes.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in array_cols]).drop(key)
     filled = [F.when(F.col(c) > 0, F.col(c)) for c in array_cols]
     n = F.count(F.lit(1))
     stats = per_column(

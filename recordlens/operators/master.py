@@ -6,16 +6,17 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.functions.ranking import assign_chunks, dedupe_first
+from recordlens.functions.ranking import dedupe_first, global_rank
 from recordlens.functions.scalars import has_child_flags, total_related
 
 # Header columns that nested records leave out.
 HEADER = ("予算事業ID", "シート種別", "事業年度", "事業名")
 
-# Records a single row may hold. Larger entities are stored in several chunk rows.
+# Records of a single row; an entity with more has further rows.
 RECORD_LIMIT = 100_000
 
 
@@ -72,56 +73,48 @@ def _records(df: DataFrame, key: str, drop: Sequence[str]) -> tuple[DataFrame, l
     return df.filter(F.col(key).isNotNull() & filled), fields
 
 
-def _ordered_array(order: Sequence[str], fields: Sequence[str]) -> Column:
-    """All rows of a group as an array of structs in ``order``."""
-    if set(order) <= set(fields):
-        # Order columns first, so that the records sort by themselves.
-        rest = [c for c in fields if c not in order]
-        return F.sort_array(F.collect_list(F.struct(*order, *rest)))
-    pair = F.struct(
-        F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("o"),
-        F.struct(*fields).alias("r"),
-    )
-    return F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["r"])
-
-
-def nest_children(df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT) -> DataFrame:
-    """(key, records, record_count) for keys with at most ``limit`` records.
+def record_places(
+    rows: DataFrame, key: str, order: Sequence[str], hot: DataFrame | None = None
+) -> DataFrame:
+    """Add ``_place``: 0, 1, ... within the rows of a key, in ``order``.
 
-    One shuffle by key, so the result joins to other frames by key without another.
-    Keys above the limit come from :func:`nest_chunks`.
+    One shuffle by key. ``hot`` names keys whose rows are too many for one task (see
+    :func:`large_keys`): they are range partitioned by place instead, so that a hot key is
+    spread over many tasks. The places are the same either way.
     """
-    rows, fields = _records(df, key, child.drop)
-    regular = rows.join(F.broadcast(large_keys(rows, key, limit)), key, "left_anti")
-    # Rows are shuffled as they are: lists built before the shuffle would not be smaller.
-    return (
-        regular.repartition(key)
-        .groupBy(key)
-        .agg(_ordered_array(child.order, fields).alias("records"))
-        .withColumn("record_count", F.size("records").cast("long"))
-    )
-
+    window = W.partitionBy(key).orderBy(*order)
+    if hot is None:
+        return rows.withColumn("_place", F.row_number().over(window) - 1)
+    keys = hot.select(key)
+    regular = rows.join(keys, key, "left_anti").withColumn("_place", F.row_number().over(window) - 1)
+    ranked = global_rank(rows.join(keys, key, "left_semi"), [key, *order], "_rank")
+    first = ranked.groupBy(key).agg(F.min("_rank").alias("_first"))
+    placed = ranked.join(first, key).withColumn("_place", (F.col("_rank") - F.col("_first")).cast("int"))
+    return regular.unionByName(placed.drop("_rank", "_first"))
+
+
+def nest_children(
+    df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT, hot: DataFrame | None = None
+) -> DataFrame:
+    """(key, chunk, chunks, records, record_count) for every key, ``limit`` records per row.
 
-def nest_chunks(df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT) -> DataFrame:
-    """(key, chunk, chunks, records, record_count) for keys above ``limit`` records."""
+    Chunks follow each other in the order of the child, so most keys have chunk 0 of 1 and a
+    large one just has more rows; ``record_count`` counts those of the row. One scan and, without
+    ``hot`` keys, one shuffle by key, which later joins by key need no more.
+    """
     rows, fields = _records(df, key, child.drop)
-    large = rows.join(F.broadcast(large_keys(rows, key, limit).select(key)), key, "left_semi")
-    spread = list(dict.fromkeys([*child.order, *fields]))
-    return (
-        assign_chunks(large, [key], spread, limit)
-        .repartition(key, "chunk", "chunks")
-        .groupBy(key, "chunk", "chunks")
-        .agg(_ordered_array(child.order, fields).alias("records"))
-        .withColumn("record_count", F.size("records").cast("long"))
+    placed = record_places(rows, key, child.order, hot)
+    record = F.struct(F.col("_place").alias("p"), F.struct(*fields).alias("r"))
+    nested = (
+        placed.withColumn("chunk", F.floor(F.col("_place") / limit).cast("int"))
+        .groupBy(key, "chunk")
+        .agg(F.transform(F.sort_array(F.collect_list(record)), lambda x: x["r"]).alias("records"))
     )
-
-
-def nest_all(df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT) -> DataFrame:
-    """Every record of every key: whole keys as chunk 0 of 1, large keys in chunks."""
-    whole = nest_children(df, key, child, limit).withColumns(
-        {"chunk": F.lit(0), "chunks": F.lit(1)}
+    # Only the chunk rows of a key meet here.
+    return nested.select(
+        key, "chunk", (F.max("chunk").over(W.partitionBy(key)) + 1).alias("chunks"), "records",
+        F.size("records").cast("long").alias("record_count"),
     )
-    return whole.unionByName(nest_chunks(df, key, child, limit))
 
 
 def build_master(
@@ -132,31 +125,40 @@ def build_master(
     children: Mapping[str, Child],
     with_records: bool = True,
     limit: int = RECORD_LIMIT,
+    hot: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Base rows, unique tables, and per child ``x`` (records), ``x_count``, ``has_x``; plus the total.
 
-    ``x`` is null for an entity with more than ``limit`` records: its count is here, its
-    records are in :func:`nest_chunks`.
+    With records, the rows with ``chunk`` 0 are the entities, and ``x`` has the first ``limit``
+    records of each. What is beyond them follows in rows with ``chunk`` 1, 2, ... and ``child``, the
+    name of the only child they carry; their other columns are null. ``hot`` names very large keys
+    by child, as for :func:`nest_children`.
     """
     out = left_join_unique(dedupe_first(base, key, base_order), key, unique)
-    counts = []
+    counts, further = [], []
     for name, child in children.items():
         rows, _ = _records(child.df, key, child.drop)
         if with_records:
-            nested = nest_children(child.df, key, child, limit)
-            out = out.join(
-                nested.select(key, F.col("records").alias(name), "record_count"), key, "left"
-            )
-            large = large_keys(rows, key, limit)
-            out = out.join(F.broadcast(large), key, "left")
-            count = F.coalesce("record_count", "rows", F.lit(0)).cast("long")
-            out = out.withColumn(f"{name}_count", count).drop("record_count", "rows")
+            nested = nest_children(child.df, key, child, limit, (hot or {}).get(name))
+            total = F.sum("record_count").over(W.partitionBy(key)).alias(f"{name}_count")
+            nested = nested.select(key, "chunk", F.col("records").alias(name), total)
+            first = nested.filter("chunk = 0").drop("chunk")
+            out = attach_by_key(out, first, key, {f"{name}_count": 0})
+            further.append(nested.filter("chunk > 0").select(key, "chunk", F.lit(name).alias("child"), name))
         else:
             per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count"))
             out = attach_by_key(out, per_key, key, {f"{name}_count": 0})
         counts.append(f"{name}_count")
     out = has_child_flags(out, counts)
-    return out.withColumn("total_related_records", total_related(counts))
+    out = out.withColumn("total_related_records", total_related(counts))
+    if not with_records:
+        return out
+    # Records of keys the base lacks stay out here as they do in chunk 0.
+    entities = out.select(key)
+    out = out.withColumns({"chunk": F.lit(0), "child": F.lit(None).cast("string")})
+    for rows in further:
+        out = out.unionByName(rows.join(entities, key, "left_semi"), allowMissingColumns=True)
+    return out
 
 
 def nest_stats(master: DataFrame, children: Mapping[str, Child]) -> DataFrame:

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.functions.ranking import assign_chunks, top_per_group
-from recordlens.functions.runtime import percent, spread_few_files
+from recordlens.functions.ranking import top_per_group
+from recordlens.functions.runtime import percent
 from recordlens.functions.scalars import clip_text
 from recordlens.functions.terms import (
     EXACT_PATTERNS, EXACT_TEXTS, any_occurs, fold, java_pattern, occurs_sql, sql_text, with_folded,
@@ -29,7 +30,11 @@ _MASK_BITS = 32
 
 @dataclass(frozen=True)
 class SearchTable:
-    """``row_pos`` tells the records of an entity apart and orders them."""
+    """``row_pos`` tells the records of an entity apart and orders them.
+
+    Without it they are told apart, and put in a fixed but meaningless order, by a hash of the whole record;
+    equal records then count as one. Keys that are no whole numbers name no entity, as do null keys.
+    """
 
     name: str
     df: DataFrame
@@ -48,10 +53,11 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
         fields = [f for f in t.fields if f in t.df.columns]
         if not fields:
             continue
-        rows = spread_few_files(t.df)
-        pos = F.col(t.row_pos) if t.row_pos else F.lit(0)
+        rows = t.df
+        # Without a column for it, the record itself tells records apart: a hash of all its columns.
+        pos = F.col(t.row_pos) if t.row_pos else F.xxhash64(*t.df.columns)
         ids = [
-            F.col(t.key).cast("long").alias("entity_id"),
+            F.col(t.key).try_cast("long").alias("entity_id"),
             F.lit(t.name).alias("table_name"),
             pos.cast("long").alias("row_pos"),
         ]
@@ -104,7 +110,7 @@ def record_counts(tables: Sequence[SearchTable]) -> DataFrame:
     out = None
     for t in tables:
         one = (
-            t.df.groupBy(F.col(t.key).cast("long").alias("entity_id"))
+            t.df.groupBy(F.col(t.key).try_cast("long").alias("entity_id"))
             .agg(F.count(F.lit(1)).alias("record_count"))
             .withColumn("table_name", F.lit(t.name))
         )
@@ -152,7 +158,7 @@ def enrich_from_master(
     broadcasts the smaller side when its measured size allows it.
     """
     kept = [c for c in columns if c in master.columns]
-    side = master.select(F.col(key).cast("long").alias("entity_id"), *kept)
+    side = master.select(F.col(key).try_cast("long").alias("entity_id"), *kept)
     out = results.join(side, "entity_id", "left")
     return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in kept})
 
@@ -358,24 +364,28 @@ def strict_table_summary(entities: DataFrame) -> DataFrame:
 def match_detail(
     matches: DataFrame, table_order: Sequence[str], limit: int = DETAIL_LIMIT
 ) -> DataFrame:
-    """``table.field: text`` strings of an entity joined by ' | ', and their number.
+    """(entity_id, chunk, chunks, match_detail, match_count): ``table.field: text`` strings joined by ' | '.
 
-    Entities with more than ``limit`` matches get several chunk rows.
+    ``limit`` matches per row, in order of table, record, field and place; an entity with more has
+    further chunks, which go on where the one before ends.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in table_order]), F.col("table_name"))
-    place = F.struct(rank, "row_pos", "field", "hit_no")
     line = F.concat(F.col("table_name"), F.lit("."), F.col("field"), F.lit(": "), F.col("matched_text"))
-    spread = ["table_name", "row_pos", "field", "hit_no"]
-    ordered = F.sort_array(F.collect_list(F.struct(place.alias("o"), line.alias("t"))))
-    return (
-        assign_chunks(matches, ["entity_id"], spread, limit)
-        .repartition("entity_id", "chunk", "chunks")
-        .groupBy("entity_id", "chunk", "chunks")
+    place = F.row_number().over(W.partitionBy("entity_id").orderBy(rank, "row_pos", "field", "hit_no", "matched_text")) - 1
+    ordered = F.sort_array(F.collect_list(F.struct("_place", "_line")))
+    chunks = (
+        matches.select("entity_id", line.alias("_line"), place.alias("_place"))
+        .withColumn("chunk", F.floor(F.col("_place") / limit).cast("int"))
+        .groupBy("entity_id", "chunk")
         .agg(
-            F.array_join(F.transform(ordered, lambda x: x["t"]), " | ").alias("match_detail"),
+            F.array_join(F.transform(ordered, lambda x: x["_line"]), " | ").alias("match_detail"),
             F.count(F.lit(1)).alias("match_count"),
         )
     )
+    return chunks.select(
+        "entity_id", "chunk", (F.max("chunk").over(W.partitionBy("entity_id")) + 1).alias("chunks"),
+        "match_detail", "match_count",
+    )
 
 
 def family_summary(per_entity: DataFrame, total_entities: Column) -> DataFrame:

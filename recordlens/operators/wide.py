@@ -6,14 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordlens.functions.ranking import assign_chunks
 from recordlens.functions.runtime import percent
 from recordlens.functions.scalars import missing_text
-from recordlens.operators.master import large_keys, restrict_to_ids
+from recordlens.operators.master import restrict_to_ids
 
 SEPARATOR = " | "
+# Values of a cell; a column with more has further parts.
 ROW_LIMIT = 100_000
 
 
@@ -44,59 +45,30 @@ def _as_text(t: WideTable, key: str, ids: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_joined(column: str) -> Column:
-    """Distinct values of one field of the ordered rows, in first-seen order."""
-    values = F.filter(F.transform("_rows", lambda r: r[column]), lambda v: v.isNotNull())
-    return F.array_join(F.array_distinct(values), SEPARATOR)
-
-
 def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
-    """One row per entity with the distinct values of each column joined.
+    """(key, part, one column per column): the distinct values of each, joined in first-seen order.
 
-    Entities with at most ``limit`` rows are gathered whole. Larger ones are reduced to
-    distinct values first; a column with more than ``limit`` of those stays null here
-    and is given in parts by :func:`wide_overflow`.
+    ``limit`` values per part; most entities have part 0 alone. Values are reduced to distinct ones
+    with their first place before the shuffle, whatever the number of rows of an entity. A column
+    without values in a part is null there.
     """
-    rows = _as_text(t, key, ids)
-    regular = rows.join(F.broadcast(large_keys(rows, key, limit)), key, "left_anti")
-    # Rows are shuffled as they are: lists built before the shuffle would not be smaller.
-    gathered = regular.repartition(key).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_o", *t.columns))).alias("_rows")
-    )
-    small = gathered.select(key, *[_distinct_joined(c).alias(c) for c in t.columns])
-    large = (
-        _large_parts(rows, t.columns, key, limit)
-        .filter(F.col("chunks") == 1)
-        .groupBy(key)
-        .pivot("column", t.columns)
-        .agg(F.first("values"))
-    )
-    return small.unionByName(large).select(
-        key, *[F.col(c).alias(f"{t.name}_{c}") for c in t.columns]
-    )
-
-
-def _large_parts(rows: DataFrame, columns: list[str], key: str, limit: int) -> DataFrame:
-    """(key, column, chunk, chunks, values) for entities with more than ``limit`` rows."""
-    large = rows.join(F.broadcast(large_keys(rows, key, limit).select(key)), key, "left_semi")
     distinct = (
-        large.unpivot([key, "_o"], columns, "column", "value")
+        _as_text(t, key, ids).unpivot([key, "_o"], t.columns, "column", "value")
         .filter(F.col("value").isNotNull())
         .groupBy(key, "column", "value")
         .agg(F.min("_o").alias("_first"))
     )
-    ordered = F.sort_array(F.collect_list(F.struct("_first", "value")))
-    return (
-        assign_chunks(distinct, [key, "column"], ["value"], limit)
-        .groupBy(key, "column", "chunk", "chunks")
-        .agg(F.array_join(F.transform(ordered, lambda x: x["value"]), SEPARATOR).alias("values"))
+    place = F.row_number().over(W.partitionBy(key, "column").orderBy("_first", "value")) - 1
+    ordered = F.sort_array(F.collect_list(F.struct("_place", "value")))
+    cells = (
+        distinct.withColumn("_place", place)
+        .withColumn("part", F.floor(F.col("_place") / limit).cast("int"))
+        .groupBy(key, "column", "part")
+        .agg(F.array_join(F.transform(ordered, lambda x: x["value"]), SEPARATOR).alias("_cell"))
+    )
+    return cells.groupBy(key, "part").agg(
+        *[F.max(F.when(F.col("column") == c, F.col("_cell"))).alias(f"{t.name}_{c}") for c in t.columns]
     )
-
-
-def wide_overflow(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
-    """The columns :func:`wide_table` leaves null, in parts of about ``limit`` values."""
-    parts = _large_parts(_as_text(t, key, ids), t.columns, key, limit)
-    return parts.filter(F.col("chunks") > 1).withColumn("table_name", F.lit(t.name))
 
 
 def wide_extract(
@@ -105,33 +77,45 @@ def wide_extract(
 ) -> DataFrame:
     """Entities in ``ids`` with their match detail and count and all columns of all tables.
 
-    ``detail``: (key, chunk, chunks, match_detail, match_count). An entity whose detail is
-    in several chunks gets the whole count here and keeps its detail in those chunks. Every
-    joined side is unique by key and hashed by it, so each table shuffles once. Absent
-    values are ''.
+    The rows with ``part`` 0 are the entities, each with the first ``limit`` values of every column;
+    '' stands for no value. What is beyond them follows in rows with ``part`` 1, 2, ..., one per table
+    (or detail), whose other columns are null. ``detail``: (key, chunk, match_detail, match_count), as
+    of :func:`match_detail`; ``match_count`` at part 0 is that of all chunks.
     """
-    out = ids.select(key).distinct()
+    wanted = ids.select(key).distinct()
+    out = wanted.withColumn("part", F.lit(0))
+    further = []
     if detail is not None:
-        per_entity = detail.groupBy(key).agg(
-            F.max(F.when(F.col("chunks") == 1, F.col("match_detail"))).alias("match_detail"),
-            F.sum("match_count").alias("match_count"),
+        lines = detail.join(wanted, key, "left_semi").select(
+            key, F.col("chunk").alias("part"), "match_detail",
+            F.sum("match_count").over(W.partitionBy(key)).alias("match_count"),
         )
-        out = out.join(per_entity, key, "left").withColumns(
+        out = out.join(lines.filter("part = 0").drop("part"), key, "left").withColumns(
             {
                 "match_detail": F.coalesce("match_detail", F.lit("")),
                 "match_count": F.coalesce("match_count", F.lit(0)),
             }
         )
+        further.append(lines.filter("part > 0").drop("match_count"))
     for t in tables:
         wide = wide_table(t, key, ids, limit)
-        out = out.join(wide, key, "left")
-        names = [c for c in wide.columns if c != key]
+        out = out.join(wide.filter("part = 0").drop("part"), key, "left")
+        names = [c for c in wide.columns if c not in (key, "part")]
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in names})
+        further.append(wide.filter("part > 0"))
+    for rows in further:
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
+def _entities(wide: DataFrame) -> DataFrame:
+    """The rows that stand for entities."""
+    return wide.filter("part = 0").drop("part") if "part" in wide.columns else wide
+
+
 def wide_extract_summary(wide: DataFrame, count_col: str = "match_count") -> DataFrame:
     """One row: entities, columns, and sum, mean and maximum of the matches."""
+    wide = _entities(wide)
     return wide.agg(
         F.count(F.lit(1)).alias("entities"),
         F.sum(count_col).alias("total_matches"),
@@ -142,7 +126,7 @@ def wide_extract_summary(wide: DataFrame, count_col: str = "match_count") -> Dat
 
 def wide_group_distribution(wide: DataFrame, group: str, k: int = 20) -> DataFrame:
     return (
-        wide.groupBy(group).agg(F.count(F.lit(1)).alias("entities"))
+        _entities(wide).groupBy(group).agg(F.count(F.lit(1)).alias("entities"))
         .orderBy(F.desc("entities"), group).limit(k)
     )
 
@@ -155,6 +139,7 @@ def audit_wide_extract(
     Expected columns of the whole extract: all table columns, the shared key once, and
     the meta columns.
     """
+    wide = _entities(wide)
     expected = sum(len(t.df.columns) for t in tables) - (len(tables) - 1) + meta_columns
     actual = len(wide.columns)
     aggs, rows = [], []
@@ -204,6 +189,7 @@ def column_coverage(
 
 def table_coverage(wide: DataFrame, tables: Sequence[WideTable]) -> DataFrame:
     """Per table of the extract: columns, columns with data, mean of the rounded coverages."""
+    wide = _entities(wide)
     names = [(t.name, c) for t in tables for c in wide.columns if c.startswith(f"{t.name}_")]
     cover = column_coverage(wide, [c for _, c in names])
     owner = F.create_map(*[F.lit(x) for t, c in names for x in (c, t)])

@@ -13,7 +13,7 @@ from recordlens.operators import wide as N
 def strict_extract(
     texts: Sequence[X.SearchTable], tables: Sequence[N.WideTable]
 ) -> tuple[DataFrame, DataFrame]:
-    """(extract, match detail). The detail also holds the chunks of large entities."""
+    """(extract, match detail). Both hold all values and matches; large entities have further rows."""
     cells = X.text_cells(texts)
     ids = X.strict_entities(cells).select("entity_id").distinct()
     detail = X.match_detail(X.strict_matches(cells), [t.name for t in texts])

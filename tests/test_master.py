@@ -40,17 +40,31 @@ def test_master_counts_flags_and_order(spark):
     assert rows[2]["c"] is None and not rows[2]["has_c"] and rows[1]["total_related_records"] == 2
 
 
-def test_large_entity_goes_to_chunks(spark):
+def test_large_entity_goes_on_in_further_rows(spark):
     base = spark.range(3).withColumnRenamed("id", "k")
     rows = spark.range(500).selectExpr("case when id < 450 then 0 else 1 end as k", "id as pos", "id * 2 as v")
     child = M.Child(rows, ("pos",), drop=())
-    master = {r["k"]: r for r in M.build_master(base, "k", ["k"], [], {"c": child}, limit=100).collect()}
-    assert master[0]["c_count"] == 450 and master[0]["c"] is None
-    assert master[1]["c_count"] == 50 and [x["pos"] for x in master[1]["c"]] == list(range(450, 500))
-    chunks = M.nest_chunks(rows, "k", child, limit=100).collect()
-    assert len(chunks) == 5 and max(r["record_count"] for r in chunks) < 200
-    places = [[x["pos"] for x in r["records"]] for r in chunks]
-    assert all(p == sorted(p) for p in places) and sorted(sum(places, [])) == list(range(450))
+    got = M.build_master(base, "k", ["k"], [], {"c": child}, limit=100).collect()
+    entities = {r["k"]: r for r in got if r["chunk"] == 0}
+    assert {k: r["c_count"] for k, r in entities.items()} == {0: 450, 1: 50, 2: 0}
+    assert [x["pos"] for x in entities[1]["c"]] == list(range(450, 500)) and entities[2]["c"] is None
+    more = sorted((r["chunk"], [x["pos"] for x in r["c"]], r["child"]) for r in got if r["chunk"])
+    assert [c for c, _, _ in more] == [1, 2, 3, 4] and {n for _, _, n in more} == {"c"}
+    assert [x["pos"] for x in entities[0]["c"]] + sum((p for _, p, _ in more), []) == list(range(450))
+    hot = M.large_keys(rows, "k", 100)
+    plain, spread = (
+        sorted((r["k"], r["chunk"], r["chunks"], [x["pos"] for x in r["records"]]) for r in M.nest_children(rows, "k", child, 100, h).collect())
+        for h in (None, hot)
+    )
+    assert plain == spread
+
+
+def test_one_scan_and_one_shuffle_per_child(spark, tmp_path):
+    path = str(tmp_path / "c")
+    spark.range(50).selectExpr("id % 7 as k", "id as pos").write.parquet(path)
+    rows = spark.read.parquet(path)
+    plan = M.nest_children(rows, "k", M.Child(rows, ("pos",), drop=()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Broadcast" not in plan
 
 
 def test_unnest_skips_what_is_no_record(spark):
@@ -68,11 +82,11 @@ def test_wide_values_in_first_seen_order(spark):
         "k long, pos int, t string, n double",
     )
     ids = spark.createDataFrame([(1,), (2,), (3,)], "k long")
-    for limit in (100, 3):
-        wide = N.wide_extract([N.WideTable("x", df, "k", ("pos",))], "k", ids, limit=limit)
-        rows = {r["k"]: r for r in wide.collect()}
-        assert rows[1]["x_t"] == "b | a" and rows[1]["x_n"] == "2.0 | 1.0", limit
-        assert rows[2]["x_t"] == "" and rows[3]["x_pos"] == ""
-    over = N.wide_overflow(N.WideTable("x", df, "k", ("pos",)), "k", ids, limit=3)
-    values = [v for r in over.collect() for v in r["values"].split(" | ")]
-    assert {r["column"] for r in over.collect()} == {"pos"} and sorted(values) == ["1", "2", "3", "4"]
+    wide = N.wide_extract([N.WideTable("x", df, "k", ("pos",))], "k", ids)
+    rows = {r["k"]: r for r in wide.collect()}
+    assert rows[1]["x_t"] == "b | a" and rows[1]["x_n"] == "2.0 | 1.0" and rows[1]["x_pos"] == "1 | 2 | 3 | 4"
+    assert rows[2]["x_t"] == "" and rows[3]["x_pos"] == ""
+    split = N.wide_extract([N.WideTable("x", df, "k", ("pos",))], "k", ids, limit=3).collect()
+    parts = {(r["k"], r["part"]): r for r in split}
+    assert sorted(parts) == [(1, 0), (1, 1), (2, 0), (3, 0)]
+    assert parts[1, 0]["x_pos"] == "1 | 2 | 3" and parts[1, 1]["x_pos"] == "4" and parts[1, 1]["x_t"] is None

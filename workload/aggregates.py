@@ -220,9 +220,10 @@ def child_density(t: Tables) -> DataFrame:
 )
 def child_density_from_nested(t: Tables) -> DataFrame:
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), *LINE_ORDER)
-    nested = M.nest_children(lines, "o_orderkey", M.Child(lines, LINE_ORDER))
+    # A low limit, so that many orders come in several chunks.
+    nested = M.nest_children(lines, "o_orderkey", M.Child(lines, LINE_ORDER), limit=2)
     joined = t.orders.select("o_orderkey").join(nested, "o_orderkey", "left")
-    return D.child_density_from_nested(joined.withColumnRenamed("records", "lineitem"), ["lineitem"])
+    return D.child_density_from_nested(joined.withColumnRenamed("records", "lineitem"), ["lineitem"], "o_orderkey")
 
 
 @query(

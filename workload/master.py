@@ -122,28 +122,32 @@ def _digest(records: str = "records"):
     """,
 )
 def nest_children(t: Tables) -> DataFrame:
-    nested = M.nest_all(_lines(t), "o_orderkey", _line_child(t))
+    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t))
     return nested.select("o_orderkey", "chunk", "chunks", "record_count", _digest().alias("digest"))
 
 
-@query(
-    "nest_chunks",
-    f"""
-    SELECT l_orderkey AS o_orderkey, count(*) AS records, count(DISTINCT ({_DIGEST})) AS distinct_records,
-           true AS within_limit
-    FROM lineitem GROUP BY 1
-    """,
-)
+_CHUNKED_SQL = f"""
+    SELECT l_orderkey AS o_orderkey, CAST((p - 1) // 4 AS INTEGER) AS chunk, CAST((any_value(n) + 3) // 4 AS INTEGER) AS chunks,
+           count(*) AS record_count, string_agg({_DIGEST}, ' ' ORDER BY {LINE_SQL_ORDER}) AS digest
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL_ORDER}) AS p,
+                 count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+    GROUP BY l_orderkey, (p - 1) // 4
+    """
+
+
+@query("nest_chunks", _CHUNKED_SQL)
 def nest_chunks(t: Tables) -> DataFrame:
-    """The same records when orders of more than 4 lines are split: none lost, none doubled."""
-    nested = M.nest_all(_lines(t), "o_orderkey", _line_child(t), limit=4)
-    return nested.select("o_orderkey", "chunks", F.explode("records").alias("r")).groupBy("o_orderkey").agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_distinct(
-            F.concat_ws(":", "r.l_linenumber", "r.l_partkey", "r.l_suppkey", "r.l_returnflag")
-        ).alias("distinct_records"),
-        F.max(F.col("chunks") >= 1).alias("within_limit"),
-    )
+    """Four records per row: the same records in the same order, in more rows."""
+    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t), limit=4)
+    return nested.select("o_orderkey", "chunk", "chunks", "record_count", _digest().alias("digest"))
+
+
+@query("nest_hot_keys", _CHUNKED_SQL)
+def nest_hot_keys(t: Tables) -> DataFrame:
+    """The same rows when the orders of 7 and more lines are range partitioned as hot ones."""
+    hot = M.large_keys(_lines(t), "o_orderkey", 6)
+    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t), limit=4, hot=hot)
+    return nested.select("o_orderkey", "chunk", "chunks", "record_count", _digest().alias("digest"))
 
 
 def customer_children(t: Tables) -> dict[str, M.Child]:
@@ -155,14 +159,14 @@ def customer_children(t: Tables) -> dict[str, M.Child]:
     }
 
 
-def customer_master(t: Tables, with_records: bool = True) -> DataFrame:
+def customer_master(t: Tables, with_records: bool = True, limit: int = M.RECORD_LIMIT) -> DataFrame:
     nation = t.nation.select("n_nationkey", "n_name")
     base = t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
     first_order = t.orders.select(
         F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority", F.lit("x").alias("c_name")
     )
     return M.build_master(
-        base, "c_custkey", ["c_name"], [(first_order, ["o_orderkey"])], customer_children(t), with_records
+        base, "c_custkey", ["c_name"], [(first_order, ["o_orderkey"])], customer_children(t), with_records, limit
     )
 
 
@@ -188,7 +192,7 @@ def build_master(t: Tables) -> DataFrame:
         # An entity without records has no array, and joins to null.
         return F.array_join(F.transform(column, lambda r: r[field].cast("string")), " ")
 
-    return customer_master(t).select(
+    return customer_master(t).filter("chunk = 0").select(
         "c_custkey", "c_name", "n_name", "o_orderkey", "o_orderpriority",
         joined("orders", "o_orderkey").alias("order_ids"),
         joined("events", "event_type").alias("event_kinds"),
@@ -196,6 +200,22 @@ def build_master(t: Tables) -> DataFrame:
     )
 
 
+@query("build_master_chunks", _MASTER_SQL + "SELECT c_custkey, c_name, order_ids, event_kinds, orders_count, events_count FROM m")
+def build_master_chunks(t: Tables) -> DataFrame:
+    """The same records from two per row: what the further rows hold goes on where chunk 0 ends."""
+
+    def joined(column: str, field: str):
+        pieces = F.collect_list(F.struct("chunk", F.transform(column, lambda r: r[field].cast("string")).alias("v")))
+        flat = F.flatten(F.transform(F.filter(F.sort_array(pieces), lambda p: p["v"].isNotNull()), lambda p: p["v"]))
+        return F.when(F.size(flat) > 0, F.array_join(flat, " "))
+
+    return customer_master(t, limit=2).groupBy("c_custkey").agg(
+        F.max("c_name").alias("c_name"), joined("orders", "o_orderkey").alias("order_ids"),
+        joined("events", "event_type").alias("event_kinds"), F.max("orders_count").alias("orders_count"),
+        F.max("events_count").alias("events_count"),
+    )
+
+
 @query(
     "nest_stats",
     _MASTER_SQL + """
@@ -216,7 +236,7 @@ def nest_stats(t: Tables) -> DataFrame:
     "column_roles",
     """
     SELECT (SELECT count(*) FROM customer) AS rows, role, columns
-    FROM (VALUES ('base', CAST(9 AS BIGINT)), ('records', 2), ('count', 2), ('flag', 2)) v(role, columns)
+    FROM (VALUES ('base', CAST(11 AS BIGINT)), ('records', 2), ('count', 2), ('flag', 2)) v(role, columns)
     """,
 )
 def column_roles(t: Tables) -> DataFrame:
@@ -310,41 +330,19 @@ def _wide_sql(order: str = "pos") -> str:
 
 @query("wide_extract", _wide_sql() + "SELECT * FROM wide")
 def wide_extract(t: Tables) -> DataFrame:
-    return N.wide_extract(_wide_tables(t), "entity_id", _urgent(t))
+    return N.wide_extract(_wide_tables(t), "entity_id", _urgent(t)).filter("part = 0").drop("part")
 
 
-@query("wide_extract_split", _wide_sql("v") + "SELECT * FROM wide")
+@query("wide_extract_split", _wide_sql() + "SELECT * FROM wide")
 def wide_extract_split(t: Tables) -> DataFrame:
-    """The same values when entities of more than 8 rows go the way of large ones.
+    """The same cells from two values per part: the parts of an entity go on where the one before ends."""
+    wide = N.wide_extract(_wide_tables(t), "entity_id", _urgent(t), limit=2)
 
-    A column with more than 8 distinct values then comes in parts. Values are sorted for
-    the comparison, as parts are divided by hash.
-    """
-    tables, ids, limit = _wide_tables(t), _urgent(t), 8
-    wide = N.wide_extract(tables, "entity_id", ids, limit=limit)
-    values = F.flatten(F.collect_list(F.split("values", r" \| ")))
-    for table in tables:
-        parts = N.wide_overflow(table, "entity_id", ids, limit)
-        whole = (
-            parts.groupBy("entity_id").pivot("column", table.columns)
-            .agg(F.array_join(values, " | "))
-            .withColumnsRenamed({c: f"_{c}" for c in table.columns})
-        )
-        wide = wide.join(whole, "entity_id", "left").withColumns(
-            {
-                f"{table.name}_{c}": F.array_join(
-                    F.sort_array(
-                        F.split(
-                            F.when(F.length(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(f"{table.name}_{c}")),
-                            r" \| ",
-                        )
-                    ),
-                    " | ",
-                )
-                for c in table.columns
-            }
-        ).drop(*[f"_{c}" for c in table.columns])
-    return wide
+    def cell(c: str):
+        pieces = F.filter(F.sort_array(F.collect_list(F.struct("part", F.col(c).alias("v")))), lambda p: p["v"].isNotNull())
+        return F.array_join(F.transform(pieces, lambda p: p["v"]), " | ").alias(c)
+
+    return wide.groupBy("entity_id").agg(*[cell(c) for c in wide.columns if c not in ("entity_id", "part")])
 
 
 @query(
