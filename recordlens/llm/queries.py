@@ -76,9 +76,10 @@ def joined_spans(spans: str) -> Column:
 @query("op8_pii")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents")).withColumn("_base", F.filter("spans", lambda s: s["base"]))
-    counts = {
-        f"n_{k}": F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS
-    }
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": of_kind(k) for k in pii.KINDS}
     return found.select(
         "doc_id", *[c.alias(n) for n, c in counts.items()],
         F.sha2(joined_spans("_base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"),
