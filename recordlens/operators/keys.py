@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordlens.functions.runtime import bind, percent
 from recordlens.operators.profile import union_all
@@ -19,13 +20,22 @@ RISK_COVERAGE = 95.0
 Tables = Mapping[str, tuple[DataFrame, str]]
 
 
+def key_type(tables: Iterable[tuple[DataFrame, str]]) -> str:
+    """The type keys of several tables are compared in: whole numbers if all are, else text."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    return "long" if all(isinstance(df.schema[key].dataType, whole) for df, key in tables) else "string"
+
+
 def key_counts(tables: Tables) -> DataFrame:
     """(table_name, key, n): rows per key and table, null keys included.
 
+    Keys are whole numbers if they are so in all tables, else text.
+
     Rows are counted before the shuffle, so a hot key is one row per task.
     """
+    kind = key_type(tables.values())
     frames = [
-        df.groupBy(F.col(key).cast("long").alias("key"))
+        df.groupBy(F.col(key).cast(kind).alias("key"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("table_name", F.lit(name))
         for name, (df, key) in tables.items()
@@ -115,8 +125,9 @@ def missing_ids(all_ids: DataFrame, ids: DataFrame, key: str, samples: int = 5)
 
 def union_ids(frames: Sequence[tuple[DataFrame, str]], name: str = "id") -> DataFrame:
     """Distinct ids over tables; each table is reduced before the union is."""
+    kind = key_type(frames)
     parts = [
-        df.select(F.col(key).cast("long").alias(name)).filter(F.col(name).isNotNull())
+        df.select(F.col(key).cast(kind).alias(name)).filter(F.col(name).isNotNull())
         for df, key in frames
     ]
     return union_all(parts).distinct()

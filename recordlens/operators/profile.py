@@ -116,31 +116,43 @@ def profile_nulls(df: DataFrame) -> DataFrame:
     )
 
 
-def infer_column_kind(df: DataFrame, order: Sequence[str], sample: int = KIND_SAMPLE) -> DataFrame:
-    """numeric, text or empty per column, judged by its first non-null values.
+def infer_column_kind(df: DataFrame, order: Sequence[str] = (), sample: int | None = None) -> DataFrame:
+    """numeric, text or empty per column, judged by all its values in one pass over the table.
 
-    Every column is a top-k over its own values, so nothing is sorted or shuffled whole.
+    With ``sample``, by the first so many non-null values in ``order``: every column is then a top-k over
+    its own values, so nothing is sorted or shuffled whole.
     """
-    frames = []
-    for c in df.columns:
-        first = (
-            df.filter(F.col(c).isNotNull())
-            .select(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(c).cast("string").alias("_v"))
-            .orderBy(*[f"_o{i}" for i in range(len(order))])
-            .limit(sample)
-        )
-        frames.append(
-            first.agg(
-                F.count(F.lit(1)).alias("sampled"),
-                F.coalesce(
-                    F.bool_and(F.trim("_v").try_cast("double").isNotNull()), F.lit(False)
-                ).alias("numeric"),
-            ).withColumn("column", F.lit(c))
-        )
+    if sample is None:
+        values = [F.col(c).cast("string") for c in df.columns]
+        found = per_column(
+            df, df.columns,
+            {
+                "sampled": tuple(F.count(v) for v in values),
+                "_bad": tuple(F.count_if(v.isNotNull() & F.trim(v).try_cast("double").isNull()) for v in values),
+            },
+        ).withColumn("numeric", F.col("_bad") == 0)
+    else:
+        frames = []
+        for c in df.columns:
+            first = (
+                df.filter(F.col(c).isNotNull())
+                .select(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(c).cast("string").alias("_v"))
+                .orderBy(*[f"_o{i}" for i in range(len(order))])
+                .limit(sample)
+            )
+            frames.append(
+                first.agg(
+                    F.count(F.lit(1)).alias("sampled"),
+                    F.coalesce(
+                        F.bool_and(F.trim("_v").try_cast("double").isNotNull()), F.lit(False)
+                    ).alias("numeric"),
+                ).withColumn("column", F.lit(c))
+            )
+        found = union_all(frames)
     kind = (
         F.when(F.col("sampled") == 0, "empty").when(F.col("numeric"), "numeric").otherwise("text")
     )
-    return union_all(frames).select("column", "sampled", kind.alias("kind"))
+    return found.select("column", "sampled", kind.alias("kind"))
 
 
 def kind_counts(kinds: DataFrame) -> DataFrame:
@@ -199,28 +211,46 @@ def sample_rows(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], k: int =
     return union_all(frames)
 
 
-def _fingerprint(df: DataFrame) -> DataFrame:
-    """Rows, nulls and an order-free hash sum per column.
+def _common_type(a: T.DataType | None, b: T.DataType | None) -> str:
+    """The type in which values of both are compared: the wider number, else text."""
+    if isinstance(a, NUMERIC) and isinstance(b, NUMERIC):
+        whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+        if isinstance(a, whole) and isinstance(b, whole):
+            return "bigint"
+        if isinstance(a, (T.DecimalType, *whole)) and isinstance(b, (T.DecimalType, *whole)):
+            return "decimal(38,10)"
+        return "double"
+    return a.simpleString() if a is not None and a == b and not isinstance(a, T.StringType) else "string"
 
-    Values are hashed as text, so narrowed types compare equal to the original.
-    """
+
+def _fingerprint(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Rows, nulls and an order-free hash sum per column, over values of the given types."""
     columns = df.columns
-    text = [F.col(c).cast("string") for c in columns]
+    values = []
+    for c in columns:
+        v = F.col(c).cast(types[c])
+        values.append(v + F.lit(0.0) if types[c] == "double" else v)  # no negative zero
     # 48-bit hashes keep the sum of up to 2^40 rows within a decimal without overflow.
-    hashes = [F.shiftrightunsigned(F.xxhash64(t), 16).cast("decimal(38,0)") for t in text]
+    hashes = [F.shiftrightunsigned(F.xxhash64(v), 16).cast("decimal(38,0)") for v in values]
     return per_column(
         df, columns,
         {
             "rows": tuple(F.count(F.lit(1)) for _ in columns),
-            "nulls": tuple(F.count_if(t.isNull()) for t in text),
-            "hash_sum": tuple(F.sum(F.when(t.isNotNull(), h)) for t, h in zip(text, hashes)),
+            "nulls": tuple(F.count_if(v.isNull()) for v in values),
+            "hash_sum": tuple(F.sum(F.when(v.isNotNull(), h)) for v, h in zip(values, hashes)),
         },
     )
 
 
 def audit_conversion(raw: DataFrame, converted: DataFrame) -> DataFrame:
-    """Per column of either side: present on both, and the same rows, nulls and values?"""
-    a, b = _fingerprint(raw), _fingerprint(converted)
+    """Per column of either side: present on both, and the same rows, nulls and values?
+
+    Numbers are compared as the wider of their two types, so narrowing changes nothing unless it
+    changes a value; other differing types are compared as text.
+    """
+    left, right = ({f.name: f.dataType for f in df.schema.fields} for df in (raw, converted))
+    types = {c: _common_type(left.get(c), right.get(c)) for c in {**left, **right}}
+    a, b = _fingerprint(raw, types), _fingerprint(converted, types)
     joined = a.alias("a").join(b.alias("b"), F.col("a.column") == F.col("b.column"), "full")
     both = F.col("a.column").isNotNull() & F.col("b.column").isNotNull()
     return joined.select(

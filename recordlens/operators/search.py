@@ -28,11 +28,14 @@ DETAIL_LIMIT = 100_000
 _MASK_BITS = 32
 
 
+ONE_RECORD = ""
+
+
 @dataclass(frozen=True)
 class SearchTable:
     """``row_pos`` tells the records of an entity apart and orders them.
 
-    Without it they are told apart, and put in a fixed but meaningless order, by a hash of the whole record;
+    ``ONE_RECORD`` says that no entity has a second one. Without it they are told apart, and put in a fixed but meaningless order, by a hash of the whole record;
     equal records then count as one. Keys that are no whole numbers name no entity, as do null keys.
     """
 
@@ -55,7 +58,7 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
             continue
         rows = t.df
         # Without a column for it, the record itself tells records apart: a hash of all its columns.
-        pos = F.col(t.row_pos) if t.row_pos else F.xxhash64(*t.df.columns)
+        pos = F.lit(0) if t.row_pos == ONE_RECORD else F.col(t.row_pos) if t.row_pos else F.xxhash64(*t.df.columns)
         ids = [
             F.col(t.key).try_cast("long").alias("entity_id"),
             F.lit(t.name).alias("table_name"),

@@ -42,7 +42,7 @@ def read_nested_json(
     reader = spark.read if schema is None else spark.read.schema(schema)
     return (
         reader.json(path)
-        .select(F.col(id_field).cast("long").alias("id"), F.col(name_field).alias("name"))
+        .select(F.col(id_field).try_cast("long").alias("id"), F.col(name_field).alias("name"))
         .filter(F.col("id").isNotNull() & (F.col("name") != ""))
     )
 

@@ -34,14 +34,8 @@ UNKNOWN_CATEGORY = "不明"
 # ---------------------------------------------------------------------------
 
 
-def detect_encodings(
-    spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS
-) -> DataFrame:
-    """(path, encoding): the first encoding that decodes every line of a file, null if none does.
-
-    Files are read as lines of raw bytes, so a large file is split over many tasks. All
-    supported encodings keep the line feed byte for line ends only.
-    """
+def _python_encodings(lines: DataFrame, encodings: Sequence[str]) -> DataFrame:
+    """(path, encoding) by decoding every non-ASCII line in every encoding."""
 
     @F.pandas_udf("long")
     def failed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -57,9 +51,6 @@ def detect_encodings(
         for lines in batches:
             yield lines.map(lambda b: mask(bytes(b))).astype("int64")
 
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line")
-    )
     # An all-ASCII line without an escape decodes the same in every encoding.
     plain = ~F.col("line").cast("string").rlike(r"[^\x01-\x1a\x1c-\x7f]")
     per_file = (
@@ -73,6 +64,46 @@ def detect_encodings(
     return per_file.select("path", first.alias("encoding"))
 
 
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines of raw bytes, so that a large file is split over many tasks.
+
+    All supported encodings keep the line feed byte for line ends only.
+    """
+    return spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("line"), F.col("value"),
+    )
+
+
+def detect_encodings(
+    spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS
+) -> DataFrame:
+    """(path, encoding): the first encoding that decodes every line of a file, null if none does.
+
+    Where UTF-8 comes first, files that are valid in it are settled in the JVM, and Python sees
+    only the lines of the others.
+    """
+    lines = _lines(spark, paths)
+    if not encodings or encodings[0] not in ("utf-8", "utf-8-sig"):
+        return _python_encodings(lines, encodings)
+    valid = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
+    rest = lines.join(valid.filter(~F.col("ok")), "path", "left_semi")
+    return valid.filter("ok").select("path", F.lit(encodings[0]).alias("encoding")).unionByName(
+        _python_encodings(rest, encodings)
+    )
+
+
+def _layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, header, quoted): the first line of each file, and whether a quote is open at the end of some line."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    return (
+        _lines(spark, paths)
+        .withColumn("at", F.when(F.col("block") == 0, F.monotonically_increasing_id()))
+        .groupBy("path")
+        .agg(F.min_by(F.hex("line"), "at").alias("header"), F.max(quotes % 2 == 1).alias("quoted"))
+    )
+
+
 def allow_java_charsets(spark: SparkSession) -> None:
     """Accept encodings beyond the default list in this session's CSV readers and writers.
 
@@ -81,47 +112,92 @@ def allow_java_charsets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def read_csv_any_encoding(
-    spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS,
-    infer: bool = True, keep_source: bool = False, multi_line: bool = False,
+def _read_groups(
+    spark: SparkSession, files: Sequence[tuple[str, str, str, bool]], keep_source: bool
 ) -> DataFrame:
-    """All files as one frame; a column some file lacks is null there.
+    """Files as (path, encoding, header, quoted) in one all-string frame, united by column name.
 
-    The file list is on the driver as in any Spark read; file contents never are. With
-    ``multi_line`` quoted values may hold line breaks, at the price of one task per file.
+    A reader takes the header of one file for all it is given, so files are read by groups of equal
+    header, encoding and quoting.
     """
-    found = detect_encodings(spark, paths, encodings).collect()
-    unreadable = sorted(r["path"] for r in found if r["encoding"] is None)
-    if unreadable:
-        raise ValueError(f"no encoding decodes {unreadable}")
-    by_encoding: dict[str, list[str]] = {}
-    for r in found:
-        by_encoding.setdefault(r["encoding"], []).append(r["path"])
-    if set(by_encoding) - {"utf-8", "utf-8-sig"}:
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for path, encoding, header, quoted in files:
+        groups.setdefault((encoding, header or "", bool(quoted)), []).append(path)
+    if {e for e, _, _ in groups} - {"utf-8", "utf-8-sig"}:
         allow_java_charsets(spark)
     frames = []
-    for name in encodings:
-        if name not in by_encoding:
-            continue
+    for (encoding, _, quoted), members in sorted(groups.items(), key=lambda g: min(g[1])):
         df = spark.read.csv(
-            sorted(by_encoding[name]), header=True, inferSchema=infer, encoding=JAVA_CHARSETS[name],
-            quote='"', escape='"', multiLine=multi_line,
+            sorted(members), header=True, inferSchema=False, encoding=JAVA_CHARSETS[encoding], quote='"', escape='"',
+            multiLine=quoted,
         )
         if keep_source:
             df = df.select(
-                "*", F.col("_metadata.file_name").alias("source_file"), F.lit(name).alias("encoding")
+                "*", F.col("_metadata.file_name").alias("source_file"), F.lit(encoding).alias("encoding")
             )
         frames.append(df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+# Types of a column of texts, the first that all its values have.
+_DATE, _TIME = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$", r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]"
+
+
+def infer_types(df: DataFrame, leave: Sequence[str] = ()) -> DataFrame:
+    """Cast all-string columns to int, long, double, date, timestamp or boolean where every value allows it.
+
+    One pass over the whole frame, whatever files it came from; a column without values stays a string.
+    """
+    columns = [c for c in df.columns if c not in leave]
+    if not columns:
+        return df
+
+    def fits(c: str) -> list[tuple[str, Column]]:
+        v = F.col(f"`{c}`")
+        return [
+            ("int", v.try_cast("int").isNotNull()), ("bigint", v.try_cast("bigint").isNotNull()),
+            ("double", v.try_cast("double").isNotNull()),
+            ("date", v.rlike(_DATE) & v.try_cast("date").isNotNull()),
+            ("timestamp", v.rlike(_TIME) & v.try_cast("timestamp").isNotNull()),
+            ("boolean", v.try_cast("boolean").isNotNull() & F.lower(F.trim(v)).isin("true", "false")),
+        ]
+
+    aggs = [
+        F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), ok)).alias(f"{i}_{t}")
+        for i, c in enumerate(columns) for t, ok in fits(c)
+    ]
+    found = df.agg(*aggs).first()  # one row
+    casts = {}
+    for i, c in enumerate(columns):
+        kind = next((t for t in ("int", "bigint", "double", "date", "timestamp", "boolean") if found[f"{i}_{t}"]), None)
+        if kind:
+            casts[c] = F.col(f"`{c}`").cast(kind)
+    return df.withColumns(casts) if casts else df
+
+
+def read_csv_any_encoding(
+    spark: SparkSession, paths: Sequence[str], encodings: Sequence[str] = ENCODINGS,
+    infer: bool = True, keep_source: bool = False,
+) -> DataFrame:
+    """All files as one frame; a column some file lacks is null there.
+
+    Every file keeps its own header, values may hold quotes and line breaks, and types are those
+    that all files' values have. The file list is on the driver as in any Spark read; file contents
+    never are. Only files in which a quote is open at a line end are read by one task each.
+    """
+    found = {r["path"]: r["encoding"] for r in detect_encodings(spark, paths, encodings).collect()}
+    unreadable = sorted(p for p, e in found.items() if e is None)
+    if unreadable:
+        raise ValueError(f"no encoding decodes {unreadable}")
+    layouts = _layouts(spark, paths).collect()
+    df = _read_groups(spark, [(r["path"], found[r["path"]], r["header"], r["quoted"]) for r in layouts], keep_source)
+    return infer_types(df, ("source_file", "encoding") if keep_source else ()) if infer else df
+
+
 def read_all_string(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8") -> DataFrame:
-    """CSV without any type inference."""
-    if encoding not in ("utf-8", "utf-8-sig"):
-        allow_java_charsets(spark)
-    return spark.read.csv(
-        list(paths), header=True, inferSchema=False, encoding=JAVA_CHARSETS[encoding], quote='"', escape='"'
-    )
+    """CSV without any type inference, each file with its own header, united by column name."""
+    layouts = _layouts(spark, paths).collect()
+    return _read_groups(spark, [(r["path"], encoding, r["header"], r["quoted"]) for r in layouts], False)
 
 
 def tag_source_category(file_name: Column) -> tuple[Column, Column]:

@@ -73,6 +73,12 @@ def test_detail_of_a_large_entity_is_divided(spark):
     assert sum(r["match_detail"].count("x.t: AI") for r in parts) == 600
 
 
+def test_records_without_a_position_are_told_apart(spark):
+    df = spark.createDataFrame([("7", "the AI"), ("7", "an AI"), ("7", "AI it is"), ("x9", "AI"), (None, "AI")], "id string, t string")
+    got = X.strict_entities(X.text_cells([X.SearchTable("x", df, "id", ("t",))])).collect()
+    assert [(r["entity_id"], r["records"]) for r in got] == [(7, 3)]
+
+
 def test_key_alias():
     assert T.key_column(["a", "事業ID", "予算事業コード"]) == "予算事業コード"
     assert T.key_column(["a"]) is None

@@ -104,5 +104,30 @@ def test_absent_tables_are_skipped(spark):
 
 def test_quoted_line_breaks(spark, tmp_path):
     path = write(tmp_path, "q.csv", "shift_jis", 'id,文\n1,"二行の\n""引用"""\n2,一行\n')
-    rows = csv.read_csv_any_encoding(spark, [path], multi_line=True).collect()
+    rows = csv.read_csv_any_encoding(spark, [path]).collect()
     assert [tuple(r) for r in rows] == [(1, '二行の\n"引用"'), (2, "一行")]
+
+
+def test_every_file_keeps_its_own_header_and_types_are_joint(spark, tmp_path):
+    a = write(tmp_path, "a.csv", "utf-8", 'id,name,amt\n1,"x\ny",10\n2,"say ""hi""",20\n')
+    b = write(tmp_path, "b.csv", "utf-8", "id,amt,extra\n3,A,7\n")
+    c = write(tmp_path, "c.csv", "shift_jis", "id,名\nAB,名前\n")
+    df = csv.read_csv_any_encoding(spark, [a, b, c])
+    rows = {r["id"]: r.asDict() for r in df.collect()}
+    assert rows["1"]["name"] == "x\ny" and rows["2"]["name"] == 'say "hi"' and rows["1"]["amt"] == "10"
+    assert rows["3"] == {"id": "3", "name": None, "amt": "A", "extra": 7, "名": None} and rows["AB"]["名"] == "名前"
+    texts = csv.read_all_string(spark, [a, b])
+    assert {r["extra"] for r in texts.collect()} == {None, "7"} and len(texts.collect()) == 3
+
+
+def test_inferred_types(spark):
+    rows = [("1", "3000000000", "1.5", "1995-01-02", "1995-01-02 03:04:05", "true", "007x", None), (None, "1", "2", None, None, "FALSE", "1", None)]
+    df = csv.infer_types(spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string, h string"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "bigint", "double", "date", "timestamp", "boolean", "string", "string"]
+
+
+def test_audit_accepts_whole_doubles_narrowed(spark):
+    raw = spark.createDataFrame([(1.0, -0.0, 2.5, "x"), (200.0, None, 0.1, None)], "a double, b double, c double, t string")
+    assert all(r["same_values"] for r in R.audit_conversion(raw, columnar.narrow_numeric(raw)).collect())
+    changed = raw.withColumn("a", F.col("a") + F.when(F.col("a") == 1, 1).otherwise(0))
+    assert {r["column"] for r in R.audit_conversion(raw, changed).collect() if not r["same_values"]} == {"a"}

@@ -87,7 +87,11 @@ def test_tiers_add_up(spark):
 
 def test_profiles_on_odd_columns(spark):
     df = spark.createDataFrame([("1", None, "a", 1), ("2", None, None, 2), ("x", None, "a", 3)], "m string, e string, t string, o int")
-    kinds = {r["column"]: r["kind"] for r in R.infer_column_kind(df, ["o"]).collect()}
+    for how in ({}, {"order": ["o"], "sample": 100}):
+        kinds = {r["column"]: r["kind"] for r in R.infer_column_kind(df, **how).collect()}
+        assert kinds == {"m": "text", "e": "empty", "t": "text", "o": "numeric"}
+    late = spark.range(300).selectExpr("if(id = 299, 'x', '1') as v", "id as o")
+    assert [R.infer_column_kind(late.select("v", "o"), *a).first()["kind"] for a in ((), (["o"], 100))] == ["text", "numeric"]
     assert kinds == {"m": "text", "e": "empty", "t": "text", "o": "numeric"}
     cats = {r["column"]: r for r in R.profile_categorical(df).collect()}
     assert (cats["e"]["distinct_values"], cats["e"]["null_count"], cats["e"]["top_values"]) == (0, 3, None)

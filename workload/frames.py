@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordlens.functions.runtime import exact_sum, materialize
 from recordlens.functions.scalars import has_child_flags, total_related
 from recordlens.operators.master import attach_by_key
-from recordlens.operators.search import SearchTable
+from recordlens.operators.search import ONE_RECORD, SearchTable
 from workload.registry import Tables
 
 COUNTS = ["orders_count", "lineitem_count", "events_count"]
@@ -135,9 +135,9 @@ WITH d AS (
 def search_tables(t: Tables) -> list[SearchTable]:
     """Three text tables over one id space."""
     return [
-        SearchTable("documents", t.documents, "doc_id", ("text", "source")),
+        SearchTable("documents", t.documents, "doc_id", ("text", "source"), ONE_RECORD),
         SearchTable("conversations", t.conversations, "conv_id", ("text", "role"), "turn"),
-        SearchTable("benchmark", t.benchmark, "item_id", ("text", "absent_field")),
+        SearchTable("benchmark", t.benchmark, "item_id", ("text", "absent_field"), ONE_RECORD),
     ]
 
 

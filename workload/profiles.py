@@ -92,7 +92,16 @@ def _kind_sql(c: str) -> str:
 
 @query("infer_column_kind", _MIXED + " UNION ALL ".join(_kind_sql(c) for c in _KINDS))
 def infer_column_kind(t: Tables) -> DataFrame:
-    return R.infer_column_kind(_mixed(t), ["o_orderkey"])
+    return R.infer_column_kind(_mixed(t), ["o_orderkey"], sample=R.KIND_SAMPLE)
+
+
+def _whole_kind_sql(c: str) -> str:
+    return _kind_sql(c).replace(" ORDER BY o_orderkey LIMIT 100", "")
+
+
+@query("infer_column_kind_whole", _MIXED + " UNION ALL ".join(_whole_kind_sql(c) for c in _KINDS))
+def infer_column_kind_whole(t: Tables) -> DataFrame:
+    return R.infer_column_kind(_mixed(t))
 
 
 @query(
@@ -101,7 +110,7 @@ def infer_column_kind(t: Tables) -> DataFrame:
     + ") GROUP BY 1",
 )
 def kind_counts(t: Tables) -> DataFrame:
-    return R.kind_counts(R.infer_column_kind(_mixed(t), ["o_orderkey"]))
+    return R.kind_counts(R.infer_column_kind(_mixed(t), ["o_orderkey"], sample=R.KIND_SAMPLE))
 
 
 _CATEGORY = {
@@ -297,7 +306,7 @@ def field_overlap(t: Tables) -> DataFrame:
 def _conversion(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Orders as CSV text, and the same narrowed and stored columnar, with one column changed."""
     raw_path, new_path = scratch_path(t.spark, "raw"), scratch_path(t.spark, "converted")
-    csv.write_csv(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), raw_path)
+    csv.write_csv(t.orders, raw_path)
     raw = csv.read_csv_any_encoding(t.spark, [raw_path])
     changed = F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_orderstatus"))
     converted = columnar.narrow_numeric(raw).withColumn("o_orderstatus", changed).withColumnRenamed(
@@ -314,6 +323,8 @@ def _conversion(t: Tables) -> tuple[DataFrame, DataFrame]:
     SELECT 'o_orderkey' AS column, 'both' AS state, count(*) AS raw_rows, count(*) AS converted_rows,
            CAST(0 AS BIGINT) AS raw_nulls, CAST(0 AS BIGINT) AS converted_nulls FROM orders
     UNION ALL SELECT 'o_custkey', 'both', count(*), count(*), 0, 0 FROM orders
+    UNION ALL SELECT 'o_totalprice', 'both', count(*), count(*), 0, 0 FROM orders
+    UNION ALL SELECT 'o_orderdate', 'both', count(*), count(*), 0, 0 FROM orders
     UNION ALL SELECT 'o_orderstatus', 'both', count(*), count(*), 0, count(*) FILTER (o_orderstatus = 'P') FROM orders
     UNION ALL SELECT 'o_orderpriority', 'missing', count(*), NULL, 0, NULL FROM orders
     UNION ALL SELECT 'priority', 'added', NULL, count(*), NULL, 0 FROM orders)
@@ -323,10 +334,52 @@ def audit_conversion(t: Tables) -> DataFrame:
     return R.audit_conversion(*_conversion(t)).withColumn("same_values", F.coalesce("same_values", F.lit(False)))
 
 
+_LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+@query(
+    "audit_conversion_narrowed",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, 'both' AS state, count(*) AS raw_rows, count(*) AS converted_rows,
+               CAST(0 AS BIGINT) AS raw_nulls, CAST(0 AS BIGINT) AS converted_nulls, true AS same_values FROM lineitem"""
+        for c in _LINE_COLUMNS
+    ),
+)
+def audit_conversion_narrowed(t: Tables) -> DataFrame:
+    """All columns of the lines, among them doubles that hold whole numbers, against their narrowed copy."""
+    path = scratch_path(t.spark, "narrowed")
+    columnar.write_columnar(columnar.narrow_numeric(t.lineitem), path)
+    return R.audit_conversion(t.lineitem, t.spark.read.parquet(path))
+
+
+@query(
+    "key_cardinality_text",
+    """
+    WITH k AS (SELECT 'a' AS table_name, 'C' || c_custkey AS key FROM customer
+      UNION ALL SELECT 'b', CASE WHEN o_custkey % 10 = 0 THEN 'bad key' WHEN o_custkey % 10 = 1 THEN NULL ELSE o_custkey::VARCHAR END FROM orders)
+    SELECT table_name, count(DISTINCT key) AS unique_keys, count(key) AS keyed_rows,
+           round(count(key) / count(DISTINCT key), 2) AS rows_per_key, min(key) AS min_key, max(key) AS max_key,
+           count(*) - count(key) AS null_keys
+    FROM k GROUP BY 1
+    """,
+)
+def key_cardinality_text(t: Tables) -> DataFrame:
+    key = F.col("o_custkey") % 10
+    bad = F.when(key == 0, "bad key").when(key == 1, None).otherwise(F.col("o_custkey").cast("string"))
+    tables = {
+        "a": (t.customer.select(F.concat(F.lit("C"), F.col("c_custkey")).alias("key")), "key"),
+        "b": (t.orders.select(bad.alias("key")), "key"),
+    }
+    return K.key_cardinality(K.key_counts(tables))
+
+
 @query(
     "audit_summary",
     """
-    SELECT 'orders' AS table_name, CAST(4 AS BIGINT) AS raw_columns, CAST(4 AS BIGINT) AS converted_columns,
+    SELECT 'orders' AS table_name, CAST(6 AS BIGINT) AS raw_columns, CAST(6 AS BIGINT) AS converted_columns,
            CAST(1 AS BIGINT) AS missing_columns, CAST(1 AS BIGINT) AS added_columns,
            count(*) FILTER (o_orderstatus = 'P') = 0 AND false AS all_equal FROM orders
     UNION ALL SELECT 'part', count(DISTINCT 1) * 6, 6, 0, 0, true FROM part

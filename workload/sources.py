@@ -34,6 +34,33 @@ def read_csv_any_encoding(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "read_csv_own_headers",
+    """
+    SELECT id, name, amount, extra FROM (
+      SELECT p_partkey::VARCHAR AS id, 'part "' || p_name || '"' || chr(10) || 'second line' AS name,
+             p_size::DOUBLE AS amount, NULL AS extra FROM part
+      UNION ALL SELECT s_suppkey::VARCHAR, NULL, s_acctbal, s_name FROM supplier
+      UNION ALL SELECT 'N' || n_nationkey, '国' || n_name, NULL, NULL FROM nation)
+    """,
+    "amount",
+)
+def read_csv_own_headers(t: Tables) -> DataFrame:
+    """Three headers in two encodings, a key that is a number in some files only, quotes and line breaks in values."""
+    name = F.concat(F.lit('part "'), "p_name", F.lit('"\nsecond line'))
+    paths = [scratch_path(t.spark, f"own{i}") for i in range(3)]
+    csv.write_csv(t.part.select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").alias("amount")), paths[0])
+    csv.write_csv(
+        t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("amount"), F.col("s_name").alias("extra")),
+        paths[1],
+    )
+    csv.allow_java_charsets(t.spark)
+    t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.concat(F.lit("国"), "n_name").alias("name")).write.csv(
+        paths[2], header=True, encoding="Shift_JIS"
+    )
+    return csv.read_csv_any_encoding(t.spark, paths).select("id", "name", "amount", "extra")
+
+
 @query(
     "tag_source_category",
     """
@@ -61,7 +88,7 @@ def tag_source_category(t: Tables) -> DataFrame:
 )
 def read_all_string(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "strings")
-    csv.write_csv(t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag"), path)
+    csv.write_csv(t.lineitem, path)
     return csv.read_all_string(t.spark, [path]).groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("l_orderkey").alias("max_orderkey"),
