@@ -16,8 +16,8 @@ from recordlens.functions.runtime import join_small, materialize, percent
 THRESHOLD = 0.7
 CONTAINED = 0.9
 
-# A list of at most this many names is compared with every candidate.
-LIST_LIMIT = 2_000
+# Names that one pass over all candidates takes along.
+NAMES_PER_PASS = 2_000
 
 BEST = "official_name string, candidate_id long, candidate_name string, similarity double"
 
@@ -57,23 +57,27 @@ def exact_name_match(officials: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def fuzzy_best_match(
-    officials: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD
+    officials: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, best_below: bool = True
 ) -> DataFrame:
     """The most similar candidate of every official name; smallest id on ties.
 
-    ``officials`` (name) and ``candidates`` (name, id) are unique by name. A list of up to
-    ``LIST_LIMIT`` names is held by every task and compared with all candidates. A longer
-    one is blocked, which finds all pairs from ``threshold`` on and gives null below it.
+    ``officials`` (name) and ``candidates`` (name, id) are unique by name; both are stored once.
+    Pairs from ``threshold`` on are found by blocking, whatever the length of the lists. With
+    ``best_below``, names without such a partner are then compared with all candidates, a
+    block of names in each pass, so they get their best one too; otherwise theirs is null.
     """
-    names = materialize(officials.select("name"))
-    if names.count() <= LIST_LIMIT:
-        best = _exhaustive(names, candidates)
-    else:
-        best = _scored_blocks(names, candidates, threshold)
+    names, others = materialize(officials.select("name")), materialize(candidates.select("name", "id"))
+    best = _scored_blocks(names, others, threshold)
+    if best_below:
+        best = materialize(best)
+        rest = names.join(best.select(F.col("official_name").alias("name")), "name", "left_anti")
+        for block in _blocks(rest):
+            best = best.unionByName(_compare_all(block, others))
     return names.select(F.col("name").alias("official_name")).join(best, "official_name", "left")
 
 
-def _best_per_name(pairs: DataFrame) -> DataFrame:
+def best_match_per_name(pairs: DataFrame) -> DataFrame:
+    """Of every official name's pairs the most similar one, the smallest candidate id on ties."""
     order = F.struct(F.col("similarity").alias("s"), (-F.col("candidate_id")).alias("i"))
     return (
         pairs.groupBy("official_name")
@@ -82,9 +86,20 @@ def _best_per_name(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _exhaustive(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Best candidate per name within each partition, then over all of them."""
-    wanted = [r["name"] for r in names.orderBy("name").limit(LIST_LIMIT).collect()]
+def _blocks(names: DataFrame) -> Iterator[list[str]]:
+    """All names, ``NAMES_PER_PASS`` at a time."""
+    block: list[str] = []
+    for r in names.toLocalIterator():
+        block.append(r["name"])
+        if len(block) == NAMES_PER_PASS:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _compare_all(wanted: list[str], candidates: DataFrame) -> DataFrame:
+    """Best candidate of each wanted name within each partition, then over all of them."""
 
     def best_in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, tuple[float, int, str]] = {}
@@ -102,11 +117,31 @@ def _exhaustive(names: DataFrame, candidates: DataFrame) -> DataFrame:
                 columns=["official_name", "candidate_id", "candidate_name", "similarity"],
             )
 
-    return _best_per_name(candidates.select("name", "id").mapInPandas(best_in_partition, BEST))
+    return best_match_per_name(candidates.select("name", "id").mapInPandas(best_in_partition, BEST))
+
+
+def shared_characters(a: Column, b: Column) -> Column:
+    """Characters two names have in common, each as often as in the name that has fewer."""
+    def copies(text: Column, ch: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+
+    return F.aggregate(
+        F.filter(F.array_distinct(F.split(a, "")), lambda ch: ch != ""), F.lit(0),
+        lambda n, ch: n + F.least(copies(a, ch), copies(b, ch)),
+    )
+
+
+def scored_pairs(officials: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """The blocked pairs that can reach ``threshold``: by shared characters, or as one holds the other."""
+    a, b = F.col("official_name"), F.col("candidate_name")
+    bound = 2.0 * shared_characters(a, b) / (F.length(a) + F.length(b))
+    return candidate_pairs(officials, candidates, threshold).filter(
+        (bound >= threshold - 1e-9) | a.contains(b) | b.contains(a)
+    )
 
 
 def _scored_blocks(officials: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    pairs = candidate_pairs(officials, candidates, threshold)
+    pairs = scored_pairs(officials, candidates, threshold)
 
     @F.pandas_udf("double")
     def score(official: pd.Series, candidate: pd.Series) -> pd.Series:
@@ -119,7 +154,7 @@ def _scored_blocks(officials: DataFrame, candidates: DataFrame, threshold: float
         "official_name", "candidate_id", "candidate_name",
         score("official_name", "candidate_name").alias("similarity"),
     )
-    return _best_per_name(scored.filter(F.col("similarity") >= threshold))
+    return best_match_per_name(scored.filter(F.col("similarity") >= threshold))
 
 
 def candidate_pairs(officials: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
@@ -211,22 +246,26 @@ def _containment_pairs(inner: DataFrame, inner_name: str, outer: DataFrame, oute
 
 
 def membership_flags(df: DataFrame, id_col: str, sources: dict[str, DataFrame]) -> DataFrame:
-    """A boolean per source: whether its ids hold the row's id."""
-    out = df
+    """A boolean per source: whether its ids hold the row's id; a null id is in none.
+
+    Rows without an id stay out of the joins, where they would all meet in one task.
+    """
+    out = df.filter(F.col(id_col).isNotNull())
     for flag, ids in sources.items():
         marked = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct().withColumn(flag, F.lit(True))
         out = out.join(marked, id_col, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return out
+    none = df.filter(F.col(id_col).isNull()).withColumns({flag: F.lit(False) for flag in sources})
+    return out.select(*df.columns, *sources).unionByName(none)
 
 
 def reconcile_names(
     officials: DataFrame, candidates: DataFrame, sources: dict[str, DataFrame],
-    threshold: float = THRESHOLD,
+    threshold: float = THRESHOLD, best_below: bool = True,
 ) -> DataFrame:
     """Every official name once: exact, fuzzy or none, with id, name, similarity and flags.
 
-    ``officials`` (name, copies); a name without partner keeps its best candidate, if known,
-    and has no id. Its flags are false.
+    ``officials`` (name, copies); a name without partner keeps its best candidate (see
+    :func:`fuzzy_best_match` for ``best_below``) and has no id. Its flags are false.
     """
     exact = exact_name_match(officials, candidates).select(
         "official_name", "candidate_id",
@@ -236,7 +275,7 @@ def reconcile_names(
     )
     rest = officials.join(candidates.select("name"), "name", "left_anti")
     near = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
-    fuzzy = fuzzy_best_match(rest, candidates, threshold).select(
+    fuzzy = fuzzy_best_match(rest, candidates, threshold, best_below).select(
         "official_name",
         F.when(near, F.col("candidate_id")).alias("candidate_id"),
         "candidate_name",

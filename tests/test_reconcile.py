@@ -48,8 +48,11 @@ def frames(spark, lists):
     )
 
 
-def test_exhaustive_equals_brute_force(spark, lists):
+@pytest.mark.parametrize("per_pass", [2_000, 3])
+def test_best_match_equals_brute_force(spark, lists, monkeypatch, per_pass):
+    """The same result however many passes the names below the threshold take."""
     offs, cands = lists
+    monkeypatch.setattr(M, "NAMES_PER_PASS", per_pass)
     got = {r["official_name"]: r for r in M.fuzzy_best_match(*frames(spark, lists)).collect()}
     assert sorted(got) == offs
     for o in offs:
@@ -60,10 +63,12 @@ def test_exhaustive_equals_brute_force(spark, lists):
             assert (got[o]["similarity"], got[o]["candidate_id"]) == pytest.approx(want), o
 
 
-def test_blocked_equals_brute_force_from_the_threshold_on(spark, lists, monkeypatch):
+def test_blocked_equals_brute_force_from_the_threshold_on(spark, lists):
     offs, cands = lists
-    monkeypatch.setattr(M, "LIST_LIMIT", 3)
-    got = {r["official_name"]: r for r in M.fuzzy_best_match(*frames(spark, lists)).collect()}
+    got = {r["official_name"]: r for r in M.fuzzy_best_match(*frames(spark, lists), best_below=False).collect()}
+    assert M.scored_pairs(
+        *frames(spark, lists), M.THRESHOLD
+    ).count() < 0.1 * len(offs) * len(cands)
     assert sorted(got) == offs
     above = 0
     for o in offs:
