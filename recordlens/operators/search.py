@@ -138,6 +138,25 @@ def search_rollup_table(hits: DataFrame, counts: DataFrame | None = None) -> Dat
     return out
 
 
+def hit_records(hits: DataFrame, limit: int = DETAIL_LIMIT) -> DataFrame:
+    """(family, entity_id, table_name, field, chunk, chunks, records): every record with a hit, nested per field.
+
+    ``records`` are structs (row_pos, snippet, terms) in the order of ``row_pos``, ``limit`` of them per row;
+    a field with more has further chunks. So a result with all its evidence can go to a JSON sink.
+    """
+    cell = ["family", "entity_id", "table_name", "field"]
+    per_record = hits.groupBy(*cell, "row_pos").agg(
+        F.min("snippet").alias("snippet"), F.sort_array(F.collect_set("term")).alias("terms")
+    )
+    place = F.row_number().over(W.partitionBy(*cell).orderBy("row_pos")) - 1
+    nested = (
+        per_record.withColumn("chunk", F.floor(place / limit).cast("int"))
+        .groupBy(*cell, "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("row_pos", "snippet", "terms"))).alias("records"))
+    )
+    return nested.select(*cell, "chunk", (F.max("chunk").over(W.partitionBy(*cell)) + 1).alias("chunks"), "records")
+
+
 def search_rollup_entity(per_table: DataFrame) -> DataFrame:
     """Per family and entity: tables, matches and terms, with the per-table details nested.
 
@@ -230,7 +249,11 @@ def compare_families(cells: DataFrame, families: Families, base: str) -> DataFra
     """One row: cells checked, entities per family, entities the base family misses, gain."""
     others = [f for f in families if f != base]
     flags = _family_flags(cells, families)
-    per_entity = flags.groupBy("entity_id").agg(
+    # Only cells with a hit need their entity; all others become one row per task before the shuffle.
+    hit = F.lit(False)
+    for f in families:
+        hit = hit | F.col(f"in_{f}")
+    per_entity = flags.groupBy(F.when(hit, F.col("entity_id")).alias("entity_id")).agg(
         F.count(F.lit(1)).alias("cells"),
         *[F.bool_or(f"in_{f}").alias(f"in_{f}") for f in families],
     )

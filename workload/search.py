@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.terms import BROAD_TERMS, STRICT_TERMS
 from recordlens.operators import search as X
+from recordlens.plans.search_report import search_report as search_report_plan
 from workload.frames import CELLS, FAMILIES, hits_sql, search_tables
 from workload.master import STRICT_SQL
 from workload.registry import Tables, query
@@ -63,6 +64,24 @@ def search_rollup_table(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "hit_records",
+    hits_sql(FAMILIES).rstrip() + """,
+    r AS (SELECT family, entity_id, table_name, field, row_pos, substring(any_value(text), 1, 300) AS snippet,
+                 string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM hits GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY family, entity_id, table_name, field) AS n FROM r
+          WINDOW w AS (PARTITION BY family, entity_id, table_name, field ORDER BY row_pos))
+    SELECT family, entity_id, table_name, field, CAST((i - 1) // 2 AS INTEGER) AS chunk, CAST((any_value(n) + 1) // 2 AS INTEGER) AS chunks,
+           string_agg(row_pos || '|' || terms || '|' || snippet, ' # ' ORDER BY row_pos) AS records
+    FROM p GROUP BY family, entity_id, table_name, field, (i - 1) // 2
+    """,
+)
+def hit_records(t: Tables) -> DataFrame:
+    """Two records per row, so that many fields come in several chunks."""
+    line = lambda r: F.concat_ws("|", r["row_pos"].cast("string"), F.array_join(r["terms"], ","), r["snippet"])
+    return X.hit_records(hits(t), limit=2).withColumn("records", F.array_join(F.transform("records", line), " # "))
+
+
 _ENTITY = """,
 pe AS (
   SELECT family, entity_id, string_agg(DISTINCT table_name, ', ' ORDER BY table_name) AS tables_found,
@@ -291,6 +310,19 @@ def search_by_group(t: Tables) -> DataFrame:
     return X.family_by_group(enriched, "source")
 
 
+@query(
+    "search_report",
+    hits_sql(FAMILIES).rstrip() + """
+    SELECT family, coalesce(lang, '') AS lang, count(DISTINCT entity_id) AS entities,
+           CAST(row_number() OVER (PARTITION BY family ORDER BY count(DISTINCT entity_id) DESC, coalesce(lang, '')) AS INTEGER) AS rank
+    FROM hits LEFT JOIN documents ON doc_id = entity_id GROUP BY 1, 2 QUALIFY rank <= 20
+    """,
+)
+def search_report(t: Tables) -> DataFrame:
+    """The whole plan, shown by its statistics per language."""
+    return search_report_plan(search_tables(t), FAMILIES, t.documents, "doc_id", ["lang", "source"], "lang").by_group
+
+
 @query(
     "term_frequency",
     hits_sql(BROAD) + """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordlens.functions.runtime import scratch_path
 from recordlens.operators import search as X
 from recordlens.operators.profile import numeric_columns, per_column
+from recordlens.plans.ingest import ingest
 from recordlens.sources import columnar, csv
 from workload.frames import FAMILIES, hits_sql, search_tables
 from workload.registry import Tables, query
@@ -96,6 +97,29 @@ def read_all_string(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "ingest_collection",
+    """
+    WITH t AS (
+      SELECT '基本情報' AS category, '1-1_part' AS table_name, count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM part
+      UNION ALL SELECT '支出先', '5-1_supplier', count(*), 4 FROM supplier
+      UNION ALL SELECT '支出先', '5-2_nation', count(*), 3 FROM nation)
+    SELECT category, table_name, count(*) AS tables, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(columns) AS BIGINT) AS columns
+    FROM t GROUP BY GROUPING SETS ((category, table_name), (category), ())
+    """,
+)
+def ingest_collection(t: Tables) -> DataFrame:
+    """Three tables of different headers and encodings: found, read, narrowed, stored, counted."""
+    folder, target = scratch_path(t.spark, "collection"), scratch_path(t.spark, "tables")
+    csv.allow_java_charsets(t.spark)
+    csv.write_csv(t.part, f"{folder}/1-1_part.csv")
+    csv.write_csv(t.supplier, f"{folder}/5-1_supplier.csv")
+    t.nation.withColumn("n_name", F.concat(F.lit("国"), "n_name")).write.csv(
+        f"{folder}/5-2_nation.csv", header=True, encoding="Shift_JIS"
+    )
+    return ingest(t.spark, folder, target)
+
+
 @query(
     "read_columnar",
     """
