@@ -1,4 +1,4 @@
-"""First-per-key, top-k, global ranks and bounded chunks of hot keys."""
+"""First-per-key, top-k and global ranks."""
 
 from __future__ import annotations
 
@@ -66,34 +66,3 @@ def global_rank(
         )
         .drop("_part", "_mid", "_before")
     )
-
-
-def assign_chunks(
-    df: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int
-) -> DataFrame:
-    """Add ``chunk`` and ``chunks`` so that no (key, chunk) holds many more than ``limit`` rows.
-
-    Keys within the limit get one chunk. A larger key is divided by a hash of the
-    ``spread`` columns, which must tell its rows apart.
-    """
-    keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    # At most (rows / limit) keys exceed the limit, which bounds the broadcast.
-    large = counts.filter(F.col("_rows") > limit).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("chunks"),
-    )
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (
-        df.join(F.broadcast(large), same, "left")
-        .drop(*[f"_k{i}" for i in range(len(keys))])
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn(
-            "chunk",
-            F.when(F.col("chunks") == 1, F.lit(0)).otherwise(
-                F.pmod(F.xxhash64(*spread), F.col("chunks")).cast("int")
-            ),
-        )
-    )

@@ -1,4 +1,4 @@
-"""Session-level helpers: stored intermediates and size-checked joins."""
+"""Session-level helpers: stored intermediates and one-row columns."""
 
 from __future__ import annotations
 
@@ -8,30 +8,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension of at most this many rows may be broadcast (with the narrow rows
-# used here that is a few tens of MB).
-BROADCAST_ROWS = 200_000
-
-# Copies of the small side and salts of the large side when it may not.
-SALTS = 32
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for stored intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session that is a single process
+    (``local[...]``) may do without it, and then uses a temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if shared is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="recordlens-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="recordlens-")
         spark.sparkContext.setCheckpointDir(shared)
-        current = shared
-    return shared or current
+    return shared
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -40,26 +30,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably, so later uses read the same rows even if executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def join_small(fact: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join ``fact`` with a per-key frame that is expected, but not known, to be small.
+    """Store ``df`` now, as Parquet in the shared folder, so that later uses read the same rows even if executors are lost.
 
-    ``small`` is stored once and counted. Within ``BROADCAST_ROWS`` it is broadcast,
-    so a hot key of ``fact`` costs nothing. Beyond it both sides are salted, so a hot
-    key is spread over ``SALTS`` tasks.
+    Later reads take only the columns they need. The folder belongs to the caller of the session, who
+    removes it when its results are no longer read.
     """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type {how}")
-    stored = materialize(small)
-    if stored.count() <= BROADCAST_ROWS:
-        return fact.join(F.broadcast(stored), keys, how)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int"))
-    copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bind(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

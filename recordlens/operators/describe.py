@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.quantiles import LINEAR, NEAREST, quantile_scalar, quantiles
 from recordlens.functions.ranking import top_per_group
-from recordlens.functions.runtime import bind, exact_sum, join_small, percent
+from recordlens.functions.runtime import bind, exact_sum, percent
 from recordlens.functions.scalars import coerce_number, decade_bucket, share_band, tier
 from recordlens.operators.profile import per_column, union_all
 
@@ -521,7 +521,7 @@ def per_table_outliers(
     """Per child table with a positive threshold: threshold, entities at or above it, the first ``k``."""
     long = _long_counts(df, count_cols, [key])
     thresholds = quantiles(long, "n", {"threshold": p}, by=["column"]).filter(F.col("threshold") > 0)
-    marked = join_small(long, thresholds, ["column"], "inner").filter(F.col("n") >= F.col("threshold"))
+    marked = long.join(thresholds, "column").filter(F.col("n") >= F.col("threshold"))
     stats = marked.groupBy("column", "threshold").agg(F.count(F.lit(1)).alias("entities"))
     top = top_per_group(marked, ["column"], [F.desc("n"), F.col(key)], k, "rank")
     # One row per child table.

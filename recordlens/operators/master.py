@@ -207,11 +207,6 @@ def column_roles(master: DataFrame, children: Mapping[str, Child]) -> DataFrame:
     )
 
 
-def to_json_columns(master: DataFrame, children: Sequence[str]) -> DataFrame:
-    """Nested arrays as ``x_json`` text for sinks without nested types; null fields are left out."""
-    return master.withColumns({f"{c}_json": F.to_json(F.col(c)) for c in children}).drop(*children)
-
-
 def unnest_records(
     df: DataFrame, key: str, json_col: str, schema: T.StructType | None = None
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.functions.ranking import top_per_group
-from recordlens.functions.runtime import join_small, materialize, percent
+from recordlens.functions.runtime import materialize, percent
 
 # Accepted similarity, and the similarity of a name contained in the other.
 THRESHOLD = 0.7
@@ -195,7 +195,7 @@ def _prefix_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     ratio = threshold / (2 - threshold)
 
     def prefix(df: DataFrame, name: str, freq: DataFrame) -> DataFrame:
-        tokens = join_small(_char_tokens(df, name), freq, ["token"], "left")
+        tokens = _char_tokens(df, name).join(freq, "token", "left")
         ranked = top_per_group(tokens, [name], ["freq", "token"], 1 << 30, "_r")
         n = F.length(name)
         kept = n - F.ceil(n * F.lit(ratio) - F.lit(1e-9)) + 1

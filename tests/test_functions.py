@@ -3,7 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from recordlens.functions import ranking as R
-from recordlens.functions import runtime
 from recordlens.functions import scalars as P
 
 
@@ -53,30 +52,8 @@ def test_global_rank_with_ties(spark):
     assert got == want
 
 
-def test_chunks_divide_only_large_keys(spark):
-    rows = [("hot", i) for i in range(1000)] + [("cold", i) for i in range(20)] + [(None, i) for i in range(300)]
-    df = spark.createDataFrame(rows, "k string, i int")
-    got = R.assign_chunks(df, ["k"], ["i"], 100).groupBy("k", "chunk", "chunks").count().collect()
-    sizes = {}
-    for r in got:
-        sizes.setdefault(r["k"], []).append(r["count"])
-    assert {k: sum(v) for k, v in sizes.items()} == {"hot": 1000, "cold": 20, None: 300}
-    assert len(sizes["cold"]) == 1 and len(sizes["hot"]) == 10 and max(sizes["hot"]) < 200
-    assert len(sizes[None]) == 3
-
-
 def test_first_row_and_top_k(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 5, "c")], "k int, pos int, v string")
     assert {tuple(r) for r in R.dedupe_first(df, "k", ["pos"]).collect()} == {(1, 1, "a"), (2, 5, "c")}
     plan = R.dedupe_first(df, "k", ["pos"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
-
-
-def test_small_join_salts_when_too_many_keys(spark, monkeypatch):
-    fact = spark.range(2000).selectExpr("id % 50 as k", "id as v")
-    small = spark.range(40).selectExpr("id as k", "id * 10 as w")
-    plain = sorted(tuple(r) for r in runtime.join_small(fact, small, ["k"]).collect())
-    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3)
-    salted = runtime.join_small(fact, small, ["k"])
-    assert sorted((tuple(r) for r in salted.collect()), key=str) == sorted(plain, key=str)
-    assert runtime.join_small(fact, small, ["k"], "inner").count() == 1600
