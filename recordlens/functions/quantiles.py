@@ -22,6 +22,8 @@ ACCURACY = 10_000
 LINEAR = "linear"  # interpolated between neighbours
 NEAREST = "nearest"  # sorted[int(n * p)], the last value when p is 1
 RULES = (LINEAR, NEAREST)
+# Cells that the interval of a quantile is divided into, so that one task looks at a small part of its values.
+CELLS = 1_000
 
 
 def _low_high(n: Column, p: float, rule: str) -> tuple[Column, Column, Column]:
@@ -34,6 +36,19 @@ def _low_high(n: Column, p: float, rule: str) -> tuple[Column, Column, Column]:
     return low, F.ceil(h), h - low
 
 
+def _cell(x: Column, bounds: Column, k: int) -> Column:
+    """The lower edge of the cell of ``x``: each of the ``k`` intervals is cut into ``CELLS`` of them. It never falls as x grows."""
+    edges = [F.lit(float("-inf"))]
+    for i in range(k):
+        lo, hi = bounds[i], bounds[k + i]
+        span = hi - lo
+        inner = F.least(lo + F.floor((x - lo) / span * CELLS) * (span / CELLS), hi)
+        edges.append(
+            F.when(x > hi, hi).when((x >= lo) & (span > 0) & (span < float("inf")), inner).when(x >= lo, lo)
+        )
+    return F.greatest(*edges)
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -81,19 +96,28 @@ def quantiles(
         inside = inside | (above & below)
         if p < 1 - margin:
             floor_of_lump.append(F.when(b[k + i] < v, b[k + i]))
+    x = F.when(inside, v).otherwise(F.greatest(*floor_of_lump))
     counted = (
-        rows.select(
-            *by,
-            F.col("_s.n").alias("_n"),
-            F.when(inside, v).otherwise(F.greatest(*floor_of_lump)).alias("_x"),
-            (~inside).alias("_lump"),
-        )
-        .groupBy(*by, "_n", "_x", "_lump")
+        rows.select(*by, F.col("_s.n").alias("_n"), x.alias("_x"), (~inside).alias("_lump"), F.col("_s.b").alias("_b"))
+        .select(*by, "_n", "_x", "_lump", _cell(F.col("_x"), F.col("_b"), k).alias("_e"))
+        .groupBy(*by, "_n", "_e", "_x", "_lump")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = W.partitionBy(*by).orderBy("_x", "_lump").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_to", F.sum("_c").over(w))
     ranks = {name: _low_high(F.col("_n"), p, rule) for name, p in probs.items()}
+    # First the few cells, to see which of them hold a wanted rank; then the values of these alone.
+    over_cells = W.partitionBy(*by).orderBy("_e").rowsBetween(W.unboundedPreceding, 0)
+    wanted = F.lit(False)
+    for low, high, _ in ranks.values():
+        for rank in (low, high):
+            wanted = wanted | ((rank >= F.col("_end") - F.col("_cc")) & (rank < F.col("_end")))
+    cells = (
+        counted.groupBy(*by, "_n", "_e").agg(F.sum("_c").alias("_cc"))
+        .withColumn("_end", F.sum("_cc").over(over_cells))
+        .filter(wanted)
+        .select(*by, "_e", (F.col("_end") - F.col("_cc")).alias("_before"))
+    )
+    within = W.partitionBy(*by, "_e").orderBy("_x", "_lump").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.join(cells, [*by, "_e"]).withColumn("_to", F.col("_before") + F.sum("_c").over(within))
     picks = [F.max("_n").alias("_n")]
     for name, (low, high, _) in ranks.items():
         picks += [F.max(_at_rank(low)).alias(f"_lo_{name}"), F.max(_at_rank(high)).alias(f"_hi_{name}")]
