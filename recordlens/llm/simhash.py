@@ -93,8 +93,7 @@ def _bytes(fp: np.ndarray) -> pa.Array:
 
 
 def _joint_bits(fps: DataFrame, bits: int) -> np.ndarray:
-    """For every two bits, the number of fingerprints that have both; a row per bit from every task."""
-    names = [f"c{j}" for j in range(bits)]
+    """For every two bits, the number of fingerprints that have both; one row per pair of bits from every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((bits, bits), np.int64)
@@ -103,16 +102,17 @@ def _joint_bits(fps: DataFrame, bits: int) -> np.ndarray:
                 fp = _numbers(batch.column(0).slice(lo, 4096))
                 ones = np.stack([_values(fp, [b]) for b in range(bits)], axis=1).astype(np.float64)
                 total += (ones.T @ ones).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(bits)), *[pa.array(total[:, j]) for j in range(bits)]], names=["i", *names]
-        )
+        if total.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(bits * bits)), pa.array(total.ravel())], names=["pair", "n"]
+            )
 
-    schema = "i long, " + ", ".join(f"{n} long" for n in names)
-    rows = fps.select("fp").mapInArrow(run, schema).groupBy("i").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    out = np.zeros((bits, bits))
-    for r in rows:  # a row per bit
-        out[r["i"]] = [r[n] for n in names]
-    return out
+    # bits * bits rows come to the driver.
+    rows = fps.select("fp").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(bits * bits)
+    for r in rows:
+        out[r["pair"]] = r["n"]
+    return out.reshape(bits, bits)
 
 
 def group_bits(joint: np.ndarray, n: int, m: int) -> list[list[int]]:
