@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from recordlens.llm.common import within
+from recordlens.llm.common import block_of, within
 
 # Words a worker remembers before it starts anew.
 REMEMBERED = 700_000
@@ -18,8 +18,11 @@ BATCH_BYTES = 8 << 20
 # A text of visible ASCII and Latin-1 characters with single spaces or line feeds between words. Only
 # white space ends a word for both kinds of tokenizers here, so such words can be encoded one by one.
 SIMPLE = "^[\\x21-\\x7e¡-ÿ]+([ \\n][\\x21-\\x7e¡-ÿ]+)*$"
-# The mark of the way to the word, its leading letters, and the rest.
-WORD = r"^(?P<mark>[\x01\x02]?)(?P<letters>\p{L}*)(?P<rest>(?s:.*))$"
+# Marks of a word, or a rest of one, with nothing before it, and of a word after a line feed; no such text holds these characters.
+FIRST, AFTER_FEED = "\x01", "\x02"
+# Bytes that letters of such texts consist of. Words with other characters beyond ASCII (a byte 0xC2, or the signs of
+# multiplication and division) are not cut.
+LETTER_BYTE = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,7 +48,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.ids = np.zeros(1 << 16, self.dtype)
         self.used = 0
         self.at = np.zeros(1 << 12, np.int64)
@@ -65,15 +68,24 @@ class Encoder:
             counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, units: list[str], letters: np.ndarray) -> None:
-        for kind in (True, False):
-            new = [u for u, k in zip(units, letters.tolist(), strict=True) if k == kind]
+    def _text(self, unit: str) -> str:
+        """What a unit stands for in its text: a word has a space before it unless a mark says otherwise."""
+        if unit[:1] == FIRST:
+            return unit[1:]
+        if unit[:1] == AFTER_FEED:
+            return "\n" + unit[1:]
+        return " " + unit
+
+    def _learn(self, units: list[str]) -> None:
+        words = [u for u in units if u.isalpha()]
+        others = [u for u in units if not u.isalpha()]
+        for kind, new in ((True, words), (False, others)):
             if not new:
                 continue
             if kind:
-                ids, counts = self._letters(new)
+                ids, counts = self._letters([" " + u for u in new] if self.spaces else new)
             else:
-                lists = self._plain(new)
+                lists = self._plain([self._text(u) for u in new] if self.spaces else new)
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
                 ids = np.fromiter((i for x in lists for i in x), self.dtype, int(counts.sum()))
             while self.used + len(ids) > len(self.ids):
@@ -88,48 +100,61 @@ class Encoder:
             self.used += len(ids)
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
-    def _numbers(self, units: pa.Array, letters: np.ndarray) -> np.ndarray:
-        """The places of units among the known ones, learning those that are new."""
-        coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        codes = np.asarray(coded.indices)
-        kinds = np.zeros(len(names), bool)
-        kinds[codes] = letters
-        known = self.known
-        missing = [i for i, u in enumerate(names) if u not in known]
-        if missing:
-            self._learn([names[i] for i in missing], kinds[missing])
-        return np.fromiter((known[u] for u in names), np.int64, len(names))[codes]
+    def _units(self, words: pa.Array) -> pa.Array:
+        """Two units of every word: its leading letters and the rest; without letters all of it and nothing."""
+        block = block_of(words)
+        n = len(words)
+        stop = ~LETTER_BYTE[block.data]
+        begin, end = block.starts[:-1], block.starts[1:]
+        marked = np.zeros(n, np.int64)
+        if self.spaces:
+            marked = (block.data[begin] < 3).astype(np.int64)
+            stop[begin[marked > 0]] = False
+        # The first byte of each word that is no letter, or its end.
+        at = np.flatnonzero(stop)
+        k = np.searchsorted(at, begin)
+        cut = np.minimum(np.concatenate([at, [len(stop)]])[k], end)
+        odd = (block.data == 0xC2) | (block.data == 0x97) | (block.data == 0xB7)
+        odd = np.concatenate([[0], np.cumsum(odd)])
+        cut = np.where((cut - begin - marked > 0) & (odd[end] == odd[begin]), cut, end)
+        if self.spaces:
+            # A rest is never a word after a space: it is told from one by a mark.
+            tail = np.where((cut < end)[:, None], np.array([[1]], np.uint8), 0)
+            size = np.column_stack([cut - begin, end - cut + (cut < end)]).ravel()
+            out = np.empty(int(size.sum()), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            body = np.ones(len(out), bool)
+            body[offsets[1:-1:2][cut < end]] = False
+            out[body] = block.data
+            out[~body] = tail[cut < end].ravel()
+        else:
+            out = block.data
+            offsets = np.concatenate([[0], np.column_stack([cut, end]).ravel()])
+        return pa.Array.from_buffers(
+            pa.large_string(), 2 * n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out))]
+        )
 
     def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self._forget()
         if self.spaces:
-            marked = pc.binary_join_element_wise("\x01", pc.replace_substring(texts, "\n", " \x02"), "")
+            marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " " + AFTER_FEED), "")
         else:
             marked = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(marked, " ")
         per_text = np.asarray(pc.list_value_length(lists), dtype=np.int64)
         words = pc.list_flatten(lists).dictionary_encode()
-        codes = np.asarray(words.indices)
-        cut = pc.extract_regex(words.dictionary, WORD)
-        mark, letters, rest = (pc.struct_field(cut, k) for k in ("mark", "letters", "rest"))
-        none = pc.equal(letters, "")
-        if self.spaces:
-            lead = pc.if_else(pc.equal(mark, ""), " ", pc.if_else(pc.equal(mark, "\x01"), "", "\n"))
-        else:
-            lead = ""
-        head = pc.binary_join_element_wise(lead, pc.if_else(none, rest, letters), "")
-        tail = pc.if_else(none, "", rest)
-        one_word = ~np.asarray(none)
-        if self.spaces:
-            one_word = one_word & np.asarray(pc.equal(mark, ""))
-        a = self._numbers(head, one_word)
-        b = self._numbers(tail, np.zeros(len(tail), bool))
-        at = np.column_stack([self.at[a], self.at[b]])[codes].ravel()
-        n = np.column_stack([self.len[a], self.len[b]])[codes].ravel()
+        coded = self._units(words.dictionary).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        known = self.known
+        missing = [u for u in names if u not in known]
+        if missing:
+            self._learn(missing)
+        place = np.array([known[u] for u in names], np.int64)[np.asarray(coded.indices)].reshape(-1, 2)
+        word = place[np.asarray(words.indices)].ravel()
+        n = self.len[word]
         ends = np.cumsum(n, dtype=np.int64)
-        ids = self.ids[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.ids[np.repeat(self.at[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         last = 2 * np.cumsum(per_text) - 1
         return ids, np.diff(ends[last], prepend=0)
 

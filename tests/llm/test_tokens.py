@@ -23,7 +23,7 @@ def test_ids_equal_the_library(name, spaces):
     t = Tokenizer.from_file(tokenizer_path(name))
     enc = Encoder(tokenizer_path(name), spaces)
     rng = random.Random(3)
-    pieces = ["the", "Él", "###", "ing,", "it's", "'d", "x1", "9", "ß", "a|b", "-", "don't!"]
+    pieces = ["the", "Él", "###", "×", "a×b", "÷", "x÷", "ª", "aªb", "µ", "·x", "é·", "ñ", "÷÷é", "Ã", "·", "ing,", "it's", "'d", "x1", "9", "ß", "a|b", "-", "don't!"]
     texts = TEXTS + ["".join(rng.choice(pieces) + rng.choice(" \n") for _ in range(40)).strip() for _ in range(200)]
     ids, counts = enc.encode(pa.array(texts))
     ends = np.cumsum(counts)
