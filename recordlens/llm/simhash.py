@@ -331,7 +331,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFr
     within a task are left out, so a dense group gives a tree and not all its pairs.
     """
     spark = fps.sparkSession
-    n = fps.count()
+    n = max(fps.count(), 1)  # an empty table costs something too, or any thresholds would do
     m = choose_groups(n, radius, bits)
     groups = group_bits(_joint_bits(fps, bits), n, m)
     listed = store(_listed(fps, groups), "listed")

@@ -119,4 +119,6 @@ def test_nulls_and_repeats(spark):
     assert got == sorted([(None, 9), (9, 9), (9, 9), (4, 4), (8, 4), (None, None)], key=str)
     assert keep_first(df).count() == 5
     assert near_duplicates(df.limit(0)).count() == 0
+    assert keep_first(df.limit(0), bits=128, radius=24).count() == 0
+    assert near_duplicates(df.limit(1), bits=128, radius=24).count() == 1
     assert pa.array([1]) is not None
