@@ -119,10 +119,17 @@ _REWRITE = re.compile(
 )
 _PIECE = re.compile(rf"plus|{_ANY_DIGIT}|[0-9]", re.IGNORECASE)
 
-# What makes a text worth rewriting, for the vectorised test; each transducer needs one of these.
+# What makes a text worth rewriting, for the vectorised test. It holds of every text in which a transducer changes
+# anything: a character that folds (any beyond Latin-1 counts, and the Latin-1 ones that do), a sign in brackets, a spelled
+# dot, which a spelled "at" needs too, four digits of which one is spelled, or four digits after "plus". RE2's \s is not Python's.
+_S = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]"
+_E = rf"(?:{_ANY_DIGIT}|[0-9])"
+_GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0},-]{1,3}"
+_FOUR = "|".join(_GAP.join(rf"(?:{_ANY_DIGIT})" if i == k else _E for i in range(4)) for k in range(4))
 WORTH = (
-    rf"(?i)[^\x00-\x{{ff}}\n]|\x{{ad}}|\x{{a0}}|[\[({{<]\s{{0,3}}(?:{_AT}|@|{_DOT}|\.)\s{{0,3}}[\])}}>]|\s(?:{_DOT})\s"
-    rf"|(?:{_ANY_DIGIT})(?:[\s,-]{{1,3}}(?:{_ANY_DIGIT}|[0-9])){{3}}|[0-9][\s,-]{{1,3}}(?:[0-9][\s,-]{{1,3}}){{0,18}}(?:{_ANY_DIGIT})[\s,-]"
+    rf"(?i)[^\x00-\x{{ff}}\n]|[\x{{a0}}\x{{aa}}\x{{ad}}\x{{b2}}\x{{b3}}\x{{b9}}\x{{ba}}]"
+    rf"|[\[({{<]{_S}{{0,3}}(?:{_AT}|@|{_DOT}|\.){_S}{{0,3}}[\])}}>]|{_S}(?:{_DOT}){_S}"
+    rf"|{_FOUR}|plus[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}-]{{1,3}}{_GAP.join([_E] * 4)}"
 )
 
 

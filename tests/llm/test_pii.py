@@ -89,3 +89,36 @@ def test_rows_and_redaction(spark):
     assert (1, "mail [EMAIL] or [EMAIL], [IP]", "x", 29) in clean
     assert (None, "[PHONE]!", "x", 8) in clean and (2, None, "x", None) in clean and (3, "", None, 0) in clean
     assert find_pii(df.limit(0)).count() == 0 and redact(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("call plus 4 9 3 0 1 2 3 4 5 6", "phone"),
+    ("plus 4 9 3 0 1 2 3 4 five.", "phone"),
+    ("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one.", "card"),
+    ("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one", "card"),
+    ("ip 10.0.0.²", "ip"),
+    ("j@ex\xaample.c\xbam", "email"),
+    ("10\x0bdot\x0b0\x1cdot\x1c0\x85dot\x850", "ip"),
+])
+def test_every_disguise_passes_the_gate(spark, text, kind):
+    got = find_pii(spark.createDataFrame([(1, text, "", 0)], SCHEMA)).first()["spans"]
+    assert kind in [s["kind"] for s in got]
+    assert redact(spark.createDataFrame([(1, text, "", 0)], SCHEMA)).first()["text"] != text
+
+
+def test_gate_changes_nothing(spark):
+    rng = random.Random(5)
+    bits = ["plus", "Plus ", "one", "FÜNF", "zéro", "uno", "4", "9", "30", " ", " ", ",", "-", "\x0b", "\x1c", "\x85", "\xa0", "\xad", "ª", "º",
+            "¹", "²", "³", "@", " at ", "(at)", "[ dot ]", " dot ", " punkt\t", "{.}", "host", "a.b", ".", "+", "10 dot 0 dot 0 dot 1", "é", "½", "µ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+    texts += [s.join(rng.choice(["4", "1", "one", "vier"]) for _ in range(rng.randint(3, 17))) for s in " ,-" for _ in range(500)]
+    texts += ["".join(chr(c) if i == 3 else x for i, x in enumerate("10.0.0.1")) for c in range(0x80, 0x250)]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = 0
+    for r in find_pii(df).collect():
+        text = texts[r["doc_id"]]
+        base = find_base(text)
+        want = sorted([(KINDS[k], a, b, True) for k, a, b in base] + [(KINDS[k], a, b, False) for k, a, b in find_disguised(text, base)])
+        assert sorted((s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"]) == want, text
+        found += any(not s["base"] for s in r["spans"])
+    assert found > 100
