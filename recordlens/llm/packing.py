@@ -16,6 +16,7 @@ sequences, and the rest of that into sequences whose lengths are powers of two.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from recordlens.llm.tokens import BATCH_BYTES, encoder
 
 SEQUENCE = 2048
 QUANTUM = 256
-# Queues of their own; if there are more sources, they share this many queues by a hash.
-MOST_QUEUES = 256
+# Sources of at most this many quanta are counted by one sorted table of their due times, larger ones by the closed form.
+FEW_QUANTA = 64
 
 TOKEN_SCHEMA = "chunk int, queue string, doc_id long, before long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -59,16 +60,28 @@ class Schedule:
                 cuts.append(size)
         self.cut_at = np.concatenate([[0], np.cumsum(cuts)]).astype(np.int64)
 
-    def due(self, queue: int, i: np.ndarray) -> np.ndarray:
+    @cached_property
+    def few(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct due times of the small queues' quanta, and the quanta in order as (place of the due time, queue) in one number."""
+        small = np.flatnonzero((self.full > 0) & (self.full <= FEW_QUANTA))
+        counts = self.full[small]
+        queue = np.repeat(small, counts)
+        times, at = np.unique(self.due(queue, within(counts)), return_inverse=True)
+        return times, np.sort(at * len(self.full) + queue)
+
+    def due(self, queue: int | np.ndarray, i: np.ndarray) -> np.ndarray:
         return (i + 0.5) / self.weights[queue]
 
-    def rank(self, queue: int, i: np.ndarray) -> np.ndarray:
-        """Quanta sent before quantum ``i`` of a queue, by (due, queue)."""
+    def rank(self, queue: int | np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Quanta sent before quantum ``i`` of a queue, or of a queue each, by (due, queue)."""
+        queue = np.broadcast_to(queue, i.shape)
         when = self.due(queue, i)
-        out = i.copy()
-        for q in range(len(self.weights)):
-            if q == queue or not self.full[q]:
-                continue
+        times, quanta = self.few
+        at = np.searchsorted(times, when)
+        equal = np.append(times, np.inf)[at] == when
+        # The table counts a small queue's own quanta too.
+        out = np.searchsorted(quanta, at * len(self.full) + np.where(equal, queue, 0)) + np.where(self.full[queue] > FEW_QUANTA, i, 0)
+        for q in np.flatnonzero(self.full > FEW_QUANTA).tolist():
             # The first guess is off by rounding at most; the comparison of due times itself decides.
             k = np.clip((when * self.weights[q] + 0.5).astype(np.int64), 0, self.full[q])
             for _ in range(2):
@@ -77,24 +90,29 @@ class Schedule:
             for _ in range(2):
                 here = self.due(q, k)
                 k = np.where((k < self.full[q]) & ((here < when) | ((here == when) & (q < queue))), k + 1, k)
-            out += k
+            out += np.where(queue == q, 0, k)
         return out
 
-    def pieces(self, queue: int, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, start in it, length, sequence, offset) of stretches ``[begin, begin + n)`` of a queue."""
+    def pieces(self, queue: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, start in it, length, sequence, offset) of stretches ``[begin, begin + n)`` of a queue each."""
         first, last = begin // self.quantum, (begin + n - 1) // self.quantum
         counts = last - first + 1
         doc = np.repeat(np.arange(len(begin)), counts)
         i = first[doc] + within(counts)
         lo = np.maximum(begin[doc], i * self.quantum)
         hi = np.minimum((begin + n)[doc], (i + 1) * self.quantum)
+        queue = queue[doc]
         whole = i < self.full[queue]
         at = np.empty(len(i), np.int64)
         # Documents are consecutive, so a quantum of several documents comes up several times.
-        distinct, back = np.unique(i[whole], return_inverse=True)
-        at[whole] = self.rank(queue, distinct)[back] * self.quantum + lo[whole] - i[whole] * self.quantum
+        order = np.lexsort((i[whole], queue[whole]))
+        quanta = np.stack([queue[whole], i[whole]])[:, order]
+        new = np.concatenate([[True], (quanta[:, 1:] != quanta[:, :-1]).any(axis=0)])[: quanta.shape[1]]
+        place = np.empty(len(order), np.int64)
+        place[order] = self.rank(quanta[0, new], quanta[1, new])[np.cumsum(new) - 1]
+        at[whole] = place * self.quantum + lo[whole] - i[whole] * self.quantum
         body = self.windows * self.sequence
-        at[~whole] = body + self.rest_at[queue] + lo[~whole] - i[~whole] * self.quantum
+        at[~whole] = body + self.rest_at[queue[~whole]] + lo[~whole] - i[~whole] * self.quantum
         size = hi - lo
         start = lo - begin[doc]
         done = at < body
@@ -110,15 +128,12 @@ class Schedule:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _queues(documents: DataFrame, most: int) -> Column:
+def _queue() -> Column:
     """A queue per source; a null source is a source of its own."""
-    sources = documents.select(F.col("source").cast("string").alias("s")).distinct()
-    if len(sources.limit(most + 1).collect()) <= most:
-        return F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("none"))
-    return F.concat(F.lit("h:"), F.pmod(F.xxhash64("source"), F.lit(most)).cast("string"))
+    return F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("none"))
 
 
-def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, spaces: bool, most_queues: int) -> DataFrame:
+def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, spaces: bool) -> DataFrame:
     """Stored ids of every document, with the ids of its queue before it in the task that encoded it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +160,13 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, spaces:
                     names=["chunk", "queue", "doc_id", "before", "n", "ids"],
                 )
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _queues(documents, most_queues).alias("queue"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _queue().alias("queue"))
     return store(rows.mapInArrow(run, TOKEN_SCHEMA), "packing")
 
 
 def pack_documents(
     documents: DataFrame, tokenizer: str, end_id: int, spaces: bool = True, targets: Mapping[str | None, float] | None = None,
-    sequence: int = SEQUENCE, quantum: int = QUANTUM, most_queues: int = MOST_QUEUES,
+    sequence: int = SEQUENCE, quantum: int = QUANTUM, most_queues: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text, source): doc_id, queue, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -159,13 +174,14 @@ def pack_documents(
     ``targets`` gives weights by source (null for rows without one); a source it lacks has the
     least weight named. Without targets each source's share of every window is that of its tokens. A null
     text is empty and has the end id alone. Rows that repeat a doc_id, or have none, are packed
-    each on its own. Other columns are left out; an empty table gives no rows.
+    each on its own. Other columns are left out; an empty table gives no rows. Every source has a queue, however many
+    there are; ``most_queues`` is accepted and changes nothing.
     """
-    tokens = encode_documents(documents, tokenizer, end_id, spaces, most_queues)
+    tokens = encode_documents(documents, tokenizer, end_id, spaces)
     by_chunk = tokens.groupBy("chunk", "queue").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_chunk.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("chunk", "queue", "base")
-    totals = {r["queue"]: r["n"] for r in by_chunk.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most most_queues
+    totals = {r["queue"]: r["n"] for r in by_chunk.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row per source
     names = sorted(totals)
     if targets is None:
         weights = [float(totals[q]) for q in names]
@@ -184,12 +200,7 @@ def pack_documents(
                 queue = np.array([numbers[q] for q in part.column("queue").to_pylist()], np.int64)
                 begin = np.asarray(part.column("at"))
                 n = np.asarray(part.column("n"))
-                found = []
-                for q in np.unique(queue):
-                    i = np.flatnonzero(queue == q)
-                    doc, *rest = schedule.pieces(int(q), begin[i], n[i])
-                    found.append((i[doc], *rest))
-                doc, start, length, seq, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+                doc, start, length, seq, offset = schedule.pieces(queue, begin, n)
                 order = np.lexsort((start, doc))
                 doc, start, length, seq, offset = (x[order] for x in (doc, start, length, seq, offset))
                 raw = part.column("ids").to_pylist()

@@ -91,3 +91,32 @@ def test_targets_and_many_sources(spark):
     many = pack_documents(df, PATH, 1, most_queues=1).collect()
     assert sum(r["length"] for r in many) == sum(r["length"] for r in found)
     assert pack_documents(df.limit(0), PATH, 1).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_schedule_of_many_queues(monkeypatch, few):
+    monkeypatch.setattr("recordlens.llm.packing.FEW_QUANTA", few)
+    rng = np.random.default_rng(few)
+    lengths = [*rng.integers(0, 100, 300).tolist(), *[64] * 20, 5000, 3000]
+    for weights in ([float(max(x, 1)) for x in lengths], [float(1 + i % 3) for i in range(len(lengths))]):
+        s = Schedule(lengths, weights, 64, 16)
+        want = sorted((s.due(q, i), q, i) for q in range(len(lengths)) for i in range(s.full[q]))
+        got = s.rank(np.array([q for _, q, _ in want]), np.array([i for _, _, i in want]))
+        assert got.tolist() == list(range(len(want)))
+
+
+@pytest.mark.parametrize("n", [256, 257, 300])
+def test_every_source_keeps_its_target(spark, n):
+    rows = [(i, "the cat sat on the mat " * 60, "ab"[i % 2]) for i in range(60)]
+    rows += [(100 + i, "a tail", f"tail{i}") for i in range(n - 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = pack_documents(df, PATH, 1, targets={"a": 3.0, "b": 1.0}).collect()
+    first = collections.Counter()
+    for r in found:
+        if r["sequence_id"] < 4:
+            first[r["queue"]] += r["length"]
+    assert first["s:a"] == 3 * first["s:b"] and len({r["queue"] for r in found}) == n
+    by_doc = collections.Counter()
+    for r in found:
+        by_doc[r["doc_id"]] += r["length"]
+    assert all(by_doc[r["doc_id"]] == r["doc_tokens"] for r in found) and len(by_doc) == len(rows)
