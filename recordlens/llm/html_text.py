@@ -4,7 +4,7 @@ A forgiving parser turns a page into elements and blocks of text. Every paragrap
 commas to the elements around it, the nearer the more; an element's points are discounted by its link density. The best
 container is taken together with its siblings that score well or read like prose, and the blocks inside are put out in
 page order. Parts that are never content (scripts, forms, menus) and parts whose tag, role, class or id says
-navigation, advert, notice or comment are left out beforehand.
+navigation, advert, notice or comment are left out beforehand, those with such a class or id only if the page's prose is elsewhere.
 """
 
 from __future__ import annotations
@@ -48,14 +48,23 @@ BAD_WORDS = (
 )
 # Places that a marking word may come after, as in "site-header"; "has-sidebar" marks nothing.
 PLACES = "site page global main top bottom left right user reader article post blog primary secondary js cookie privacy"
-BAD_NAME = re.compile(
-    rf"(?:^|\s)(?:(?:{PLACES.replace(' ', '|')})[_-])?(?:{BAD_WORDS.replace(' ', '|')})(?=$|[\s_\d-])", re.IGNORECASE
+# What may follow a marking word, as in "sidebar-left"; "related-work" and "side-by-side" mark nothing.
+PARTS = (
+    "area bar block body box buttons? container content footer form header icons? inner item items left links? list main "
+    "message modal nav outer panel popup posts? right row section slot top bottom unit widgets? wrap wrapper text title"
 )
+
+
+def _marks(words: str, places: str) -> re.Pattern:
+    """A whole class or id of one of the words, perhaps after a place and before parts."""
+    words, places, parts = (w.replace(" ", "|") for w in (words, places, PARTS))
+    return re.compile(rf"(?:^|(?<=\s))(?:(?:{places})[_-])?(?:{words})(?:[_-]*(?:{words}|{parts}|[0-9]+)(?![^\s_0-9-]))*+(?=$|\s)", re.IGNORECASE)
+
+
+BAD_NAME = _marks(BAD_WORDS, PLACES)
 # Articles and main parts go only if they are called one of these.
-BAD_ARTICLE = re.compile(
-    r"(?:^|\s)(?:(?:user|reader)[_-])?(?:ads?|adverts?|comments?|repl(?:y|ies)|promo|related|sponsored|teaser)(?=$|[\s_\d-])",
-    re.IGNORECASE,
-)
+BAD_ARTICLE = _marks("ads? adverts? comments? repl(?:y|ies) promo related sponsored teaser", "user reader")
+HEADING = re.compile(r"h[1-6]$")
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|page|hentry|column)(?:$|[\s_\d-])", re.IGNORECASE)
 BAD_ROLE = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
@@ -72,7 +81,7 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNO
 
 
 class Element:
-    __slots__ = ("tag", "names", "up", "skip", "points", "letters", "linked", "down", "index")
+    __slots__ = ("tag", "names", "up", "skip", "points", "letters", "linked", "down", "index", "number", "marked")
 
     def __init__(self, tag: str, up: Element | None, names: str = "", skip: bool = False):
         self.tag, self.up, self.names = tag, up, names
@@ -81,6 +90,7 @@ class Element:
         self.letters = self.linked = 0
         self.down: list[Element] = []
         self.index = len(up.down) if up else 0
+        self.number, self.marked = 0, ""
         if up:
             up.down.append(self)
 
@@ -104,22 +114,84 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _left_out(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    """Whether a part is never content, whatever it is called."""
     if tag in ("article", "main"):
-        return bool(BAD_ARTICLE.search(names))
+        return False
     if tag == "header" and inside_article:
         return False  # an article's own heading
     if tag in NEVER:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(attrs.get("style", "")):
         return True
-    if attrs.get("role", "").lower() in BAD_ROLE:
-        return True
-    return bool(BAD_NAME.search(names)) and not attrs.get("itemprop", "") == "articleBody"
+    return attrs.get("role", "").lower() in BAD_ROLE
+
+
+def _marked(tag: str, attrs: dict[str, str], inside_article: bool) -> str:
+    """"class" or "id" if that says that a part is no content."""
+    if HEADING.match(tag) or tag == "header" and inside_article or attrs.get("itemprop", "") == "articleBody":
+        return ""
+    bad = BAD_ARTICLE if tag in ("article", "main") else BAD_NAME
+    return next((k for k in ("class", "id") if bad.search(attrs.get(k, ""))), "")
 
 
-def parse(html: str) -> tuple[Element, list[Text]]:
-    """The element tree and its blocks of text in page order; text of parts to leave out is not kept."""
+def _slug(text: str) -> str:
+    return "-".join(re.findall(r"\w+", text.lower()))
+
+
+def _to_drop(root: Element, blocks: list[Text]) -> frozenset[int]:
+    """Numbers of the marked elements to leave out.
+
+    One stays that holds most of the page's prose, unless an article or main part outside it has some, and a section whose
+    id is the slug of its heading.
+    """
+    marked: list[Element] = []
+    waiting = [root]
+    while waiting:
+        e = waiting.pop()
+        if e.marked:
+            marked.append(e)
+        waiting += e.down
+    if not marked:
+        return frozenset()
+    prose: dict[int, int] = {}  # letters outside links, by element
+    apart: dict[int, int] = {}  # those of them in an article or main part inside the element
+    headings: dict[int, str] = {}
+    total = articles = 0
+    for b in blocks:
+        n = len(b.text) - b.linked
+        e, inside = b.element, False
+        while e is not None:
+            inside = inside or e.tag in ("article", "main") and not e.marked
+            prose[e.number] = prose.get(e.number, 0) + n
+            if inside:
+                apart[e.number] = apart.get(e.number, 0) + n
+            if HEADING.match(b.element.tag):
+                headings.setdefault(e.number, b.text)
+            e = e.up
+        total += n
+        articles += n if inside else 0
+    out = set()
+    for e in marked:
+        most = prose.get(e.number, 0) * 2 > total
+        elsewhere = articles > apart.get(e.number, 0)
+        inner = False  # inside an article, which is elsewhere then only if another one is
+        up = e.up
+        while up is not None:
+            inner = inner or up.tag in ("article", "main") and not up.marked
+            up = up.up
+        if inner:
+            elsewhere = articles > prose.get(e.number, 0) * 2
+        own = e.marked == "id" and e.tag in ("section", "div") and _slug(headings.get(e.number, "")) in e.names.lower().split()
+        if not (most and not elsewhere or own and (e.tag == "section" or "section" in e.names.split())):
+            out.add(e.number)
+    return frozenset(out)
+
+
+def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[Text]]:
+    """The element tree and its blocks of text in page order; text of parts to leave out is not kept.
+
+    ``drop`` has the numbers, by start tag, of further elements to leave out.
+    """
     root = Element("html", None)
     at = root
     blocks: list[Text] = []
@@ -127,6 +199,7 @@ def parse(html: str) -> tuple[Element, list[Text]]:
     linked = 0
     in_link = 0
     articles = 0
+    number = 0
     block = root
 
     def flush() -> None:
@@ -212,7 +285,8 @@ def parse(html: str) -> tuple[Element, list[Text]]:
         if tag in BLOCKS:
             flush()
         names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('itemprop', '')}"
-        skip = at.skip or _left_out(tag, attrs, articles > 0)
+        number += 1
+        skip = at.skip or number in drop or _left_out(tag, attrs, articles > 0)
         if skip and not at.skip and tag not in BLOCKS and tag not in RAW:
             pieces.append(" ")
         if tag in VOID or (m["attrs"] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
@@ -230,6 +304,9 @@ def parse(html: str) -> tuple[Element, list[Text]]:
                 pos = n if gt < 0 else gt + 1
             continue
         at = Element(tag, at, names, skip)
+        at.number = number
+        if attrs and not skip:
+            at.marked = _marked(tag, attrs, articles > 0)
         if tag == "a":
             in_link += 1
         elif tag == "article":
@@ -282,7 +359,11 @@ def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, one per line; empty if there is none."""
     if not html:
         return ""
-    _, blocks = parse(html)
+    root, blocks = parse(html)
+    drop = _to_drop(root, blocks)
+    if drop:
+        # Without the marked parts, if anything is left.
+        blocks = parse(html, drop)[1] or blocks
     if not blocks:
         return ""
     scored = _score(blocks)

@@ -56,3 +56,21 @@ def test_given_pages_equal_a_plain_reading(spark):
         body = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S).group(1)
         parts = [clean(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", x)))) for x in re.split(r"</?(?:p|h1)>", body)]
         assert main_text(r["html"]) == "\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><h2 id='legal-basis'>Legal basis</h2><p>{LONG}</p><h2 id='search'>Search</h2><p>{LONG}</p></article>",
+     ["Legal basis", LONG, "Search", LONG]),
+    (f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section>"
+     f"<section id='search'><h2>Search</h2><p>{LONG}</p></section><div class='side-by-side'><p>{LONG}</p></div></article>",
+     [LONG, "Related work", LONG, "Search", LONG, LONG]),
+    (f"<div class='layout sidebar-right'><div class='content'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div></div>",
+     [LONG, LONG]),
+    (f"<div class='layout sidebar-right'><article><p>{LONG}</p></article></div>", [LONG]),
+    (f"<div class='notice'><p>{LONG}</p></div>", [LONG]),
+    (f"<div class='widget'>{LONG}</div><div class='widget'>{LONG}</div>", [LONG, LONG]),
+    (f"<article><p>{LONG}</p></article><div class='comment-list' id='comments'><h3>Comments</h3><p>{LONG}{LONG}{LONG}</p></div>", [LONG]),
+    (f"<div class='post'><p>{LONG}</p><p>{LONG}</p><div class='related-posts'><p>{LONG}</p></div><span class=share-buttons>x</span></div>", [LONG, LONG]),
+])
+def test_names_drop_no_content(page, want):
+    assert main_text(page) == "\n".join(clean(w) for w in want)
