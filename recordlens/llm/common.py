@@ -175,6 +175,26 @@ def ranked(df: DataFrame, order: list) -> DataFrame:
     return parts.join(offsets, "_part").withColumn("_rank", F.col("_before") + at).drop("_part", "_at", "_before")
 
 
+# Most keys of a table that are joined by broadcast; no table of counted keys has more that are that frequent.
+FREQUENT_KEYS = 100_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, whose column ``size`` says how many of the rows each of its keys meets.
+
+    Keys of many rows are few: those above ``total / FREQUENT_KEYS`` number at most FREQUENT_KEYS whatever the size of the
+    table, and are joined by broadcast, so no hot key is gathered in one task. All others are joined as the optimizer likes.
+    """
+    from pyspark.sql import functions as F
+
+    total = table.agg(F.sum(size)).first()[0] or 0  # one number
+    bound = max(10_000, total // FREQUENT_KEYS)
+    often = F.broadcast(table.filter(F.col(size) > bound))
+    hot = rows.join(often, on)
+    others = rows.join(often.select(*on), on, "left_anti")
+    return hot.unionByName(others.join(table.filter(F.col(size) <= bound), on, "left"))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Columns of equal length as one compressed value; sorted integers go in as differences."""
     return pa.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), codec="zstd", asbytes=True)
