@@ -156,6 +156,6 @@ def dedup(documents: DataFrame, **options) -> DataFrame:
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents``, with all their columns, whose doc_id is the largest of their equal texts."""
-    found = dedup(documents, **options).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_seal"))
-    own = documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.sha2(normalised(documents["text"]), 256) == F.col("_seal"))
-    return documents.join(found.distinct(), own, "left_anti")
+    gone = dedup(documents, **options).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_seal")).distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.sha2(normalised(documents["text"]), 256) == gone["_seal"])
+    return documents.join(gone, same, "left_anti")
