@@ -179,8 +179,8 @@ def ranked(df: DataFrame, order: list) -> DataFrame:
 FREQUENT_KEYS = 100_000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
-    """``rows`` left-joined with ``table``, whose column ``size`` says how many of the rows each of its keys meets.
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], size: str, how: str = "left") -> DataFrame:
+    """``rows`` joined (left or inner) with a stored ``table``, whose column ``size`` says how many of the rows each of its keys meets.
 
     Keys of many rows are few: those above ``total / FREQUENT_KEYS`` number at most FREQUENT_KEYS whatever the size of the
     table, and are joined by broadcast, so no hot key is gathered in one task. All others are joined as the optimizer likes.
@@ -188,11 +188,14 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[str], size: str) ->
     from pyspark.sql import functions as F
 
     total = table.agg(F.sum(size)).first()[0] or 0  # one number
-    bound = max(10_000, total // FREQUENT_KEYS)
-    often = F.broadcast(table.filter(F.col(size) > bound))
-    hot = rows.join(often, on)
-    others = rows.join(often.select(*on), on, "left_anti")
-    return hot.unionByName(others.join(table.filter(F.col(size) <= bound), on, "left"))
+    bound = max(1_000, total // FREQUENT_KEYS)
+    often = table.filter(F.col(size) > bound)
+    if often.isEmpty():
+        return rows.join(table, on, how)
+    often = F.broadcast(often)
+    hot, rest = rows.join(often, on), table.filter(F.col(size) <= bound)
+    others = rows if how == "inner" else rows.join(often.select(*on), on, "left_anti")
+    return hot.unionByName(others.join(rest, on, how))
 
 
 def pack(*arrays: np.ndarray) -> bytes:

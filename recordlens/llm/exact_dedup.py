@@ -123,9 +123,10 @@ def build_index(
     directory(keys, capacity).write.parquet(f"{index.path}/directory")
     slots = index.directory
     depths = sorted(r["depth"] for r in slots.select("depth").distinct().collect())  # at most ten
-    shared = keys.filter("n > 1").select("key")
+    shared = keys.filter("n > 1")
     several = _bucketed(shared, slots, depths) if depths else shared.withColumn("bucket", F.lit(0).cast("long"))
-    texts = index.rows.join(several, "key").groupBy("bucket", "key", "text").agg(
+    several = store(several, "index-several")
+    texts = join_counted(index.rows, several, ["key"], "n", "inner").groupBy("bucket", "key", "text").agg(
         F.min("seal").alias("seal"), F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep_id")
     )
     chain = Window.partitionBy("bucket", "key").orderBy("text")

@@ -64,7 +64,7 @@ def corpus(n):
         k = int(rng.integers(0, 5))
         text = " ".join(f"w{j}" for j in range(210)) if k == 0 else " ".join(str(x) for x in rng.choice(words, int(rng.integers(0, 9)) * (40 if k == 1 else 1)))
         rows.append((i, text, ["a", "b", "", None][int(rng.integers(0, 4))] if i % 3 else "hot"))
-    return rows + [(n + i, rows[i * 3][1], "late") for i in range(12)]
+    return rows + [(n + i, rows[i * 3 % n][1], "late") for i in range(12)]
 
 
 @pytest.mark.parametrize("range_ids", [filter_audit.RANGE_IDS, 7])
