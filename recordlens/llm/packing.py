@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import store, text_slices, within
+from recordlens.llm.common import freed, store, text_slices, within
 from recordlens.llm.tokens import BATCH_BYTES, encoder
 
 SEQUENCE = 2048
@@ -161,12 +161,12 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, spaces:
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _queue().alias("queue"))
-    return store(rows.mapInArrow(run, TOKEN_SCHEMA), "packing")
+    return store(rows.mapInArrow(freed(run), TOKEN_SCHEMA), "packing")
 
 
 def pack_documents(
     documents: DataFrame, tokenizer: str, end_id: int, spaces: bool = True, targets: Mapping[str | None, float] | None = None,
-    sequence: int = SEQUENCE, quantum: int = QUANTUM, most_queues: int | None = None,
+    sequence: int = SEQUENCE, quantum: int = QUANTUM,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text, source): doc_id, queue, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -175,7 +175,7 @@ def pack_documents(
     least weight named. Without targets each source's share of every window is that of its tokens. A null
     text is empty and has the end id alone. Rows that repeat a doc_id, or have none, are packed
     each on its own. Other columns are left out; an empty table gives no rows. Every source has a queue, however many
-    there are; ``most_queues`` is accepted and changes nothing.
+    there are.
     """
     tokens = encode_documents(documents, tokenizer, end_id, spaces)
     by_chunk = tokens.groupBy("chunk", "queue").agg(F.sum("n").alias("n"))
@@ -218,7 +218,7 @@ def pack_documents(
     placed = tokens.join(bases, ["chunk", "queue"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids"
     )
-    return placed.mapInArrow(run, PIECE_SCHEMA)
+    return placed.mapInArrow(freed(run), PIECE_SCHEMA)
 
 
 def sequences(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:

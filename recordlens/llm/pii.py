@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import text_slices
+from recordlens.llm.common import freed, text_slices
 
 # Kinds in the order they are reported.
 KINDS = ("email", "ip", "card", "phone")
@@ -295,4 +295,4 @@ def redact(documents: DataFrame) -> DataFrame:
                         part = part.set_column(n, part.schema.field(n), pa.array(sizes, part.schema.field(n).type))
                 yield part
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(freed(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import BASE, Block, RangeHash, block_of, mix, space_words, text_slices
+from recordlens.llm.common import BASE, Block, RangeHash, block_of, freed, mix, space_words, text_slices
 
 # Documents that train the scorer, at most.
 TRAINED_ON = 8_192
@@ -312,4 +312,4 @@ def keep_good(documents: DataFrame, most: int = TRAINED_ON, reject_from: float =
                 _, score = _score(block_of(part.column("text")), model, weights)
                 yield part.filter(pa.array(score < reject_from))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(freed(run), documents.schema)

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from recordlens.llm import (
-    decontaminate, exact_dedup, filter_audit, fingerprint, hard_negatives, html_text, language, packing, pii, quality, simhash, suffix_dedup, token_files,
+    decontaminate, exact_dedup, filter_audit, fingerprint, hard_negatives, html_text, language, packing, pii, quality, simhash, stages, suffix_dedup, token_files,
 )
 from recordlens.llm.tokens import tokenizer_path
 
@@ -203,8 +202,8 @@ FROM counted
 
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_pipeline.run(spark, folder)
+    return stages.run(spark, folder)
 
 
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if stages.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = stages.ORACLE_SQL

@@ -397,15 +397,3 @@ def near_duplicates(
     best = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     named = ids.join(best, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is that of their component; one per component.
-
-    All columns are kept. Of rows that repeat a doc_id all or none stay. Rows whose component has
-    no doc_id at all stay.
-    """
-    found = near_duplicates(documents, **options)
-    gone = found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    alive = documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return alive

@@ -88,7 +88,7 @@ def test_targets_and_many_sources(spark):
         if r["sequence_id"] < 4:
             first[r["queue"]] += r["length"]
     assert first["s:a"] == 3 * first["s:b"]
-    many = pack_documents(df, PATH, 1, most_queues=1).collect()
+    many = pack_documents(df, PATH, 1).collect()
     assert sum(r["length"] for r in many) == sum(r["length"] for r in found)
     assert pack_documents(df.limit(0), PATH, 1).count() == 0
 

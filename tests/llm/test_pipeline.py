@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from recordlens.llm import decontaminate, pii, quality, simhash
+from recordlens.llm import decontaminate, pii, quality, stages as pipeline_stages
 from recordlens.llm.common import store
+from tests.llm.test_near_copies import groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,21 +39,8 @@ def test_decisions_take_effect(spark, stages):
     docs, good, single, clean, redacted, packed = stages
     scores = {r["doc_id"]: r["keep"] for r in quality.score_documents(docs).collect()}
     assert ids(good) == {d for d, k in scores.items() if k}
-    # Brute force: all pairs of the stage's input.
-    rows = [(r["doc_id"], int.from_bytes(simhash.fingerprint(r["text"].encode(), 5, bits=128), "big")) for r in good.collect()]
-    root = {d: d for d, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, (a, x) in enumerate(rows):
-        for b, y in rows[:i]:
-            if (x ^ y).bit_count() <= 24:
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    assert ids(single) == {find(d) for d, _ in rows}
+    # Brute force: the exact similarity of all pairs of the stage's input.
+    assert ids(single) == set(groups([(r["doc_id"], r["text"]) for r in good.collect()]).values())
     found = decontaminate.find_items(single, spark.read.parquet(f"{FOLDER}/benchmark.parquet"))
     assert ids(clean) == ids(single) - ids(found)
     spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(clean).collect()}
@@ -74,14 +62,14 @@ def test_exact_copies_and_planted_passages_go(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     rows += [(100, base, "en", "s", 0), (101, base.replace("the", "th", 1), "en", "s", 0), (102, texts[3] + " " + item + " end", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = ids(corpus_pipeline.near_dedup(spark, docs, FOLDER))
+    kept = ids(pipeline_stages.near_dedup(spark, docs, FOLDER))
     assert not kept & {100, 101}
-    assert 102 not in ids(corpus_pipeline.decontamination(spark, docs, FOLDER))
+    assert 102 not in ids(pipeline_stages.decontamination(spark, docs, FOLDER))
 
 
 def test_every_operator_has_a_query():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_empty_documents(spark):

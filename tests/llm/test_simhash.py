@@ -8,7 +8,7 @@ import xxhash
 
 import recordlens.llm.simhash as simhash
 from recordlens.llm.components import components
-from recordlens.llm.simhash import allocate, ball, choose_groups, fingerprint, keep_first, near_duplicates
+from recordlens.llm.simhash import allocate, ball, choose_groups, fingerprint, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -69,8 +69,6 @@ def test_equals_all_pairs(spark, monkeypatch, radius, bits, part):
     assert len(set(want.values())) < len(rows)
     assert {d: r["component_id"] for d, r in got.items()} == want
     assert {d: int.from_bytes(r["fp"], "big") for d, r in got.items()} == fp
-    kept = keep_first(df, radius=radius, bits=bits)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
 def test_dense_family(spark, monkeypatch):
@@ -117,8 +115,7 @@ def test_nulls_and_repeats(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted(((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 9), (9, 9), (9, 9), (4, 4), (8, 4), (None, None)], key=str)
-    assert keep_first(df).count() == 5
     assert near_duplicates(df.limit(0)).count() == 0
-    assert keep_first(df.limit(0), bits=128, radius=24).count() == 0
+    assert near_duplicates(df.limit(0), bits=128, radius=24).count() == 0
     assert near_duplicates(df.limit(1), bits=128, radius=24).count() == 1
     assert pa.array([1]) is not None
