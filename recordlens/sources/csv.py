@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlens.sources.records import read_quoted
+
 # ---------------------------------------------------------------------------
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8", "shift-jis", "cp932", "utf-8-sig", "iso-2022-jp", "euc-jp")
@@ -93,15 +95,31 @@ def detect_encodings(
     )
 
 
-def _layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, header, quoted): the first line of each file, and whether a quote is open at the end of some line."""
+def _layout_aggregates() -> list[Column]:
+    """The first line of a file as hexadecimal bytes, and whether some line holds an odd number of quotes."""
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    return (
-        _lines(spark, paths)
-        .withColumn("at", F.when(F.col("block") == 0, F.monotonically_increasing_id()))
-        .groupBy("path")
-        .agg(F.min_by(F.hex("line"), "at").alias("header"), F.max(quotes % 2 == 1).alias("quoted"))
-    )
+    return [F.min_by(F.hex("line"), "at").alias("header"), F.max(quotes % 2 == 1).alias("quoted")]
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("at", F.when(F.col("block") == 0, F.monotonically_increasing_id()))
+
+
+def _layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, header, quoted) of each file."""
+    return _numbered(_lines(spark, paths)).groupBy("path").agg(*_layout_aggregates())
+
+
+def _survey(spark: SparkSession, paths: Sequence[str], encodings: Sequence[str]) -> list[tuple[str, str | None, str, bool]]:
+    """(path, encoding, header, quoted) of each file, from one scan; files that are not UTF-8 are decoded in a second one."""
+    utf8 = bool(encodings) and encodings[0] in ("utf-8", "utf-8-sig")
+    lines = _numbered(_lines(spark, paths))
+    valid = F.bool_and(F.is_valid_utf8("value")) if utf8 else F.lit(False)
+    # One row per file, as the list of files itself.
+    found = lines.groupBy("path").agg(valid.alias("ok"), *_layout_aggregates()).collect()
+    rest = [r["path"] for r in found if not r["ok"]]
+    other = {r["path"]: r["encoding"] for r in _python_encodings(_lines(spark, rest), encodings).collect()} if rest else {}
+    return [(r["path"], encodings[0] if r["ok"] else other.get(r["path"]), r["header"], r["quoted"]) for r in found]
 
 
 def allow_java_charsets(spark: SparkSession) -> None:
@@ -127,50 +145,65 @@ def _read_groups(
         allow_java_charsets(spark)
     frames = []
     for (encoding, _, quoted), members in sorted(groups.items(), key=lambda g: min(g[1])):
-        df = spark.read.csv(
-            sorted(members), header=True, inferSchema=False, encoding=JAVA_CHARSETS[encoding], quote='"', escape='"',
-            multiLine=quoted,
-        )
-        if keep_source:
-            df = df.select(
-                "*", F.col("_metadata.file_name").alias("source_file"), F.lit(encoding).alias("encoding")
-            )
-        frames.append(df)
+        charset = JAVA_CHARSETS[encoding]
+        if quoted:
+            df, path = read_quoted(spark, sorted(members), charset), F.col("_path")
+            source = F.element_at(F.split(path, "/"), -1)
+        else:
+            df = spark.read.csv(sorted(members), header=True, inferSchema=False, encoding=charset, quote='"', escape='"')
+            source = F.col("_metadata.file_name")
+        columns = [F.col(f"`{c}`") for c in df.columns if not (quoted and c == "_path")]
+        frames.append(df.select(*columns, *([source.alias("source_file"), F.lit(encoding).alias("encoding")] if keep_source else [])))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-# Types of a column of texts, the first that all its values have.
+# Types of a column of texts, the first that all its values have; a value's mask has a bit for each type that it lacks.
+_TYPES = ("int", "bigint", "double", "date", "timestamp", "boolean")
+_NO_TYPE, _SEEN = (1 << len(_TYPES)) - 1, 1 << len(_TYPES)
 _DATE, _TIME = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$", r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]"
+# What casts to whole numbers and to double may take, and more; a failed cast of anything else is dear.
+_WHOLE = r"^[\x00-\x20\x7f]*+[+-]?[0-9]++[\x00-\x20\x7f]*$"
+_NUMBER = r"^[\x00-\x20\x7f]*+[+-]?(?:[0-9.]++(?:[eE][+-]?[0-9]++)?[dDfF]?|0[xX][0-9a-fA-F.]*[pP][+-]?[0-9]++[dDfF]?|[iI][nN][fF][a-zA-Z]*|[nN][aA][nN])[\x00-\x20\x7f]*$"
+# First letters of infinity, nan, true and false.
+_LETTERS = [ord(c) for c in "IiNnTtFf"]
+
+
+def _lacks(v: Column) -> Column:
+    """The mask of a value: 0 for none. Most texts are settled by their first character."""
+
+    def only(*types: str) -> Column:
+        return F.lit((_NO_TYPE | _SEEN) & ~sum(1 << _TYPES.index(t) for t in types))
+
+    first = F.ascii(v)
+    # White space and control characters, digits and signs.
+    worth = (first <= 32) | first.between(43, 57) | (first == 127) | first.isin(*_LETTERS)
+    return (
+        F.when(v.isNull(), F.lit(0)).when(~worth, only())
+        .when(v.rlike(_WHOLE) & v.try_cast("int").isNotNull(), only("int", "bigint", "double"))
+        .when(v.rlike(_WHOLE) & v.try_cast("bigint").isNotNull(), only("bigint", "double"))
+        .when(v.rlike(_NUMBER) & v.try_cast("double").isNotNull(), only("double"))
+        .when(v.rlike(_DATE) & v.try_cast("date").isNotNull(), only("date"))
+        .when(v.rlike(_TIME) & v.try_cast("timestamp").isNotNull(), only("timestamp"))
+        .when(F.lower(F.trim(v)).isin("true", "false"), only("boolean"))
+        .otherwise(only())
+    )
 
 
 def infer_types(df: DataFrame, leave: Sequence[str] = ()) -> DataFrame:
     """Cast all-string columns to int, long, double, date, timestamp or boolean where every value allows it.
 
-    One pass over the whole frame, whatever files it came from; a column without values stays a string.
+    One pass over the whole frame, whatever files it came from: every value gives a mask of the types it lacks, and the masks of a
+    column are or-ed. A column without values stays a string.
     """
     columns = [c for c in df.columns if c not in leave]
     if not columns:
         return df
-
-    def fits(c: str) -> list[tuple[str, Column]]:
-        v = F.col(f"`{c}`")
-        return [
-            ("int", v.try_cast("int").isNotNull()), ("bigint", v.try_cast("bigint").isNotNull()),
-            ("double", v.try_cast("double").isNotNull()),
-            ("date", v.rlike(_DATE) & v.try_cast("date").isNotNull()),
-            ("timestamp", v.rlike(_TIME) & v.try_cast("timestamp").isNotNull()),
-            ("boolean", v.try_cast("boolean").isNotNull() & F.lower(F.trim(v)).isin("true", "false")),
-        ]
-
-    aggs = [
-        F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), ok)).alias(f"{i}_{t}")
-        for i, c in enumerate(columns) for t, ok in fits(c)
-    ]
-    found = df.agg(*aggs).first()  # one row
+    found = df.agg(*[F.bit_or(_lacks(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()  # one row
     casts = {}
     for i, c in enumerate(columns):
-        kind = next((t for t in ("int", "bigint", "double", "date", "timestamp", "boolean") if found[f"{i}_{t}"]), None)
-        if kind:
+        mask = found[f"m{i}"] or 0
+        kind = next((t for k, t in enumerate(_TYPES) if not mask >> k & 1), None)
+        if mask & _SEEN and kind:
             casts[c] = F.col(f"`{c}`").cast(kind)
     return df.withColumns(casts) if casts else df
 
@@ -183,14 +216,14 @@ def read_csv_any_encoding(
 
     Every file keeps its own header, values may hold quotes and line breaks, and types are those
     that all files' values have. The file list is on the driver as in any Spark read; file contents
-    never are. Only files in which a quote is open at a line end are read by one task each.
+    never are. Files in which a quote is open at a line end are read by :mod:`recordlens.sources.records`, all others by
+    Spark's own reader; both split large files. Each file is scanned once to know its encoding and layout, and once for the types.
     """
-    found = {r["path"]: r["encoding"] for r in detect_encodings(spark, paths, encodings).collect()}
-    unreadable = sorted(p for p, e in found.items() if e is None)
+    files = _survey(spark, paths, encodings)
+    unreadable = sorted(p for p, e, _, _ in files if e is None)
     if unreadable:
         raise ValueError(f"no encoding decodes {unreadable}")
-    layouts = _layouts(spark, paths).collect()
-    df = _read_groups(spark, [(r["path"], found[r["path"]], r["header"], r["quoted"]) for r in layouts], keep_source)
+    df = _read_groups(spark, files, keep_source)
     return infer_types(df, ("source_file", "encoding") if keep_source else ()) if infer else df
 
 
