@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from recordlens.functions.runtime import materialize, percent
 THRESHOLD = 0.7
 CONTAINED = 0.9
 
-# Names that one pass over all candidates takes along.
-NAMES_PER_PASS = 2_000
+# Names without a partner, and candidates, that one task compares at a time.
+BLOCK_NAMES, PART_NAMES = 256, 8_192
 
 BEST = "official_name string, candidate_id long, candidate_name string, similarity double"
 
@@ -63,16 +64,15 @@ def fuzzy_best_match(
 
     ``officials`` (name) and ``candidates`` (name, id) are unique by name; both are stored once.
     Pairs from ``threshold`` on are found by blocking, whatever the length of the lists. With
-    ``best_below``, names without such a partner are then compared with all candidates, a
-    block of names in each pass, so they get their best one too; otherwise theirs is null.
+    ``best_below``, names without such a partner get their best one by a top-1 join with all candidates (:func:`_best_of_all`);
+    otherwise theirs is null.
     """
     names, others = materialize(officials.select("name")), materialize(candidates.select("name", "id"))
     best = _scored_blocks(names, others, threshold)
     if best_below:
         best = materialize(best)
-        rest = names.join(best.select(F.col("official_name").alias("name")), "name", "left_anti")
-        for block in _blocks(rest):
-            best = best.unionByName(_compare_all(block, others))
+        rest = materialize(names.join(best.select(F.col("official_name").alias("name")), "name", "left_anti"))
+        best = best.unionByName(_best_of_all(rest, others))
     return names.select(F.col("name").alias("official_name")).join(best, "official_name", "left")
 
 
@@ -86,38 +86,70 @@ def best_match_per_name(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(names: DataFrame) -> Iterator[list[str]]:
-    """All names, ``NAMES_PER_PASS`` at a time."""
-    block: list[str] = []
-    for r in names.toLocalIterator():
-        block.append(r["name"])
-        if len(block) == NAMES_PER_PASS:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _compare_all(wanted: list[str], candidates: DataFrame) -> DataFrame:
-    """Best candidate of each wanted name within each partition, then over all of them."""
-
-    def best_in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, tuple[float, int, str]] = {}
-        for batch in batches:
-            for name, id_ in zip(batch["name"], batch["id"]):
-                for official in wanted:
-                    held = best.get(official)
-                    # A hair below the held value, so that an equal one is still computed.
-                    s = similarity(official, name, held[0] - 1e-9 if held else 0.0)
-                    if s > 0 and (held is None or (-s, id_) < (-held[0], held[1])):
-                        best[official] = (s, id_, name)
-        if best:
-            yield pd.DataFrame(
-                [(o, i, n, s) for o, (s, i, n) in best.items()],
-                columns=["official_name", "candidate_id", "candidate_name", "similarity"],
-            )
-
-    return best_match_per_name(candidates.select("name", "id").mapInPandas(best_in_partition, BEST))
+def _pieces(n: int, most: int) -> int:
+    return max(-(-n // most), 1)
+
+
+def _best_of_all(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The best candidate of each of ``names`` (name) among all ``candidates``: a top-1 join in blocks.
+
+    Every block of names meets every part of the candidates in a group of bounded size. A name's candidates are taken by
+    falling bound, twice the shared characters over the total length, until no bound reaches the best similarity
+    so far; so few pairs are compared in full. The best per part becomes the best of all in one aggregate.
+    """
+    blocks, parts = _pieces(names.count(), BLOCK_NAMES), _pieces(candidates.count(), PART_NAMES)
+    left = names.select("name", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = candidates.select("name", "id", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("part"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = ["block", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_in_part, BEST)
+    return best_match_per_name(found)
+
+
+def _characters(names: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(alphabet, copies): how often each name has each character; characters beyond ``known`` are left out."""
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(names)), [len(x) for x in names])
+    alphabet = np.unique(codes) if known is None else known
+    at = np.minimum(np.searchsorted(alphabet, codes), max(len(alphabet) - 1, 0))
+    ours = alphabet[at] == codes if len(alphabet) else np.zeros(len(codes), bool)
+    copies = np.zeros((len(alphabet), len(names)), np.uint16)
+    np.add.at(copies, (at[ours], owner[ours]), 1)
+    return alphabet, copies
+
+
+def _best_in_part(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows: list[tuple[str, int, str, float]] = []
+    officials, others, ids = left["name"].to_pylist(), right["name"].to_pylist(), right["id"].to_pylist()
+    if officials and others:
+        alphabet, wanted = _characters(officials)
+        _, copies = _characters(others, alphabet)
+        lengths = np.array([len(x) for x in others], np.int64)
+        for i, official in enumerate(officials):
+            shared = np.zeros(len(others), np.int64)
+            for c in np.flatnonzero(wanted[:, i]).tolist():
+                shared += np.minimum(copies[c], wanted[c, i])
+            bound = 2.0 * shared / (lengths + len(official))
+            # A name within the other counts as CONTAINED at least.
+            bound = np.where(shared == np.minimum(lengths, len(official)), np.maximum(bound, CONTAINED), bound)
+            best: tuple[float, int, int] | None = None
+            first = int(bound.argmax())
+            if (s := similarity(official, others[first])) > 0:
+                best = (s, ids[first], first)
+            worth = np.flatnonzero(bound >= best[0] - 1e-9 if best else bound > 0)
+            for k in worth[np.argsort(-bound[worth], kind="stable")].tolist():
+                if best and bound[k] < best[0] - 1e-9:
+                    break
+                # A hair below the held value, so that an equal one is still computed.
+                s = similarity(official, others[k], best[0] - 1e-9 if best else 0.0)
+                if s > 0 and (best is None or (-s, ids[k]) < (-best[0], best[1])):
+                    best = (s, ids[k], k)
+            if best:
+                rows.append((official, best[1], others[best[2]], best[0]))
+    columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.float64()), strict=True)],
+                    names=["official_name", "candidate_id", "candidate_name", "similarity"])
 
 
 def shared_characters(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordlens.operators import reconcile as M
 
@@ -48,11 +49,12 @@ def frames(spark, lists):
     )
 
 
-@pytest.mark.parametrize("per_pass", [2_000, 3])
-def test_best_match_equals_brute_force(spark, lists, monkeypatch, per_pass):
-    """The same result however many passes the names below the threshold take."""
+@pytest.mark.parametrize("block, part", [(256, 8_192), (3, 7)])
+def test_best_match_equals_brute_force(spark, lists, monkeypatch, block, part):
+    """The same result however the names below the threshold are cut into blocks."""
     offs, cands = lists
-    monkeypatch.setattr(M, "NAMES_PER_PASS", per_pass)
+    monkeypatch.setattr(M, "BLOCK_NAMES", block)
+    monkeypatch.setattr(M, "PART_NAMES", part)
     got = {r["official_name"]: r for r in M.fuzzy_best_match(*frames(spark, lists)).collect()}
     assert sorted(got) == offs
     for o in offs:
@@ -97,3 +99,19 @@ def test_labels_and_flags(spark):
     stats = M.reconcile_stats(M.reconcile_names(officials, cands, {"seen": ids}), ["seen"]).first()
     assert (stats["exact"], stats["fuzzy"], stats["unmatched"], stats["seen"]) == (1, 2, 1, 2)
     assert stats["total_rate"] == 75.0
+
+
+def test_best_of_all_alone(spark, lists):
+    """Ties, containment, characters beyond the basic plane, and a plan that does not grow with the list."""
+    offs, cands = lists
+    offs = [*offs, "𠮷野家", "aab", "ba", "zzz" * 90]
+    cands = [*cands, (900, "𠮷"), (901, "ab"), (902, "ba x"), (903, "ab y"), (-5, "xab")]
+    left, right = frames(spark, (offs, cands))
+    got = {r["official_name"]: (r["similarity"], r["candidate_id"]) for r in M._best_of_all(left, right).collect()}
+    assert got == {o: pytest.approx(w) for o in offs if (w := brute(o, cands)) is not None}
+    assert M._best_of_all(left.limit(0), right).count() == 0 and M._best_of_all(left, right.limit(0)).count() == 0
+    plans = []
+    for n in (10, 3_000):
+        many = spark.range(n).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+        plans.append(len(M._best_of_all(many, right)._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert plans[0] == plans[1]
