@@ -66,3 +66,26 @@ def global_rank(
         )
         .drop("_part", "_mid", "_before")
     )
+
+
+def large_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """(by, rows): the groups of more than ``limit`` rows, hence at most rows / limit of them."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
+
+
+def places_in_groups(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], hot: DataFrame | None, name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... within each group, in ``order``.
+
+    ``hot`` names groups whose rows are too many for one task, by some or all of the columns of ``by``. They are range
+    partitioned by group and place, so such a group is spread over many tasks, and places follow from the rows before each
+    partition and the first one of a group. All others take one shuffle and a window.
+    """
+    window = W.partitionBy(*by).orderBy(*_cols(order))
+    if hot is None:
+        return df.withColumn(name, F.row_number().over(window) - 1)
+    keys = hot.select(*[c for c in hot.columns if c in by])
+    regular = df.join(keys, keys.columns, "left_anti").withColumn(name, F.row_number().over(window) - 1)
+    ranked = global_rank(df.join(keys, keys.columns, "left_semi"), [*by, *order], "_in_all")
+    first = ranked.groupBy(*by).agg(F.min("_in_all").alias("_group_at"))
+    placed = ranked.join(first, list(by)).withColumn(name, (F.col("_in_all") - F.col("_group_at")).cast("int"))
+    return regular.unionByName(placed.drop("_in_all", "_group_at"))

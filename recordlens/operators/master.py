@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.functions.ranking import dedupe_first, global_rank
+from recordlens.functions.ranking import dedupe_first, large_groups, places_in_groups
+from recordlens.functions.runtime import materialize
 from recordlens.functions.scalars import has_child_flags, total_related
 
 # Header columns that nested records leave out.
@@ -59,9 +59,13 @@ def restrict_to_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 def large_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows, hence at most rows / limit of them."""
-    return (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
-    )
+    return large_groups(df, [key], limit)
+
+
+def _hot_keys(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """The stored keys of more than ``limit`` rows and their number of rows, none if there are none; reads the key alone."""
+    hot = materialize(large_keys(rows, key, limit))
+    return None if hot.isEmpty() else hot
 
 
 def _records(df: DataFrame, key: str, drop: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -73,47 +77,36 @@ def _records(df: DataFrame, key: str, drop: Sequence[str]) -> tuple[DataFrame, l
     return df.filter(F.col(key).isNotNull() & filled), fields
 
 
-def record_places(
-    rows: DataFrame, key: str, order: Sequence[str], hot: DataFrame | None = None
-) -> DataFrame:
-    """Add ``_place``: 0, 1, ... within the rows of a key, in ``order``.
-
-    One shuffle by key. ``hot`` names keys whose rows are too many for one task (see
-    :func:`large_keys`): they are range partitioned by place instead, so that a hot key is
-    spread over many tasks. The places are the same either way.
-    """
-    window = W.partitionBy(key).orderBy(*order)
-    if hot is None:
-        return rows.withColumn("_place", F.row_number().over(window) - 1)
-    keys = hot.select(key)
-    regular = rows.join(keys, key, "left_anti").withColumn("_place", F.row_number().over(window) - 1)
-    ranked = global_rank(rows.join(keys, key, "left_semi"), [key, *order], "_rank")
-    first = ranked.groupBy(key).agg(F.min("_rank").alias("_first"))
-    placed = ranked.join(first, key).withColumn("_place", (F.col("_rank") - F.col("_first")).cast("int"))
-    return regular.unionByName(placed.drop("_rank", "_first"))
-
-
 def nest_children(
-    df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT, hot: DataFrame | None = None
+    df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT
 ) -> DataFrame:
     """(key, chunk, chunks, records, record_count) for every key, ``limit`` records per row.
 
     Chunks follow each other in the order of the child, so most keys have chunk 0 of 1 and a
-    large one just has more rows; ``record_count`` counts those of the row. One scan and, without
-    ``hot`` keys, one shuffle by key, which later joins by key need no more.
+    large one just has more rows; ``record_count`` counts those of the row. One scan and one shuffle by key, which later
+    joins by key need no more. Keys of more records than a row holds are found first, from the keys alone, and their
+    records are spread by place, so no task gathers a hot key.
     """
+    return _nested(df, key, child, limit).drop("total")
+
+
+def _nested(df: DataFrame, key: str, child: Child, limit: int) -> DataFrame:
+    """:func:`nest_children` with ``total``, the records of the key in all its rows."""
     rows, fields = _records(df, key, child.drop)
-    placed = record_places(rows, key, child.order, hot)
+    hot = _hot_keys(rows, key, limit)
+    placed = places_in_groups(rows, [key], child.order, hot, "_place")
     record = F.struct(F.col("_place").alias("p"), F.struct(*fields).alias("r"))
     nested = (
         placed.withColumn("chunk", F.floor(F.col("_place") / limit).cast("int"))
         .groupBy(key, "chunk")
         .agg(F.transform(F.sort_array(F.collect_list(record)), lambda x: x["r"]).alias("records"))
+        .withColumn("record_count", F.size("records").cast("long"))
     )
-    # Only the chunk rows of a key meet here.
-    return nested.select(
-        key, "chunk", (F.max("chunk").over(W.partitionBy(key)) + 1).alias("chunks"), "records",
-        F.size("records").cast("long").alias("record_count"),
+    if hot is None:
+        return nested.select(key, "chunk", F.lit(1).alias("chunks"), "records", "record_count", F.col("record_count").alias("total"))
+    total = F.coalesce("rows", "record_count")
+    return nested.join(hot, key, "left").select(
+        key, "chunk", F.ceil(total / limit).cast("int").alias("chunks"), "records", "record_count", total.alias("total")
     )
 
 
@@ -125,23 +118,20 @@ def build_master(
     children: Mapping[str, Child],
     with_records: bool = True,
     limit: int = RECORD_LIMIT,
-    hot: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Base rows, unique tables, and per child ``x`` (records), ``x_count``, ``has_x``; plus the total.
 
     With records, the rows with ``chunk`` 0 are the entities, and ``x`` has the first ``limit``
     records of each. What is beyond them follows in rows with ``chunk`` 1, 2, ... and ``child``, the
-    name of the only child they carry; their other columns are null. ``hot`` names very large keys
-    by child, as for :func:`nest_children`.
+    name of the only child they carry; their other columns are null. Very large keys are spread as in :func:`nest_children`.
     """
     out = left_join_unique(dedupe_first(base, key, base_order), key, unique)
     counts, further = [], []
     for name, child in children.items():
         rows, _ = _records(child.df, key, child.drop)
         if with_records:
-            nested = nest_children(child.df, key, child, limit, (hot or {}).get(name))
-            total = F.sum("record_count").over(W.partitionBy(key)).alias(f"{name}_count")
-            nested = nested.select(key, "chunk", F.col("records").alias(name), total)
+            nested = _nested(child.df, key, child, limit)
+            nested = nested.select(key, "chunk", F.col("records").alias(name), F.col("total").alias(f"{name}_count"))
             first = nested.filter("chunk = 0").drop("chunk")
             out = attach_by_key(out, first, key, {f"{name}_count": 0})
             further.append(nested.filter("chunk > 0").select(key, "chunk", F.lit(name).alias("child"), name))

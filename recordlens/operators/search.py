@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.functions.ranking import top_per_group
-from recordlens.functions.runtime import percent
+from recordlens.functions.ranking import large_groups, places_in_groups, top_per_group
+from recordlens.functions.runtime import materialize, percent
 from recordlens.functions.scalars import clip_text
 from recordlens.functions.terms import (
     EXACT_PATTERNS, EXACT_TEXTS, any_occurs, fold, java_pattern, occurs_sql, sql_text, with_folded,
@@ -393,24 +393,29 @@ def match_detail(
     """(entity_id, chunk, chunks, match_detail, match_count): ``table.field: text`` strings joined by ' | '.
 
     ``limit`` matches per row, in order of table, record, field and place; an entity with more has
-    further chunks, which go on where the one before ends.
+    further chunks, which go on where the one before ends. Such entities' matches are spread by place.
     """
     rank = F.array_position(F.array(*[F.lit(t) for t in table_order]), F.col("table_name"))
     line = F.concat(F.col("table_name"), F.lit("."), F.col("field"), F.lit(": "), F.col("matched_text"))
-    place = F.row_number().over(W.partitionBy("entity_id").orderBy(rank, "row_pos", "field", "hit_no", "matched_text")) - 1
+    # Found once, as they are counted first.
+    rows = materialize(matches.select("entity_id", rank.alias("_table"), "row_pos", "field", "hit_no", "matched_text", line.alias("_line")))
+    hot = materialize(large_groups(rows, ["entity_id"], limit))
+    spread = not hot.isEmpty()
+    placed = places_in_groups(
+        rows, ["entity_id"], ["_table", "row_pos", "field", "hit_no", "matched_text"], hot if spread else None, "_place"
+    )
     ordered = F.sort_array(F.collect_list(F.struct("_place", "_line")))
     chunks = (
-        matches.select("entity_id", line.alias("_line"), place.alias("_place"))
-        .withColumn("chunk", F.floor(F.col("_place") / limit).cast("int"))
+        placed.withColumn("chunk", F.floor(F.col("_place") / limit).cast("int"))
         .groupBy("entity_id", "chunk")
         .agg(
             F.array_join(F.transform(ordered, lambda x: x["_line"]), " | ").alias("match_detail"),
             F.count(F.lit(1)).alias("match_count"),
         )
     )
-    return chunks.select(
-        "entity_id", "chunk", (F.max("chunk").over(W.partitionBy("entity_id")) + 1).alias("chunks"),
-        "match_detail", "match_count",
+    total = F.coalesce("rows", "match_count") if spread else F.col("match_count")
+    return (chunks.join(hot, "entity_id", "left") if spread else chunks).select(
+        "entity_id", "chunk", F.ceil(total / limit).cast("int").alias("chunks"), "match_detail", "match_count"
     )
 
 

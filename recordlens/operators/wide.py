@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordlens.functions.runtime import percent
+from recordlens.functions.ranking import large_groups, places_in_groups
+from recordlens.functions.runtime import materialize, percent
 from recordlens.functions.scalars import missing_text
 from recordlens.operators.master import restrict_to_ids
 
@@ -50,7 +50,7 @@ def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -
 
     ``limit`` values per part; most entities have part 0 alone. Values are reduced to distinct ones
     with their first place before the shuffle, whatever the number of rows of an entity. A column
-    without values in a part is null there.
+    without values in a part is null there. The values of entities with more rows than a part holds are spread by place.
     """
     distinct = (
         _as_text(t, key, ids).unpivot([key, "_o"], t.columns, "column", "value")
@@ -58,11 +58,13 @@ def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -
         .groupBy(key, "column", "value")
         .agg(F.min("_o").alias("_first"))
     )
-    place = F.row_number().over(W.partitionBy(key, "column").orderBy("_first", "value")) - 1
+    # An entity has no more values of a column than rows, and these are counted from the keys alone.
+    keys = restrict_to_ids(t.df.select(F.col(t.key).alias(key)), key, ids)
+    hot = materialize(large_groups(keys.filter(F.col(key).isNotNull()), [key], limit))
+    placed = places_in_groups(distinct, [key, "column"], ["_first", "value"], None if hot.isEmpty() else hot, "_place")
     ordered = F.sort_array(F.collect_list(F.struct("_place", "value")))
     cells = (
-        distinct.withColumn("_place", place)
-        .withColumn("part", F.floor(F.col("_place") / limit).cast("int"))
+        placed.withColumn("part", F.floor(F.col("_place") / limit).cast("int"))
         .groupBy(key, "column", "part")
         .agg(F.array_join(F.transform(ordered, lambda x: x["value"]), SEPARATOR).alias("_cell"))
     )
@@ -86,17 +88,15 @@ def wide_extract(
     out = wanted.withColumn("part", F.lit(0))
     further = []
     if detail is not None:
-        lines = detail.join(wanted, key, "left_semi").select(
-            key, F.col("chunk").alias("part"), "match_detail",
-            F.sum("match_count").over(W.partitionBy(key)).alias("match_count"),
-        )
-        out = out.join(lines.filter("part = 0").drop("part"), key, "left").withColumns(
+        lines = detail.join(wanted, key, "left_semi").select(key, F.col("chunk").alias("part"), "match_detail")
+        matches = detail.groupBy(key).agg(F.sum("match_count").alias("match_count"))
+        out = out.join(lines.filter("part = 0").drop("part"), key, "left").join(matches, key, "left").withColumns(
             {
                 "match_detail": F.coalesce("match_detail", F.lit("")),
                 "match_count": F.coalesce("match_count", F.lit(0)),
             }
         )
-        further.append(lines.filter("part > 0").drop("match_count"))
+        further.append(lines.filter("part > 0"))
     for t in tables:
         wide = wide_table(t, key, ids, limit)
         out = out.join(wide.filter("part = 0").drop("part"), key, "left")

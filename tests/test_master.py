@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordlens.functions.ranking import places_in_groups
 from recordlens.operators import master as M
 from recordlens.operators import wide as N
 
@@ -51,12 +52,39 @@ def test_large_entity_goes_on_in_further_rows(spark):
     more = sorted((r["chunk"], [x["pos"] for x in r["c"]], r["child"]) for r in got if r["chunk"])
     assert [c for c, _, _ in more] == [1, 2, 3, 4] and {n for _, _, n in more} == {"c"}
     assert [x["pos"] for x in entities[0]["c"]] + sum((p for _, p, _ in more), []) == list(range(450))
-    hot = M.large_keys(rows, "k", 100)
-    plain, spread = (
-        sorted((r["k"], r["chunk"], r["chunks"], [x["pos"] for x in r["records"]]) for r in M.nest_children(rows, "k", child, 100, h).collect())
-        for h in (None, hot)
-    )
-    assert plain == spread
+    nested = M.nest_children(rows, "k", child, 100).collect()
+    assert {(r["k"], r["chunk"], r["chunks"], r["record_count"]) for r in nested} == {(1, 0, 1, 50), *((0, c, 5, 100 if c < 4 else 50) for c in range(5))}
+    assert M.large_keys(rows, "k", 100).collect() == [(0, 450)]
+
+
+def test_a_hot_key_is_spread_without_being_named(spark):
+    """Half of all rows have one key: their places come from a range partitioning, and no task has much more than its share."""
+    n = 40_000
+    rows = spark.range(n).selectExpr("case when id % 2 = 0 then -1 else id % 4000 end as k", "(id * 7919) % 40000 as pos", "repeat('x', 30) as v")
+    hot = M._hot_keys(rows, "k", 1_000)
+    assert hot.collect() == [(-1, n // 2)]
+    # Small partitions stay apart, to be seen.
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    before = {c: spark.conf.get(c) for c in small}
+    for c, v in small.items():
+        spark.conf.set(c, v)
+    try:
+        spread = places_in_groups(rows, ["k"], ["pos"], hot, "_place").filter("k = -1")
+        assert [r["_place"] for r in spread.orderBy("pos").collect()] == list(range(n // 2))
+        sizes = sorted(r["n"] for r in spread.groupBy(F.spark_partition_id().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(sizes) > 4 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    nested = M.nest_children(rows, "k", M.Child(rows, ("pos",), drop=()), 1_000)
+    got = {(r["k"], r["chunk"]): r for r in nested.collect()}
+    assert len(got) == 20 + 2_000 and {r["chunks"] for (k, _), r in got.items() if k != -1} == {1}
+    whole = [x["pos"] for c in range(20) for x in got[-1, c]["records"]]
+    assert whole == sorted(whole) and len(whole) == n // 2 and got[-1, 0]["chunks"] == 20
+    ids = spark.createDataFrame([(-1,), (1,)], "k long")
+    wide = N.wide_extract([N.WideTable("x", rows, "k", ("pos",))], "k", ids, limit=1_000).filter("k = -1").orderBy("part").collect()
+    assert [r["part"] for r in wide] == list(range(20))
+    assert " | ".join(r["x_pos"] for r in wide) == " | ".join(str(p) for p in whole) and wide[0]["x_v"] == "x" * 30
 
 
 def test_one_scan_and_one_shuffle_per_child(spark, tmp_path):

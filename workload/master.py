@@ -142,11 +142,10 @@ def nest_chunks(t: Tables) -> DataFrame:
     return nested.select("o_orderkey", "chunk", "chunks", "record_count", _digest().alias("digest"))
 
 
-@query("nest_hot_keys", _CHUNKED_SQL)
+@query("nest_hot_keys", _CHUNKED_SQL.replace("// 4", "// 6").replace("+ 3)", "+ 5)"))
 def nest_hot_keys(t: Tables) -> DataFrame:
-    """The same rows when the orders of 7 and more lines are range partitioned as hot ones."""
-    hot = M.large_keys(_lines(t), "o_orderkey", 6)
-    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t), limit=4, hot=hot)
+    """Orders of 7 lines are found to be too large for a row and spread by place."""
+    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t), limit=6)
     return nested.select("o_orderkey", "chunk", "chunks", "record_count", _digest().alias("digest"))
 
 
@@ -186,16 +185,26 @@ m AS (
 """
 
 
-@query("build_master", _MASTER_SQL + "SELECT * FROM m")
-def build_master(t: Tables) -> DataFrame:
+def _all_records(master: DataFrame) -> DataFrame:
+    """A row per entity with the records of all its rows as texts, in order."""
+
     def joined(column: str, field: str):
-        # An entity without records has no array, and joins to null.
-        return F.array_join(F.transform(column, lambda r: r[field].cast("string")), " ")
+        pieces = F.collect_list(F.struct("chunk", F.transform(column, lambda r: r[field].cast("string")).alias("v")))
+        flat = F.flatten(F.transform(F.filter(F.sort_array(pieces), lambda p: p["v"].isNotNull()), lambda p: p["v"]))
+        return F.when(F.size(flat) > 0, F.array_join(flat, " "))
+
+    # Columns of the entity are null in its further rows.
+    plain = [c for c in master.columns if c not in ("c_custkey", "orders", "events", "chunk", "child")]
+    return master.groupBy("c_custkey").agg(
+        joined("orders", "o_orderkey").alias("order_ids"), joined("events", "event_type").alias("event_kinds"),
+        *[F.max(c).alias(c) for c in plain],
+    )
 
-    return customer_master(t).filter("chunk = 0").select(
-        "c_custkey", "c_name", "n_name", "o_orderkey", "o_orderpriority",
-        joined("orders", "o_orderkey").alias("order_ids"),
-        joined("events", "event_type").alias("event_kinds"),
+
+@query("build_master", _MASTER_SQL + "SELECT * FROM m")
+def build_master(t: Tables) -> DataFrame:
+    return _all_records(customer_master(t)).select(
+        "c_custkey", "c_name", "n_name", "o_orderkey", "o_orderpriority", "order_ids", "event_kinds",
         "orders_count", "events_count", "has_orders", "has_events", "total_related_records",
     )
 
@@ -203,16 +212,8 @@ def build_master(t: Tables) -> DataFrame:
 @query("build_master_chunks", _MASTER_SQL + "SELECT c_custkey, c_name, order_ids, event_kinds, orders_count, events_count FROM m")
 def build_master_chunks(t: Tables) -> DataFrame:
     """The same records from two per row: what the further rows hold goes on where chunk 0 ends."""
-
-    def joined(column: str, field: str):
-        pieces = F.collect_list(F.struct("chunk", F.transform(column, lambda r: r[field].cast("string")).alias("v")))
-        flat = F.flatten(F.transform(F.filter(F.sort_array(pieces), lambda p: p["v"].isNotNull()), lambda p: p["v"]))
-        return F.when(F.size(flat) > 0, F.array_join(flat, " "))
-
-    return customer_master(t, limit=2).groupBy("c_custkey").agg(
-        F.max("c_name").alias("c_name"), joined("orders", "o_orderkey").alias("order_ids"),
-        joined("events", "event_type").alias("event_kinds"), F.max("orders_count").alias("orders_count"),
-        F.max("events_count").alias("events_count"),
+    return _all_records(customer_master(t, limit=2)).select(
+        "c_custkey", "c_name", "order_ids", "event_kinds", "orders_count", "events_count"
     )
 
 
@@ -328,15 +329,8 @@ def _wide_sql(order: str = "pos") -> str:
     """
 
 
-@query("wide_extract", _wide_sql() + "SELECT * FROM wide")
-def wide_extract(t: Tables) -> DataFrame:
-    return N.wide_extract(_wide_tables(t), "entity_id", _urgent(t)).filter("part = 0").drop("part")
-
-
-@query("wide_extract_split", _wide_sql() + "SELECT * FROM wide")
-def wide_extract_split(t: Tables) -> DataFrame:
-    """The same cells from two values per part: the parts of an entity go on where the one before ends."""
-    wide = N.wide_extract(_wide_tables(t), "entity_id", _urgent(t), limit=2)
+def _all_parts(wide: DataFrame) -> DataFrame:
+    """A row per entity: the cells of its parts go on where the one before ends."""
 
     def cell(c: str):
         pieces = F.filter(F.sort_array(F.collect_list(F.struct("part", F.col(c).alias("v")))), lambda p: p["v"].isNotNull())
@@ -345,6 +339,17 @@ def wide_extract_split(t: Tables) -> DataFrame:
     return wide.groupBy("entity_id").agg(*[cell(c) for c in wide.columns if c not in ("entity_id", "part")])
 
 
+@query("wide_extract", _wide_sql() + "SELECT * FROM wide")
+def wide_extract(t: Tables) -> DataFrame:
+    return _all_parts(N.wide_extract(_wide_tables(t), "entity_id", _urgent(t)))
+
+
+@query("wide_extract_split", _wide_sql() + "SELECT * FROM wide")
+def wide_extract_split(t: Tables) -> DataFrame:
+    """The same cells from two values per part."""
+    return _all_parts(N.wide_extract(_wide_tables(t), "entity_id", _urgent(t), limit=2))
+
+
 @query(
     "audit_wide_extract",
     _wide_sql() + """
