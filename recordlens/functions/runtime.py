@@ -40,6 +40,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` dealt over all cores by ``by``, if its files hold less than a full split for each of them.
+
+    Such a table may be one row group, hence one task, whatever a CPU-bound step then does with it. Its shuffle is at most
+    one split per core; larger tables have tasks enough and stay where they are. The rows are the same.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *by) if size < cores * split else df
+
+
 def bind(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     """Add the single row of ``one_row`` as a struct column: a scalar subquery, run once.
 

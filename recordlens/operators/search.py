@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlens.functions.ranking import large_groups, places_in_groups, top_per_group
-from recordlens.functions.runtime import materialize, percent
+from recordlens.functions.runtime import materialize, percent, spread_small
 from recordlens.functions.scalars import clip_text
 from recordlens.functions.terms import (
     EXACT_PATTERNS, EXACT_TEXTS, any_occurs, fold, java_pattern, occurs_sql, sql_text, with_folded,
@@ -73,6 +73,7 @@ def text_cells(tables: Sequence[SearchTable]) -> DataFrame:
         cells = cells.select(*CELL, "text").filter(
             F.col("entity_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
         )
+        cells = spread_small(cells, list(CELL))
         out = cells if out is None else out.unionByName(cells)
     if out is None:
         raise ValueError("no table has a searchable field")
