@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.functions.comoments import MOMENT_SCHEMA, merge_rows, moment_batch, moment_rows
 from recordlens.functions.quantiles import LINEAR, NEAREST, quantile_scalar, quantiles
 from recordlens.functions.ranking import top_per_group
 from recordlens.functions.runtime import bind, exact_sum, percent
@@ -320,11 +323,39 @@ def flag_frequency(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one pass over the rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    aggs = [F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
-    rows = ", ".join(f"'{a}', '{b}', _r{i}" for i, (a, b) in enumerate(pairs))
-    return df.agg(*aggs).select(F.expr(f"stack({len(pairs)}, {rows}) as (var1, var2, r)"))
+    """Pearson correlation of every pair of columns over the rows that have both, in one pass over the rows.
+
+    Every task adds up the co-moments of all pairs as matrix products, a block of rows at a time, and sends a row per
+    column; these are merged in two levels. The plan does not grow with the number of pairs.
+    """
+    names = list(columns)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double")
+    values = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
+    moments = values.mapInArrow(lambda batches: moment_rows(batches, len(names)), MOMENT_SCHEMA)
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([moment_batch([table["i"][0].as_py()], table["part"][0].as_py(), merge_rows(table)[:, None])])
+
+    def correlations(table: pa.Table) -> pa.Table:
+        i = table["i"][0].as_py()
+        n, _, _, xx, yy, xy, bad = merge_rows(table)[:, i + 1 :]
+        with np.errstate(all="ignore"):
+            r = np.where(bad > 0, np.nan, xy / np.sqrt(xx * yy))
+        # Undefined for less than two rows, or without any spread.
+        missing = (n < 2) | ((bad == 0) & ((xx == 0) | (yy == 0)))
+        return pa.table({
+            "var1": pa.array([names[i]] * len(r), pa.string()), "var2": pa.array(names[i + 1 :], pa.string()),
+            "r": pa.array(r, pa.float64(), mask=missing),
+        })
+
+    once = moments.groupBy("i", "part").applyInArrow(merged, MOMENT_SCHEMA)
+    found = once.groupBy("i").applyInArrow(correlations, "var1 string, var2 string, r double")
+    # Without rows there are pairs all the same; one row per pair.
+    pairs = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in range(len(names))])).alias("i"))
+    name = F.array(*[F.lit(c) for c in names])
+    every = pairs.select(F.element_at(name, F.col("i") + 1).alias("var1"), F.explode(F.slice(name, F.col("i") + 2, len(names))).alias("var2"))
+    return every.join(found, ["var1", "var2"], "left")
 
 
 def correlation_pairs(matrix: DataFrame, above: float = MODERATE) -> DataFrame:
