@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.quantiles import LINEAR, NEAREST, quantile_scalar, quantiles
 from recordlens.functions.ranking import global_rank, top_per_group
-from recordlens.functions.runtime import bind, exact_sum, percent
+from recordlens.functions.runtime import bind, exact_sum, materialize, percent
 from recordlens.functions.scalars import SIZE_LIMITS, SIZE_NAMES, execution_rate, size_tier
 
 # Quantiles of the statistics.
@@ -117,10 +117,11 @@ def top_concentration(
 
 
 def amount_stats(df: DataFrame, amount: str, executed: str | None = None) -> DataFrame:
-    """One row over entities with a positive amount: moments, percentiles, execution rates."""
-    a = F.col(amount)
-    valid = df.filter(a > 0)
-    q = quantiles(valid, amount, AMOUNT_PERCENTILES)
+    """One row over entities with a positive amount: moments, percentiles, execution rates. The amounts are stored once."""
+    a = F.col("_a")
+    rows = materialize(df.select(F.col(amount).alias("_a"), *([F.col(executed).alias("_x")] if executed else [])))
+    valid = rows.filter(a > 0)
+    q = quantiles(valid, "_a", AMOUNT_PERCENTILES)
     aggs = [
         F.count(F.lit(1)).alias("with_amount"),
         (exact_sum(a).cast("double") / F.count(F.lit(1))).alias("mean"),
@@ -131,14 +132,14 @@ def amount_stats(df: DataFrame, amount: str, executed: str | None = None) -> Dat
     ]
     extra = ["_q.*"]
     if executed:
-        rate = execution_rate(F.col(executed), a)
+        rate = execution_rate(F.col("_x"), a)
         rates = valid.select(rate.alias("r")).filter(F.col("r") > 0)
         aggs += [
             F.avg(F.when(rate > 0, rate)).alias("mean_rate"),
             F.count_if(rate > 0).alias("with_execution"),
         ]
         extra.append(quantile_scalar(rates, "r", 0.5).alias("median_rate"))
-    every = df.agg(F.count(F.lit(1)).alias("entities"))
+    every = rows.agg(F.count(F.lit(1)).alias("entities"))
     out = bind(bind(valid.agg(*aggs), q, "_q"), every, "_e").select("_e.*", "*", *extra).drop("_q", "_e")
     return out.withColumn("coverage_pct", percent(F.col("with_amount"), F.col("entities")))
 

@@ -72,25 +72,68 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def distinct_by_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct_values) over all given columns; 128 bits stand for a value, so long texts are not shuffled."""
+    def digest(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
+
+    return (
+        df.select(*[digest(c).alias(c) for c in columns])
+        .unpivot([], list(columns), "column", "value")
+        .filter(F.col("value").isNotNull())
+        .distinct()
+        .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
+    )
+
+
+def many_valued(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that surely have ``TOP_BELOW`` distinct values or more, by one pass of sketches of bounded size.
+
+    The margin is tenfold, far beyond any error of a sketch; what lies between counts as few.
+    """
+    if not columns:
+        return []
+    row = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[f"_{i}"] >= 10 * TOP_BELOW]
+
+
 def profile_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct values, nulls, and the top values of columns with few distinct ones."""
-    counts = value_counts(df, list(columns or text_columns(df)))
+    """Distinct values, nulls, and the top values of columns with few distinct ones.
+
+    Values themselves are counted, and shuffled, for columns that may have few of them only; all others are counted by hash.
+    """
+    columns = list(columns or text_columns(df))
+    many = many_valued(df, columns)
+    few = [c for c in columns if c not in many]
     known = F.col("value").isNotNull()
-    stats = counts.groupBy("column").agg(
-        F.count_if(known).alias("distinct_values"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_count"),
-    )
-    top = top_per_group(counts.filter(known), ["column"], [F.desc("n"), F.col("value")], TOP_VALUES, "r")
-    shown = top.groupBy("column").agg(
-        F.sort_array(F.collect_list(F.struct("r", "value", "n"))).alias("_top")
-    )
-    joined = F.array_join(
-        F.transform("_top", lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), ", "
-    )
-    return stats.join(shown, "column", "left").select(
-        "column", "distinct_values", "null_count",
-        F.when(F.col("distinct_values") < TOP_BELOW, joined).alias("top_values"),
-    )
+    parts = []
+    if few or not many:
+        counts = value_counts(df, few)
+        stats = counts.groupBy("column").agg(
+            F.count_if(known).alias("distinct_values"),
+            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_count"),
+        )
+        top = top_per_group(counts.filter(known), ["column"], [F.desc("n"), F.col("value")], TOP_VALUES, "r")
+        shown = top.groupBy("column").agg(
+            F.sort_array(F.collect_list(F.struct("r", "value", "n"))).alias("_top")
+        )
+        joined = F.array_join(
+            F.transform("_top", lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), ", "
+        )
+        parts.append(
+            stats.join(shown, "column", "left").select(
+                "column", "distinct_values", "null_count",
+                F.when(F.col("distinct_values") < TOP_BELOW, joined).alias("top_values"),
+            )
+        )
+    if many:
+        nulls = per_column(df, many, {"null_count": tuple(F.count_if(F.col(c).isNull()) for c in many)})
+        parts.append(
+            distinct_by_hash(df, many).join(nulls, "column")
+            .select("column", "distinct_values", "null_count", F.lit(None).cast("string").alias("top_values"))
+        )
+    return union_all(parts)
 
 
 def approx_distinct(df: DataFrame, columns: Sequence[str], rsd: float = 0.02) -> DataFrame:

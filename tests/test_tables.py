@@ -105,3 +105,22 @@ def test_flags_take_the_last_name_on_ties(spark):
     df = spark.createDataFrame([(1, "1"), (0, "0")], "a int, b string")
     got = {r["flag"]: (r["n"], r["pct"], r["is_top"]) for r in D.flag_frequency(df, ["a", "b"]).collect()}
     assert got == {"a": (1, 50.0, False), "b": (1, 50.0, True)}
+
+
+def test_categorical_profile_of_many_and_few_values(spark):
+    """Columns of many values are counted by hash, with the same numbers as by value."""
+    df = spark.range(3_000).selectExpr(
+        "cast(id as string) as unique", "case when id % 3 = 0 then null else concat('long ', repeat('x', 50), id % 1500) end as some",
+        "cast(id % 150 as string) as middle", "case when id < 10 then 'a' when id % 2 = 0 then 'b' end as few", "cast(null as string) as none",
+    )
+    assert R.many_valued(df, df.columns) == ["unique", "some"]
+    got = {r["column"]: r for r in R.profile_categorical(df).collect()}
+    for c in df.columns:
+        values = [r[0] for r in df.select(c).collect()]
+        known = {v for v in values if v is not None}
+        assert (got[c]["distinct_values"], got[c]["null_count"]) == (len(known), values.count(None)), c
+    assert got["few"]["top_values"] == "b:1495, a:10" and got["unique"]["top_values"] is None and got["middle"]["top_values"] is None
+    only = R.profile_categorical(df, ["unique"]).collect()
+    assert [(r["column"], r["distinct_values"], r["top_values"]) for r in only] == [("unique", 3_000, None)]
+    plan = R.distinct_by_hash(df, ["some"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
