@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,10 +70,15 @@ def key_coverage(counts: DataFrame, tables: Sequence[str]) -> DataFrame:
         *[F.count_if(f"_t{i}").alias(f"_n{i}") for i in range(len(tables))],
     )
     pairs = ", ".join(f"'{t}', _n{i}" for i, t in enumerate(tables))
+    return _coverage(totals.select(
+        "all_keys", F.expr(f"stack({len(tables)}, {pairs}) as (table_name, unique_keys)")
+    ))
+
+
+def _coverage(totals: DataFrame) -> DataFrame:
+    """Shares of (all_keys, table_name, unique_keys)."""
     share = percent(F.col("unique_keys"), F.col("all_keys"))
     return totals.select(
-        "all_keys", F.expr(f"stack({len(tables)}, {pairs}) as (table_name, unique_keys)")
-    ).select(
         "table_name", "unique_keys", "all_keys",
         F.round(share, 2).alias("coverage_pct"),
         (F.col("all_keys") - F.col("unique_keys")).alias("missing_keys"),
@@ -81,6 +86,60 @@ def key_coverage(counts: DataFrame, tables: Sequence[str]) -> DataFrame:
     )
 
 
+# Values of one bitmap, and its bytes; bytes of a row of the plain way, which bitmaps must not exceed.
+BITMAP_VALUES, BITMAP_BYTES, ROW_BYTES = 32_768, 4_096, 16
+
+
+def dense_sets(values: DataFrame) -> list[str]:
+    """The names whose whole numbers lie close enough for bitmaps: one pass over (name, table_name, value).
+
+    All buckets between the smallest and the largest value then take no more than ``ROW_BYTES`` per row, so bitmaps
+    never send more than the values would.
+    """
+    span = (F.floor(F.col("hi") / BITMAP_VALUES) - F.floor(F.col("lo") / BITMAP_VALUES) + 2) * F.col("tables")
+    ranges = values.groupBy("name").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("rows"), F.count_distinct("table_name").alias("tables")
+    )
+    # One row per name.
+    return [r["name"] for r in ranges.filter(span * BITMAP_BYTES <= F.col("rows") * ROW_BYTES + BITMAP_BYTES * 64).select("name").collect()]
+
+
+def set_bitmaps(values: DataFrame) -> DataFrame:
+    """(name, table_name, bucket, bits): the distinct values of every set, a row per 32,768 neighbours, built before the shuffle."""
+    v = F.col("value")
+    return values.filter(v.isNotNull()).groupBy("name", "table_name", F.bitmap_bucket_number(v).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")
+    )
+
+
+def _set_sizes(bitmaps: DataFrame, tables: Sequence[Sequence[str]]) -> DataFrame:
+    """(name, n0, n1, ...): the sizes of the unions of the given tables' sets, bucket by bucket."""
+    # A union counts where one of its tables has the bucket.
+    unions = [F.bitmap_or_agg(F.when(F.col("table_name").isin(list(ts)), F.col("bits"))).alias(f"b{i}") for i, ts in enumerate(tables)]
+    per_bucket = bitmaps.groupBy("name", "bucket").agg(*unions)
+    return per_bucket.groupBy("name").agg(*[F.coalesce(F.sum(F.bitmap_count(f"b{i}")), F.lit(0)).alias(f"n{i}") for i in range(len(tables))])
+
+
+def key_coverage_of(tables: Tables) -> DataFrame:
+    """:func:`key_coverage` of the tables themselves: by bitmaps where the keys are dense whole numbers, else by key.
+
+    A bitmap stands for up to 32,768 keys of a table, so that a row per bucket is shuffled instead of one per key and table.
+    """
+    names = list(tables)
+    if key_type(tables.values()) == "long":
+        values = union_all([
+            df.select(F.lit("key").alias("name"), F.lit(name).alias("table_name"), F.col(key).cast("long").alias("value"))
+            for name, (df, key) in tables.items()
+        ])
+        if dense_sets(values):
+            sizes = _set_sizes(set_bitmaps(values), [*[[t] for t in names], names])
+            pairs = ", ".join(f"'{t}', n{i}" for i, t in enumerate(names))
+            return _coverage(sizes.select(
+                F.col(f"n{len(names)}").alias("all_keys"), F.expr(f"stack({len(names)}, {pairs}) as (table_name, unique_keys)")
+            ))
+    return key_coverage(key_counts(tables), names)
+
+
 def relationship_class(
     cardinality: DataFrame, coverage: DataFrame, categories: Mapping[str, str], base_category: str
 ) -> DataFrame:
@@ -171,23 +230,57 @@ def table_columns(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
 
 
 def field_overlap(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """For every column two tables share: its distinct values in one and how many the other has.
+    """For every column two tables share: its distinct values in one and how many the other has. One row per column and ordered pair.
 
-    Every (table, value) is reduced before the shuffle. One row per column and ordered pair.
+    Columns of dense whole numbers are compared as bitmaps, all others by value, each reduced to distinct ones before the shuffle.
     """
     shared = {c: ts for c, ts in table_columns(tables).items() if len(ts) > 1}
-    frames = [
-        tables[t].select(
-            F.lit(c).alias("column"), F.lit(t).alias("table_name"), F.col(c).cast("string").alias("value")
-        )
-        for c, ts in shared.items()
-        for t in ts
-    ]
-    names = sorted(tables)
+
+    def values(columns: Sequence[str], kind: str) -> DataFrame:
+        return union_all([
+            tables[t].select(F.lit(c).alias("name"), F.lit(t).alias("table_name"), F.col(c).cast(kind).alias("value"))
+            for c in columns for t in shared[c]
+        ])
+
+    whole = [c for c, ts in shared.items() if key_type([(tables[t], c) for t in ts]) == "long"]
+    dense = dense_sets(values(whole, "long")) if whole else []
+    parts = []
+    if dense:
+        parts.append(_overlap_of_bitmaps(set_bitmaps(values(dense, "long")), {c: shared[c] for c in dense}))
+    rest = {c: ts for c, ts in shared.items() if c not in dense}
+    if rest:
+        parts.append(_overlap_of_values(values(list(rest), "string"), rest))
+    return union_all(parts).withColumn("share", F.round(percent(F.col("in_other"), F.col("distinct_values")), 2))
+
+
+def _overlap_of_bitmaps(bitmaps: DataFrame, shared: Mapping[str, Sequence[str]]) -> DataFrame:
+    names = sorted({t for ts in shared.values() for t in ts})
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sizes = _set_sizes(bitmaps, [*[[t] for t in names], *pairs])
+    own = {t: f"n{i}" for i, t in enumerate(names)}
+    # What two sets share is what their union lacks of both sizes.
+    both = {frozenset(p): f"{own[p[0]]} + {own[p[1]]} - n{len(names) + i}" for i, p in enumerate(pairs)}
+    rows = [f"'{a}', '{b}', {own[a]}, {both[frozenset((a, b))]}" for a in names for b in names if a != b]
+    found = sizes.select(
+        F.col("name").alias("column"), F.expr(f"stack({len(rows)}, {', '.join(rows)}) as (table_name, other_table, distinct_values, in_other)")
+    )
+    return found.filter(_shared_by(shared))
+
+
+def _shared_by(shared: Mapping[str, Sequence[str]]) -> Column:
+    """Rows of a column and two tables that have it."""
+    in_column = F.lit(False)
+    for c, ts in shared.items():
+        here = F.col("table_name").isin(list(ts)) & F.col("other_table").isin(list(ts))
+        in_column = in_column | ((F.col("column") == c) & here)
+    return in_column
+
+
+def _overlap_of_values(values: DataFrame, shared: Mapping[str, Sequence[str]]) -> DataFrame:
+    names = sorted({t for ts in shared.values() for t in ts})
     held = (
-        union_all(frames)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        values.filter(F.col("value").isNotNull())
+        .groupBy(F.col("name").alias("column"), "value")
         .agg(*[F.bool_or(F.col("table_name") == t).alias(f"_t{i}") for i, t in enumerate(names)])
     )
     aggs, rows = [], []
@@ -200,11 +293,4 @@ def field_overlap(tables: Mapping[str, DataFrame]) -> DataFrame:
     pairs = F.expr(
         f"stack({len(rows)}, {', '.join(rows)}) as (table_name, other_table, distinct_values, in_other)"
     )
-    in_column = F.lit(False)
-    for c, ts in shared.items():
-        here = F.col("table_name").isin(ts) & F.col("other_table").isin(ts)
-        in_column = in_column | ((F.col("column") == c) & here)
-    return (
-        held.groupBy("column").agg(*aggs).select("column", pairs).filter(in_column)
-        .withColumn("share", F.round(percent(F.col("in_other"), F.col("distinct_values")), 2))
-    )
+    return held.groupBy("column").agg(*aggs).select("column", pairs).filter(_shared_by(shared))

@@ -216,7 +216,7 @@ def key_cardinality(t: Tables) -> DataFrame:
 
 @query("key_coverage", _COUNTS_SQL.rstrip() + "," + _COVERAGE + "SELECT * FROM cov")
 def key_coverage(t: Tables) -> DataFrame:
-    return K.key_coverage(_counts(t), _KEYED_NAMES)
+    return K.key_coverage_of({name: (getattr(t, table), key) for name, (table, key) in _KEYED.items()})
 
 
 @query(
