@@ -217,18 +217,69 @@ def _spans_udf(patterns: Sequence[str]):
     return spans
 
 
+# Patterns that mean the same to Java and Python once \w is spelled out: characters, escaped signs, \w, classes of these, and *, + or ? after one.
+_SHARED = re.compile(r"(?:(?:[^\\^$.|?*+()\[\]{}]|\\[.\-*+?()\[\]{}|^$]|\\w|\[(?:[^\\^&\[\]]|\\w)+\])[*+?]?)+")
+# Matches whose places are added up together before they join those of the groups before; lists of any length cost little.
+_PLACES_AT_ONCE = 64
+
+
+def placed_in_sql(pattern: str) -> str | None:
+    """The pattern for SQL functions if they find the same matches as Python's, none otherwise."""
+    if _SHARED.fullmatch(pattern) is None or re.compile(pattern).match("") is not None:
+        return None
+    # A word character is a letter, a number or an underscore to Python; Java counts marks and leaves out fractions.
+    inside, out = False, ""
+    for part in re.findall(r"\\.|.", pattern, re.DOTALL):
+        inside = part == "[" or inside and part != "]"
+        out += (r"\p{L}\p{N}_" if inside else r"[\p{L}\p{N}_]") if part == r"\w" else part
+    return java_pattern(out)
+
+
+def _spans_sql(z: str) -> str:
+    """Places of matches from ``z``, an array of (m: a match, b: the text before it since the last one), as running sums of lengths."""
+    end = "s.at + length(e.b) + length(e.m)"
+    spans = "array_repeat(named_struct('matched_text', '', 'start', 0, 'end', 0), 0)"
+    group = (
+        f"aggregate(slice({z}, g * {_PLACES_AT_ONCE} + 1, {_PLACES_AT_ONCE}), named_struct('at', a.at, 'out', {spans}), (s, e) -> named_struct("
+        f"'at', {end}, 'out', array_append(s.out, named_struct('matched_text', e.m, 'start', s.at + length(e.b), 'end', {end}))))"
+    )
+    return (
+        f"flatten(aggregate(sequence(0, (size({z}) - 1) div {_PLACES_AT_ONCE}), named_struct('at', 0, 'out', array_repeat({spans}, 0)), (a, g) -> "
+        f"aggregate(array({group}), a, (x, y) -> named_struct('at', y.at, 'out', array_append(x.out, y.out)))).out)"
+    )
+
+
 def search_occurrences(cells: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """One row per match of every pattern: its text and place.
 
-    Only texts that some pattern matches reach the Python worker.
+    Places come from the matches and the texts between them, in generated SQL functions. Only patterns that Java reads otherwise,
+    such as look-around, word boundaries and patterns that match nothing, go to a Python worker, and only texts that they match.
     """
-    folded = with_folded(cells)
-    return (
-        folded.filter(any_occurs(patterns))
-        .select(*CELL, clip_text(F.col("text"), SNIPPET).alias("snippet"),
-                _spans_udf(patterns)(F.col("text")).alias("_spans"))
-        .select(*CELL, "snippet", F.inline("_spans"))
-    )
+    ours = {p: sql for p in patterns if (sql := placed_in_sql(p)) is not None}
+    others = [p for p in patterns if p not in ours]
+    folded = with_folded(cells).withColumn("snippet", clip_text(F.col("text"), SNIPPET))
+    parts = []
+    if ours:
+        gates = {p: test if (test := occurs_sql(p)).startswith("(") else f"rlike(text, {sql_text(sql)})" for p, sql in ours.items()}
+        found = ", ".join(
+            f"if({gates[p]}, named_struct('pattern', {sql_text(p)}, 'z', filter(transform(arrays_zip("
+            f"regexp_extract_all(text, {sql_text(sql)}, 0), split(text, {sql_text(sql)}, -1)), "
+            "e -> named_struct('m', e.`0`, 'b', e.`1`)), x -> x.m IS NOT NULL)), null)"
+            for p, sql in ours.items()
+        )
+        # One row per text and pattern, so that its matches are found once.
+        per_pattern = folded.filter(" OR ".join(gates.values())).selectExpr(*CELL, "snippet", f"inline(filter(array({found}), x -> x IS NOT NULL))")
+        named = per_pattern.filter("size(z) > 0").selectExpr(*CELL, "snippet", "pattern", "z")
+        parts.append(named.selectExpr(*CELL, "snippet", "pattern", f"inline({_spans_sql('z')})"))
+    if others:
+        parts.append(
+            folded.filter(any_occurs(others))
+            .select(*CELL, "snippet", _spans_udf(others)(F.col("text")).alias("_spans"))
+            .select(*CELL, "snippet", F.inline("_spans"))
+        )
+    if not parts:
+        raise ValueError("no patterns")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def occurrence_rollup(occurrences: DataFrame) -> DataFrame:

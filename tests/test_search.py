@@ -41,6 +41,28 @@ def test_occurrences_as_in_python(cells):
     assert got == want
 
 
+def test_places_in_long_and_random_texts(spark):
+    """Running sums over many groups of matches, letters of all kinds, and no Python worker for patterns both languages share."""
+    import random
+
+    rng = random.Random(9)
+    letters = ["AI", "ai", "ＡＩ", "生成AI", "x", " ", "é", "é", "²", "½", "ア", "ン", "_", "9", "😀", "İ", "ı", ".", "A.I.", "Ａ.Ｉ.", "ſ", "K", "\n"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(150)] + ["AI x" * 20_000, "AI" * 65, "x" + "ai" * 64]
+    cells = X.text_cells([X.SearchTable("x", spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ("t",))])
+    shared = (*T.RELAXED_PATTERNS, *T.COMPOUND_PATTERNS, "a[i_]?", "\\w+", "[éx\\w]+")
+    assert all(X.placed_in_sql(p) for p in shared)
+    found = X.search_occurrences(cells, shared)
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert not any(X.placed_in_sql(p) for p in (*T.EXACT_PATTERNS, "x*", "(a)b", "a|b", "[^a]", "\\d", "a{2}", "", "[a&&b]"))
+    mixed = (*shared, T.EXACT_PATTERNS[2], "a|x")
+    for patterns, df in ((shared, found), (mixed, X.search_occurrences(cells, mixed))):
+        got = {(r["entity_id"], r["pattern"], r["matched_text"], r["start"], r["end"]) for r in df.collect()}
+        want = {
+            (i, p, m.group(), m.start(), m.end()) for i, t in enumerate(texts) for p in patterns for m in re.finditer(p, t, re.IGNORECASE)
+        }
+        assert got == want
+
+
 def test_strict_matches_count_per_pattern(cells):
     got = {}
     for r in X.strict_matches(cells).collect():
