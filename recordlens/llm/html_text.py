@@ -10,6 +10,7 @@ navigation, advert, notice or comment are left out beforehand, those with such a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,7 +29,7 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset(
-    "head script style template noscript form nav footer header aside button select textarea input iframe object embed "
+    "head script style template noscript nav footer header aside button select textarea input iframe object embed "
     "svg math canvas audio video dialog menu search title noembed noframes fieldset".split()
 )
 ENDS_P = BLOCKS - {"body", "html", "head", "legend", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -81,7 +82,7 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNO
 
 
 class Element:
-    __slots__ = ("tag", "names", "up", "skip", "points", "letters", "linked", "down", "index", "number", "marked")
+    __slots__ = ("tag", "names", "up", "skip", "points", "letters", "linked", "down", "index", "number", "marked", "block")
 
     def __init__(self, tag: str, up: Element | None, names: str = "", skip: bool = False):
         self.tag, self.up, self.names = tag, up, names
@@ -91,6 +92,8 @@ class Element:
         self.down: list[Element] = []
         self.index = len(up.down) if up else 0
         self.number, self.marked = 0, ""
+        # The innermost block that it is or stands in.
+        self.block: Element = up.block if up and tag not in BLOCKS else self
         if up:
             up.down.append(self)
 
@@ -139,51 +142,54 @@ def _slug(text: str) -> str:
 
 
 def _to_drop(root: Element, blocks: list[Text]) -> frozenset[int]:
-    """Numbers of the marked elements to leave out.
+    """Numbers of the marked elements to leave out, in one pass down and one up.
 
     One stays that holds most of the page's prose, unless an article or main part outside it has some, and a section whose
-    id is the slug of its heading.
+    id is the slug of its heading. A form stays only where it wraps the page: with most of the prose, a heading or article
+    inside, and no prose in an article outside.
     """
-    marked: list[Element] = []
-    waiting = [root]
-    while waiting:
-        e = waiting.pop()
-        if e.marked:
-            marked.append(e)
-        waiting += e.down
-    if not marked:
+    elements = _in_page_order(root)
+    if not any(e.marked for e in elements):
         return frozenset()
-    prose: dict[int, int] = {}  # letters outside links, by element
-    apart: dict[int, int] = {}  # those of them in an article or main part inside the element
-    headings: dict[int, str] = {}
-    total = articles = 0
-    for b in blocks:
-        n = len(b.text) - b.linked
-        e, inside = b.element, False
-        while e is not None:
-            inside = inside or e.tag in ("article", "main") and not e.marked
-            prose[e.number] = prose.get(e.number, 0) + n
-            if inside:
-                apart[e.number] = apart.get(e.number, 0) + n
-            if HEADING.match(b.element.tag):
-                headings.setdefault(e.number, b.text)
-            e = e.up
-        total += n
-        articles += n if inside else 0
+    count = max((e.number for e in elements), default=0) + 1
+    prose = [0] * count  # letters outside links, by element
+    apart = [0] * count  # those of them in an article or main part inside the element, or that it is
+    heading: list[int | None] = [None] * count  # the first block that is a heading
+    inner = [False] * count  # inside an article or main part
+    parts = [False] * count  # holds an article or main part
+    for k, b in enumerate(blocks):
+        prose[b.element.number] += len(b.text) - b.linked
+        if heading[b.element.number] is None and HEADING.match(b.element.tag):
+            heading[b.element.number] = k
+    for e in elements[1:]:
+        inner[e.number] = inner[e.up.number] or e.up.tag in ("article", "main") and not e.up.marked
+    for e in reversed(elements):
+        i = e.number
+        if e.tag in ("article", "main") and not e.marked:
+            apart[i], parts[i] = prose[i], True
+        if e.up is not None:
+            up = e.up.number
+            prose[up] += prose[i]
+            apart[up] += apart[i]
+            parts[up] = parts[up] or parts[i]
+            if heading[i] is not None and (heading[up] is None or heading[i] < heading[up]):
+                heading[up] = heading[i]
+    total, articles = prose[root.number], apart[root.number]
     out = set()
-    for e in marked:
-        most = prose.get(e.number, 0) * 2 > total
-        elsewhere = articles > apart.get(e.number, 0)
-        inner = False  # inside an article, which is elsewhere then only if another one is
-        up = e.up
-        while up is not None:
-            inner = inner or up.tag in ("article", "main") and not up.marked
-            up = up.up
-        if inner:
-            elsewhere = articles > prose.get(e.number, 0) * 2
-        own = e.marked == "id" and e.tag in ("section", "div") and _slug(headings.get(e.number, "")) in e.names.lower().split()
-        if not (most and not elsewhere or own and (e.tag == "section" or "section" in e.names.split())):
-            out.add(e.number)
+    for e in elements:
+        if not e.marked:
+            continue
+        i = e.number
+        most = prose[i] * 2 > total
+        # Inside an article only another one is elsewhere.
+        elsewhere = articles > prose[i] * 2 if inner[i] else articles > apart[i]
+        title = blocks[heading[i]].text if heading[i] is not None else ""
+        own = e.marked == "id" and e.tag in ("section", "div") and _slug(title) in e.names.lower().split()
+        stays = most and not elsewhere or own and (e.tag == "section" or "section" in e.names.split())
+        if e.marked == "form":
+            stays = most and not elsewhere and not inner[i] and (parts[i] or heading[i] is not None)
+        if not stays:
+            out.add(i)
     return frozenset(out)
 
 
@@ -201,6 +207,7 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
     articles = 0
     number = 0
     block = root
+    opened: Counter[str] = Counter()  # open elements by tag, so that a tag that closes none of them looks for none
 
     def flush() -> None:
         nonlocal linked
@@ -216,6 +223,7 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
         nonlocal at, block, in_link, articles
         while True:
             done, at = at, at.up
+            opened[done.tag] -= 1
             if done.tag == "a":
                 in_link = max(0, in_link - 1)
             elif done.tag == "article":
@@ -224,9 +232,7 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
                 flush()
             if done is until:
                 break
-        block = at
-        while block.tag not in BLOCKS:
-            block = block.up
+        block = at.block
 
     pos, n = 0, len(html)
     while pos < n:
@@ -250,6 +256,8 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
             if tag == "br":
                 pieces.append(" ")
                 continue
+            if not opened[tag]:
+                continue
             e = at
             bound = {"table", "td", "th"} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html") else set()
             while e.up is not None and e.tag != tag and e.tag not in bound:
@@ -267,7 +275,7 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
         if tag in ("html", "body"):
             flush()
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             e = at
             while e.up is not None and e.tag not in ("p", "table", "td", "th", "button", "object"):
                 e = e.up
@@ -276,7 +284,7 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
         if tag in IMPLIED:
             closes, bounds = IMPLIED[tag]
             e, last = at, None
-            while e.up is not None and e.tag not in bounds:
+            while any(opened[c] for c in closes) and e.up is not None and e.tag not in bounds:
                 if e.tag in closes:
                     last = e
                 e = e.up
@@ -291,9 +299,7 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
             pieces.append(" ")
         if tag in VOID or (m["attrs"] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
             if tag == "hr":
-                block = at
-                while block.tag not in BLOCKS:
-                    block = block.up
+                block = at.block
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, pos)
@@ -305,8 +311,9 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
             continue
         at = Element(tag, at, names, skip)
         at.number = number
-        if attrs and not skip:
-            at.marked = _marked(tag, attrs, articles > 0)
+        opened[tag] += 1
+        if not skip:
+            at.marked = "form" if tag == "form" else _marked(tag, attrs, articles > 0) if attrs else ""
         if tag == "a":
             in_link += 1
         elif tag == "article":
@@ -317,15 +324,28 @@ def parse(html: str, drop: frozenset[int] = frozenset()) -> tuple[Element, list[
     return root, blocks
 
 
-def _score(blocks: list[Text]) -> list[Element]:
+def _in_page_order(root: Element) -> list[Element]:
+    """All elements, parents before what they hold."""
+    out, waiting = [], [root]
+    while waiting:
+        e = waiting.pop()
+        out.append(e)
+        waiting += reversed(e.down)
+    return out
+
+
+def _score(elements: list[Element], blocks: list[Text]) -> list[Element]:
     """Points to the ancestors of every block: whole to the parent, half to the next, a third of that to further ones."""
     touched: dict[int, Element] = {}
     for b in blocks:
-        e = b.element
-        while e is not None:
-            e.letters += len(b.text)
-            e.linked += b.linked
-            e = e.up
+        b.element.letters += len(b.text)
+        b.element.linked += b.linked
+    # Every element passes what it holds to its parent, the innermost first.
+    for e in reversed(elements):
+        if e.up is not None:
+            e.up.letters += e.letters
+            e.up.linked += e.linked
+    for b in blocks:
         points = 1 + b.text.count(",") + min(len(b.text) // 100, 3)
         if re.match(r"h[1-6]$", b.element.tag):
             points = 1
@@ -355,6 +375,14 @@ def link_density(e: Element) -> float:
     return e.linked / e.letters if e.letters else 0.0
 
 
+def _first_with_text(html: str, *drops: frozenset[int]) -> tuple[Element, list[Text]]:
+    for drop in drops:
+        root, blocks = parse(html, drop)
+        if blocks:
+            break
+    return root, blocks
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, one per line; empty if there is none."""
     if not html:
@@ -362,17 +390,18 @@ def main_text(html: str | None) -> str:
     root, blocks = parse(html)
     drop = _to_drop(root, blocks)
     if drop:
-        # Without the marked parts, if anything is left.
-        blocks = parse(html, drop)[1] or blocks
+        # Without the marked parts, if anything is left; forms go in any case.
+        root, blocks = _first_with_text(html, drop, frozenset(e.number for e in _in_page_order(root) if e.marked == "form") & drop)
     if not blocks:
         return ""
-    scored = _score(blocks)
+    elements = _in_page_order(root)
+    scored = _score(elements, blocks)
     final = {id(e): e.points * (1 - link_density(e)) for e in scored}
     best = max(scored, key=lambda e: final[id(e)])  # of equal ones the first in the page
     # Several articles or sections of like standing below one parent are read together.
     kept = {id(best)}
+    limit = max(10.0, final[id(best)] * 0.2)
     if best.up is not None:
-        limit = max(10.0, final[id(best)] * 0.2)
         for s in best.up.down:
             if s is best or s.skip:
                 continue
@@ -382,15 +411,25 @@ def main_text(html: str | None) -> str:
             heading = re.match(r"h[1-6]$", s.tag) and density < 0.25 and s.index < best.index
             if final.get(id(s), 0.0) + bonus >= limit or prose or heading:
                 kept.add(id(s))
+    # So are those that stand in wrappers of their own, if these are alike and hold an element of like standing.
+    wrapper = best
+    while wrapper.up is not None and wrapper.up.up is not None and wrapper.up.letters == wrapper.letters:
+        wrapper = wrapper.up
+    if wrapper is not best and wrapper.up is not None:
+        strongest: dict[int, float] = {}
+        for e in reversed(elements):
+            own = max(strongest.get(id(e), 0.0), final.get(id(e), 0.0))
+            if e.up is not None:
+                strongest[id(e.up)] = max(strongest.get(id(e.up), 0.0), own)
+            strongest[id(e)] = own
+        for s in wrapper.up.down:
+            if s is not wrapper and not s.skip and s.tag == wrapper.tag and s.names == wrapper.names and strongest[id(s)] >= limit and link_density(s) < 0.25:
+                kept.add(id(s))
+    for e in elements:
+        if e.up is not None and id(e.up) in kept:
+            kept.add(id(e))
     # Text that stands loose in the parent belongs to it when the parent is the best itself.
-    out = []
-    for b in blocks:
-        e = b.element
-        while e is not None and id(e) not in kept:
-            e = e.up
-        if e is not None:
-            out.append(b.text)
-    return "\n".join(out)
+    return "\n".join(b.text for b in blocks if id(b.element) in kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -74,3 +75,34 @@ def test_given_pages_equal_a_plain_reading(spark):
 ])
 def test_names_drop_no_content(page, want):
     assert main_text(page) == "\n".join(clean(w) for w in want)
+
+
+@pytest.mark.parametrize("page, want", [
+    # The whole body in a form, as some server frameworks write it.
+    (f"<body><form id='aspnetForm'><input type=hidden><div class=menu><a href=1>x</a></div><div id=content><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+     "<select><option>no</option></select><button>no</button></div></form></body>", ["Title", LONG, LONG]),
+    (f"<form><article><p>{LONG}</p></article></form>", [LONG]),
+    # Forms beside or in the article still go, as do pages of a form alone.
+    (f"<form><h3>Subscribe</h3><p>{LONG}</p><p>{LONG}</p></form><article><p>{LONG}</p></article>", [LONG]),
+    (f"<form><p>{LONG}</p></form>", []),
+    # Chapters in wrappers of their own.
+    ("".join(f"<div class=wrap><div class=chapter><h2>Part {i}</h2><p>{LONG}</p><p>{LONG}</p></div></div>" for i in (1, 2)) + "<div class=wrap><a href=1>more</a></div>",
+     ["Part 1", LONG, LONG, "Part 2", LONG, LONG]),
+    (f"<div><div class=w><div><p>{LONG}</p></div></div><div class=other><div><p>short</p></div></div></div>", [LONG]),
+])
+def test_form_wrappers_and_sibling_wrappers(page, want):
+    assert main_text(page) == "\n".join(clean(w) for w in want)
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<div>" * 20_000 + f"<p>{LONG}</p>" * 2_000, 2_000),
+    ("<div class='notice'>" * 20_000 + f"<p>{LONG}</p>" * 2_000, 2_000),
+    ("<b>" * 20_000 + "x" + "</b>" * 20_000 + f"<p>{LONG}</p>" * 500, 501),
+    ("<ul><li>" * 10_000 + f"<li>{LONG}" * 1_000, 1_000),
+    ("<div>" * 10_000 + f"<p>{LONG}</p></span></i>" * 2_000, 2_000),
+])
+def test_deep_pages_take_linear_time(page, blocks):
+    start = time.perf_counter()
+    lines = main_text(page).split("\n")
+    assert time.perf_counter() - start < 4
+    assert abs(len(lines) - blocks) <= 1
