@@ -2,12 +2,12 @@
 
 * Text: naive Bayes over hashed byte n-grams, counted over all documents of known language.
 * Markup: what pages declare (the ``lang`` attribute, or a meta element), as P(declared | language).
-* Address: the country or language sign in the url (last label of the host, first short part of the path), as
-  P(sign | language).
-* Host: P(language | host), drawn towards its domain, that towards its last label, and that towards all pages.
+* Address: the language sign in the url (first short part of the path), as P(sign | language), and the suffix (last label of the
+  host) as the widest level of the host's prior.
+* Host: P(language | host), drawn towards its domain, that towards its suffix, and that towards all pages.
 
-The last three are grouped aggregations of the text posteriors of all pages. A page's own posterior is taken out of its
-host's sums, so it is not counted twice.
+The last three are grouped aggregations of the text posteriors of all pages. A page's own posterior is taken out of all
+sums that it meets, so its text is not counted twice.
 """
 
 from __future__ import annotations
@@ -154,6 +154,11 @@ def _softmax(column: str, k: int):
     return {f"p{i}": parts[i] / total for i in range(k)}
 
 
+# Evidence beside the text that each language shows in its own measure, and the levels of the prior from wide to narrow.
+CHANNELS = ("declared", "path")
+LEVELS = ("label", "domain", "host")
+
+
 def identify_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """(page_id, lang, probability, text_lang, declared, host, posterior) of every row of ``pages`` (page_id, url, html).
 
@@ -182,31 +187,34 @@ def identify_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
     every = np.array([total[c] for c in p]) + SMOOTHING
     base = every / every.sum()
 
-    # P(value | language) of a channel: per value the share of each language's pages that show it, smoothed.
+    # P(value | language) of a channel: per value the share of each language's other pages that show it, smoothed. The last label of
+    # the host is a level of the prior and no channel, so it counts once.
+    own = {c: F.coalesce(F.col(c) * F.col("heard"), F.lit(0.0)) for c in p}
     out = seen
-    for channel in ("declared", "label", "path"):
+    for channel in CHANNELS:
         per = sums(channel)
         values = per.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(f"{channel}_{c}"), F.lit(0.0)).alias(c) for c in p]).first()
-        ratio = [
-            F.log((F.col(f"{channel}_{c}") + F.lit(SMOOTHING)) / F.lit(values[c] + SMOOTHING * max(values["n"], 1))).alias(f"{channel}_l{i}")
-            for i, c in enumerate(p)
-        ]
-        out = out.join(per.select(channel, *ratio), channel, "left")
-    for level in ("domain", "host"):
+        out = out.join(per, channel, "left")
+        shown = F.col(channel).isNotNull()
+        for i, c in enumerate(p):
+            others = F.greatest(F.coalesce(F.col(f"{channel}_{c}"), F.lit(0.0)) - own[c], F.lit(0.0))
+            every_other = F.greatest(F.lit(float(values[c])) - own[c], F.lit(0.0))
+            ratio = F.log((others + F.lit(SMOOTHING)) / (every_other + F.lit(SMOOTHING * max(values["n"], 1))))
+            out = out.withColumn(f"{channel}_l{i}", F.when(shown, ratio).otherwise(F.lit(0.0)))
+    for level in LEVELS:
         out = out.join(sums(level), level, "left")
-    out = out.join(sums("label"), "label", "left")
 
     # From all pages to the host, each level's counts without the page's own.
     prior = [F.lit(float(b)) for b in base]
-    for level in ("label", "domain", "host"):
-        own = [F.greatest(F.coalesce(F.col(f"{level}_{c}"), F.lit(0.0)) - F.coalesce(F.col(c) * F.col("heard"), F.lit(0.0)), F.lit(0.0)) for c in p]
-        n = sum(own[1:], own[0])
+    for level in LEVELS:
+        others = [F.greatest(F.coalesce(F.col(f"{level}_{c}"), F.lit(0.0)) - own[c], F.lit(0.0)) for c in p]
+        n = sum(others[1:], others[0])
         names = [f"{level}_q{i}" for i in range(k)]
-        out = out.withColumns({a: (o + F.lit(PRIOR_PAGES) * q) / (n + F.lit(PRIOR_PAGES)) for a, o, q in zip(names, own, prior, strict=True)})
+        out = out.withColumns({a: (o + F.lit(PRIOR_PAGES) * q) / (n + F.lit(PRIOR_PAGES)) for a, o, q in zip(names, others, prior, strict=True)})
         prior = [F.col(a) for a in names]
 
     def channel_log(i: int):
-        return sum((F.coalesce(F.col(f"{c}_l{i}"), F.lit(0.0)) for c in ("label", "path")), F.coalesce(F.col(f"declared_l{i}"), F.lit(0.0)))
+        return sum((F.col(f"{c}_l{i}") for c in CHANNELS[1:]), F.col(f"{CHANNELS[0]}_l{i}"))
 
     fused = F.array(*[F.col("text")[i] * F.col("heard") + channel_log(i) + F.log(prior[i]) for i in range(k)])
     out = out.withColumn("fused", fused).withColumns({f"f{i}": c for i, c in enumerate(_softmax("fused", k).values())})

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from recordlens.llm.common import block_of
+from recordlens.llm import language
 from recordlens.llm.language import address, declared_language, grams, identify_pages, train
 
 WORDS = {
@@ -68,3 +69,57 @@ def test_held_out_documents(spark):
 
     best = text_posteriors(pa.array([r["text"] for r in rest]), log).argmax(axis=1)
     assert np.mean([languages[b] == r["lang"] for b, r in zip(best, rest)]) > 0.97
+
+
+def test_fusion_equals_a_plain_computation(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in range(90):
+        x = list(WORDS)[n % 4]
+        host = ["a.x.fr", "b.x.fr", "y.fr", "z.com", "w.z.com", None][n % 6]
+        url = None if host is None else f"http://{host}/" + ("fr/p" if n % 5 == 0 else "")
+        text = "" if n % 7 == 0 else None
+        declared = x if n % 3 else None if n % 2 else "de"
+        rows.append((n, url, page(declared, n, text=x if text is None else "")[2]))
+    rows += [(200, None, None), (201, "http://new.host.xyz/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    languages, log = train(docs(spark))
+    seen = {r["page_id"]: r for r in language.evidence(pages, log).collect()}
+    k, S = len(languages), language.SMOOTHING
+
+    def softmax(v):
+        e = np.exp(np.array(v) - max(v))
+        return e / e.sum()
+
+    said = {i: softmax(r["text"]) * (r["letters"] > 0) for i, r in seen.items()}
+    every = sum(said.values()) + S
+    for r in identify_pages(pages, docs(spark)).collect():
+        i, own = r["page_id"], seen[r["page_id"]]
+        score = np.log(softmax(own["text"])) * (own["letters"] > 0)
+        for c in ("declared", "path"):
+            if own[c] is not None:
+                showing = [j for j in seen if seen[j][c] is not None]
+                same = sum((said[j] for j in showing if seen[j][c] == own[c] and j != i), np.zeros(k))
+                others = sum((said[j] for j in showing if j != i), np.zeros(k))
+                score = score + np.log((same + S) / (others + S * len({seen[j][c] for j in showing})))
+        prior = every / every.sum()
+        for level in ("label", "domain", "host"):
+            same = sum((said[j] for j in seen if own[level] is not None and seen[j][level] == own[level] and j != i), np.zeros(k))
+            prior = (same + language.PRIOR_PAGES * prior) / (same.sum() + language.PRIOR_PAGES)
+        want = softmax(score + np.log(prior))
+        assert np.allclose([r["posterior"][x] for x in languages], want, atol=2e-6), i
+
+
+def test_the_suffix_counts_once(spark):
+    """6 French and 4 English pages under .fr among many English ones: a page without text gets about the share of .fr."""
+    rows = [page("", n, text="fr" if n < 6 else "en", url=f"http://h{n}.s{n}.fr/") for n in range(10)]
+    rows += [page("", 100 + n, text="en", url=f"http://h{n}.s{n}.com/") for n in range(30)]
+    rows = [(i, u, h) for i, u, h, _ in rows] + [(999, "http://new.one.fr/", "")]
+    got = {r["page_id"]: r for r in identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs(spark)).collect()}
+    assert 0.35 < got[999]["posterior"]["fr"] < 0.65
+
+
+def test_a_very_long_page(spark):
+    long = "le les des que avec pour dans " * 120_000
+    got = identify_pages(spark.createDataFrame([(1, "http://x.fr/", f"<p>{long}</p>")], "page_id long, url string, html string"), docs(spark)).first()
+    assert got["lang"] == "fr" and got["probability"] > 0.9
