@@ -101,6 +101,13 @@ DOT_WORDS = "dot punkt point punto"
 # Words that name no host in running text.
 NO_HOST = "the a an this that le la les un une der die das ein el los"
 
+# Words that name no mailbox before a spelled "at" and an address written as usual, as in "find us at example.com".
+NO_MAILBOX = (
+    "us me him her them it you we they i he she be is are was were been look looking looked available hosted found find visit visiting online here "
+    "there site website page live based located read more see seen listed published posted online out up down back home now today not and or but "
+    "directly information details contact email mail reach held stay start starts started work works working worked arrived arrive"
+)
+
 _VALUE = {w: str(d) for d, ws in SPELLED.items() for w in ws.split()}
 _ANY_DIGIT = "|".join(sorted(_VALUE, key=len, reverse=True))
 _AT, _DOT = AT_WORDS.replace(" ", "|"), DOT_WORDS.replace(" ", "|")
@@ -111,24 +118,33 @@ _DOT_FORM = rf"(?:\s{{0,3}}{_OPEN}(?:{_DOT}|\.){_CLOSE}\s{{0,3}}|\s{{1,3}}(?:{_D
 _RUN = (
     rf"(?:\bplus[\s-]{{1,3}})?(?<![^\W_])(?:{_ANY_DIGIT}|[0-9])(?:[\s,-]{{1,3}}(?:{_ANY_DIGIT}|[0-9])(?![^\W_])){{3,}}"
 )
+# Four parts of one to three digits, spelled or not, with dots written out between them.
+_PART = rf"(?:[0-9]{{1,3}}(?![^\W_])|(?:{_ANY_DIGIT}|[0-9])(?:[\s,-]{{1,3}}(?:{_ANY_DIGIT}|[0-9])(?![^\W_])){{0,2}}(?![^\W_]))"
+_QUAD = rf"(?<![^\W_]){_PART}(?:{_DOT_FORM}{_PART}){{3}}"
+# A host as usual, perhaps with its last dots written out, at the end of a spelled "at".
+_HOST = rf"(?!(?:{_NO_HOST})\b)[a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,4}}(?:\.[a-z]{{2,24}}(?![\w-])|\.[a-z0-9-]{{1,63}}{_DOT_FORM}[a-z0-9-])"
+_NO_MAILBOX = frozenset(NO_MAILBOX.split())
+_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}(?:{_AT}|@){_CLOSE}\s{{0,3}}"
     rf"|\s{{1,3}}(?:{_AT})\s{{1,3}}(?=(?!(?:{_NO_HOST})\b)[a-z0-9-]{{1,63}}{_DOT_FORM}[a-z0-9-]))"
+    rf"|(?P<near>\s{{1,3}}(?:{_AT})\s{{1,3}}(?={_HOST}))|(?P<quad>{_QUAD})"
     rf"|(?P<dot>{_DOT_FORM})|(?P<run>{_RUN})",
     re.IGNORECASE,
 )
+_QUAD_PIECE = re.compile(rf"(?P<dot>{_DOT_FORM})|{_ANY_DIGIT}|[0-9]", re.IGNORECASE)
 _PIECE = re.compile(rf"plus|{_ANY_DIGIT}|[0-9]", re.IGNORECASE)
 
 # What makes a text worth rewriting, for the vectorised test. It holds of every text in which a transducer changes
 # anything: a character that folds (any beyond Latin-1 counts, and the Latin-1 ones that do), a sign in brackets, a spelled
-# dot, which a spelled "at" needs too, four digits of which one is spelled, or four digits after "plus". RE2's \s is not Python's.
+# dot, a spelled "at" before a host, four digits of which one is spelled, or four digits after "plus". RE2's \s is not Python's.
 _S = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}]"
 _E = rf"(?:{_ANY_DIGIT}|[0-9])"
 _GAP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0},-]{1,3}"
 _FOUR = "|".join(_GAP.join(rf"(?:{_ANY_DIGIT})" if i == k else _E for i in range(4)) for k in range(4))
 WORTH = (
     rf"(?i)[^\x00-\x{{ff}}\n]|[\x{{a0}}\x{{aa}}\x{{ad}}\x{{b2}}\x{{b3}}\x{{b9}}\x{{ba}}]"
-    rf"|[\[({{<]{_S}{{0,3}}(?:{_AT}|@|{_DOT}|\.){_S}{{0,3}}[\])}}>]|{_S}(?:{_DOT}){_S}"
+    rf"|[\[({{<]{_S}{{0,3}}(?:{_AT}|@|{_DOT}|\.){_S}{{0,3}}[\])}}>]|{_S}(?:{_DOT}){_S}|{_S}(?:{_AT}){_S}{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9-]"
     rf"|{_FOUR}|plus[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}-]{{1,3}}{_GAP.join([_E] * 4)}"
 )
 
@@ -167,6 +183,15 @@ def fold_characters(text: str) -> Rewritten:
     return Rewritten("".join(out), starts, ends, changed)
 
 
+def _is_mailbox(text: str, a: int, b: int) -> bool:
+    """Whether a spelled "at" between ``a`` and ``b`` parts a mailbox from a host and is no word of a sentence."""
+    name = _BEFORE_AT.search(text, max(0, a - 64), a).group().lower()
+    # "at noon.The next" is the end of a sentence.
+    host = re.match(r"[A-Za-z0-9.-]+", text[b : b + 330]).group().rstrip(".-")
+    last = host.rsplit(".", 1)[-1]
+    return bool(name.strip("._%+-")) and name not in _NO_MAILBOX and (last.islower() or last.isupper() or not last.isalpha())
+
+
 def spell_out(r: Rewritten) -> Rewritten:
     """Spelled digits to digits, and disguised signs to signs."""
     out, starts, ends, changed = [], [], [], []
@@ -196,8 +221,14 @@ def spell_out(r: Rewritten) -> Rewritten:
             for p in pieces:
                 word = p.group().lower()
                 write("+" if word == "plus" else _VALUE.get(word, word), *p.span(), len(word) > 1)
+        elif m.lastgroup == "quad":
+            for p in _QUAD_PIECE.finditer(r.text, a, b):
+                word = p.group().lower()
+                write("." if p["dot"] else _VALUE.get(word, word), *p.span(), len(word) > 1)
+        elif m.lastgroup == "near" and not _is_mailbox(r.text, a, b):
+            copy(a, b)
         else:
-            write("@" if m.lastgroup == "at" else ".", a, b)
+            write("." if m.lastgroup == "dot" else "@", a, b)
     copy(done, len(r.text))
     return Rewritten("".join(out), starts, ends, changed)
 

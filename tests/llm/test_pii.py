@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from recordlens.llm import pii
 from recordlens.llm.pii import KINDS, find_base, find_disguised, find_pii, luhn, redact
 
 SCHEMA = "doc_id long, text string, spans string, n_chars long"
@@ -122,3 +124,22 @@ def test_gate_changes_nothing(spark):
         assert sorted((s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"]) == want, text
         found += any(not s["base"] for s in r["spans"])
     assert found > 100
+
+
+@pytest.mark.parametrize("text, want", [
+    ("write to john at example.com today", [("email", "john at example.com")]),
+    ("john.doe at mail.example dot com!", [("email", "john.doe at mail.example dot com")]),
+    ("JOHN AT EXAMPLE.COM", [("email", "JOHN AT EXAMPLE.COM")]),
+    ("server one nine two dot one six eight dot one dot one is up", [("ip", "one nine two dot one six eight dot one dot one")]),
+    ("eins null punkt 20 punkt drei punkt vier", [("ip", "eins null punkt 20 punkt drei punkt vier")]),
+    ("10 dot 20 dot 30 dot four", [("ip", "10 dot 20 dot 30 dot four")]),
+    # No identifiers.
+    ("find us at example.com", []), ("we met at noon.The bus left", []), ("look at a.b", []), ("at example.com", []),
+    ("nine nine nine dot one dot one dot one", []), ("one dot two dot three", []), ("one thing dot two dot three dot four", []),
+])
+def test_words_for_signs_before_plain_parts(text, want):
+    found = list(pii._spans(pa.array([text])))
+    spans = [(pii.KINDS[k], text[a:b]) for _, s in found for k, a, b, base in s if not base]
+    assert spans == want
+    # The gate lets through whatever the rewriting finds.
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_disguised(text, pii.find_base(text))] == want
