@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from recordlens.llm.common import block_of, within
 
 # Words a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 700_000
 # Bytes of text whose words are looked up together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 # A text of visible ASCII and Latin-1 characters with single spaces or line feeds between words. Only
 # white space ends a word for both kinds of tokenizers here, so such words can be encoded one by one.
