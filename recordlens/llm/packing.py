@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import freed, store, text_slices, within
-from recordlens.llm.tokens import BATCH_BYTES, encoder
+from recordlens.llm.tokens import encoder, forget_encoders
 
 SEQUENCE = 2048
 QUANTUM = 256
+# Bytes of text that a task encodes at a time.
+SLICE_BYTES = 2 << 20
 # Sources of at most this many quanta are counted by one sorted table of their due times, larger ones by the closed form.
 FEW_QUANTA = 64
 
@@ -143,7 +145,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, spaces:
         enc = encoder(tokenizer, spaces)
         seen: dict[str, int] = {}
         for batch in batches:
-            for piece in text_slices(batch, limit=BATCH_BYTES):
+            for piece in text_slices(batch, limit=SLICE_BYTES):
                 ids, counts = enc.encode_ended(piece.column("text"), end_id)
                 ends = np.cumsum(counts)
                 raw = ids.tobytes()
@@ -194,6 +196,8 @@ def pack_documents(
     numbers = {q: i for i, q in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The workers that encoded are used again here.
+        forget_encoders()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from recordlens.llm.common import block_of, within
+from recordlens.llm.common import block_of, release_memory, within
 
 # Words a worker remembers before it starts anew.
 REMEMBERED = 700_000
@@ -194,3 +194,9 @@ def encoder(path: str, spaces: bool) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, spaces)
     return _encoders[key]
+
+
+def forget_encoders() -> None:
+    """Drop the worker's encoders and what they remember; a later stage that encodes nothing needs the memory."""
+    _encoders.clear()
+    release_memory()
