@@ -6,11 +6,14 @@
    and so the probability that a document with a pattern is bad.
 3. On a bounded sample, these probabilities train a linear scorer over hashed features.
 4. The scorer decides about every document.
+
+This is done for two traits, each with its own labellers, model and scorer: poor writing, and abuse of people. A document
+goes if either scorer rejects it; well written abuse has nothing in common with junk, so one model can't see both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import BASE, Block, RangeHash, block_of, freed, mix, space_words, text_slices
+from recordlens.llm.common import BASE, Block, RangeHash, block_of, freed, mix, plain_words, space_words, text_slices
 
 # Documents that train the scorer, at most.
 TRAINED_ON = 8_192
@@ -33,6 +36,23 @@ FUNCTION_WORDS = (
     "für ist im dem nicht ein eine als auch es an la le de les et des en un une du que qui dans pour est sur pas el los las "
     "y del se por con una su al lo como"
 )
+# Insults, by what they are, and words that wish people harm.
+INSULTING_NOUNS = (
+    "idiot idiots moron morons imbecile imbeciles cretin cretins scum scumbag scumbags loser losers clown clowns fool fools trash "
+    "garbage vermin parasite parasites pig pigs rat rats coward cowards dumbass jackass asshole assholes bastard bastards bitch "
+    "bitches freak freaks filth halfwit dimwit nitwit dunce simpleton lowlife degenerate degenerates subhuman "
+    "idioten dummkopf trottel abschaum versager arschloch schwachkopf "
+    "idiote idiots crétin abruti connard connasse salaud imbécile ordure "
+    "idiota idiotas imbécil escoria cabrón gilipollas basura"
+)
+INSULTING_ADJECTIVES = (
+    "stupid worthless pathetic disgusting dumb idiotic moronic brainless useless filthy vile despicable contemptible repulsive "
+    "revolting loathsome disgraceful ugly braindead spineless wretched "
+    "dumm wertlos erbärmlich widerlich ekelhaft "
+    "stupide minable dégoûtant pathétique "
+    "estúpido estúpida patético asqueroso"
+)
+HARMFUL_WISHES = "hate hates kill die hang rot drown burn suffer exterminate hasse verrecke stirb crève hais muere odio"
 SYMBOL, UPPER, LOWER, DIGIT, SPACE, MARK = range(6)
 KIND = np.full(256, SYMBOL, np.uint8)
 KIND[128:] = LOWER
@@ -42,6 +62,8 @@ KIND[48:58], KIND[65:91], KIND[97:123] = DIGIT, UPPER, LOWER
 # Letters, digits and bytes beyond ASCII become one sign each; marks and symbols stay what they are.
 SHAPE = np.arange(256, dtype=np.uint64)
 SHAPE[65:91], SHAPE[97:123], SHAPE[48:58], SHAPE[128:] = 65, 97, 48, 97
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
 
 # Measures, and per measure: number of what it needs, reject if beyond, keep if within (in order low to high).
 MEASURES = ("symbols", "capitals", "bars", "repeats", "distinct", "cries", "word_length", "function_words", "lines")
@@ -75,6 +97,15 @@ LABELLERS = (
     Labeller("function_words", 0.02, 0.08, 50, falling=True),  # share of words
     Labeller("lines", 0.5, 0.9, 4, falling=True),  # distinct lines per line
 )
+# One insult alone may be a quotation, so its labeller is silent; that of the share hears it in short texts only.
+ABUSE_MEASURES = ("nouns", "adjectives", "insults", "insult_share", "wishes")
+ABUSE_LABELLERS = (
+    Labeller("nouns", 2, 0),  # distinct insulting nouns
+    Labeller("adjectives", 2, 0),  # distinct insulting adjectives
+    Labeller("insults", 3, 0),  # all of them, with repeats
+    Labeller("insult_share", 0.01, 0.0005, 5),  # share of words
+    Labeller("wishes", 3, 0),  # harmful wishes in texts that also insult
+)
 
 
 def _word_hashes(words: str) -> np.ndarray:
@@ -130,9 +161,59 @@ def measures(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     }, words, lines
 
 
-def votes(block: Block, labellers: tuple[Labeller, ...] = LABELLERS) -> np.ndarray:
+_NOUNS, _ADJECTIVES, _WISHES = _word_hashes(INSULTING_NOUNS), _word_hashes(INSULTING_ADJECTIVES), _word_hashes(HARMFUL_WISHES)
+
+
+def _listed(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _small_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every word of letters and digits, A-Z in lower case."""
+    small = Block(SMALL[block.data], block.starts)
+    starts, ends = plain_words(small)
+    return np.searchsorted(small.starts, starts, side="right") - 1, RangeHash(small.data).of(starts, ends)
+
+
+def _abuse(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    noun, adjective, wish = (_listed(h, known) for known in (_NOUNS, _ADJECTIVES, _WISHES))
+    words = np.bincount(doc, minlength=n)
+    insults = np.bincount(doc[noun | adjective], minlength=n)
+    return {
+        "nouns": _distinct(doc[noun], h[noun], n),
+        "adjectives": _distinct(doc[adjective], h[adjective], n),
+        "insults": insults,
+        "insult_share": insults / np.maximum(words, 1),
+        "wishes": np.where(insults > 0, np.bincount(doc[wish], minlength=n), 0),
+    }, words
+
+
+def abuse_measures(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Every measure of abuse by document, and the numbers of words twice, in the form of :func:`measures`."""
+    found, words = _abuse(*_small_words(block), len(block.starts) - 1)
+    return found, words, words
+
+
+def abuse_features(block: Block, size: int = FEATURES) -> np.ndarray:
+    """A row per document: logarithmic counts of hashed words, scaled, and of its measures of abuse in steps."""
+    n = len(block.starts) - 1
+    doc, h = _small_words(block)
+    slot = (mix(h * np.uint64(BASE)) % np.uint64(size)).astype(np.int64)
+    counts = np.bincount(doc * size + slot, minlength=n * size).reshape(n, size)
+    total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    out = np.log1p(counts * (100.0 / total)).astype(np.float32)
+    found, _ = _abuse(doc, h, n)
+    row = np.arange(n)
+    for k, name in enumerate(ABUSE_MEASURES):
+        step = np.minimum(np.ceil(found[name] * (200 if name == "insult_share" else 1)), 4).astype(np.uint64)
+        place = mix((step + np.uint64(1000 * (k + 101))) * np.uint64(BASE)) % np.uint64(size)
+        out[row, place.astype(np.int64)] += 3.0
+    return out
+
+
+def votes(block: Block, labellers: tuple[Labeller, ...] = LABELLERS, measure: Callable = measures) -> np.ndarray:
     """The pattern of every document's votes, base 3, the first labeller in the lowest place."""
-    found, words, lines = measures(block)
+    found, words, lines = measure(block)
     out = np.zeros(len(words), np.int64)
     for k, lab in enumerate(labellers):
         out += lab.vote(found[lab.measure], lines if lab.measure == "lines" else words) * 3**k
@@ -161,6 +242,22 @@ def features(block: Block, size: int = FEATURES) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Trait:
+    """What makes a document go: the labellers that vote on it, their measures, and the scorer's features."""
+
+    labellers: tuple[Labeller, ...]
+    measure: Callable[[Block], tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]
+    features: Callable[[Block, int], np.ndarray]
+
+    def votes(self, block: Block) -> np.ndarray:
+        return votes(block, self.labellers, self.measure)
+
+
+POOR = Trait(LABELLERS, measures, features)
+ABUSIVE = Trait(ABUSE_LABELLERS, abuse_measures, abuse_features)
+
+
 # ---------------------------------------------------------------------------------------------
 
 
@@ -235,27 +332,27 @@ def _sampled(patterns: DataFrame, most: int) -> DataFrame:
     return near.orderBy("pick", "doc_id").limit(most)
 
 
-def fit(documents: DataFrame, most: int = TRAINED_ON, size: int = FEATURES) -> tuple[WeakModel, np.ndarray]:
-    """The weak-label model over all ``documents`` (doc_id, text), and the scorer's weights from at most ``most`` of them."""
+def fit(documents: DataFrame, most: int = TRAINED_ON, size: int = FEATURES, trait: Trait = POOR) -> tuple[WeakModel, np.ndarray]:
+    """The weak-label model of a trait over all ``documents`` (doc_id, text), and the scorer's weights from at most ``most`` of them."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(votes(block_of(part.column("text"))))], names=["pattern"])
+                yield pa.RecordBatch.from_arrays([pa.array(trait.votes(block_of(part.column("text"))))], names=["pattern"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     # At most 3 ** labellers rows come to the driver.
     counted = rows.select("text").mapInArrow(vote, "pattern long").groupBy("pattern").count().collect()
     patterns = np.array(sorted(r["pattern"] for r in counted), np.int64)
     by = {r["pattern"]: r["count"] for r in counted}
-    model = fit_weak_labels(patterns, np.array([by[p] for p in patterns.tolist()], np.float64), len(LABELLERS))
+    model = fit_weak_labels(patterns, np.array([by[p] for p in patterns.tolist()], np.float64), len(trait.labellers))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 block = block_of(part.column("text"))
-                x = features(block, size)
-                for i, p in enumerate(votes(block).tolist()):
+                x = trait.features(block, size)
+                for i, p in enumerate(trait.votes(block).tolist()):
                     at = np.flatnonzero(x[i])
                     yield pa.RecordBatch.from_arrays(
                         [part.column("pick").slice(i, 1), pa.array([p]), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
@@ -272,44 +369,49 @@ def fit(documents: DataFrame, most: int = TRAINED_ON, size: int = FEATURES) -> t
     return model, fit_scorer(x, model.posterior(np.array([r["pattern"] for r in sample], np.int64)))
 
 
-def _score(block: Block, model: WeakModel, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _score(block: Block, trait: Trait, model: WeakModel, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weak, score): P(bad) by the votes and by the scorer."""
-    x = features(block, len(weights) - 1)
+    x = trait.features(block, len(weights) - 1)
     z = (x.astype(np.float64) * weights[:-1]).sum(axis=1) + weights[-1]
-    return np.round(model.posterior(votes(block)), 6), np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
+    return np.round(model.posterior(trait.votes(block)), 6), np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
 
 def score_documents(documents: DataFrame, most: int = TRAINED_ON, reject_from: float = 0.5) -> DataFrame:
-    """(doc_id, weak, score, keep) of every row of ``documents`` (doc_id, text).
+    """(doc_id, weak, score, abuse_weak, abuse_score, keep) of every row of ``documents`` (doc_id, text).
 
-    ``weak`` is the probability of a bad document by the labellers' votes, ``score`` that of the trained scorer, to 6
-    places; ``keep`` is false from a score of ``reject_from`` on. A null text is empty; labellers that need more words than a
-    text has don't vote. Rows that repeat a doc_id, or have none, each keep their row; other columns are left out. An empty
-    table gives no rows. Whole texts are looked at.
+    ``weak`` is the probability of a badly written document by the labellers' votes, ``score`` that of the trained scorer,
+    to 6 places; ``abuse_weak`` and ``abuse_score`` are those of one that abuses people. ``keep`` is false where a score
+    is ``reject_from`` or more. A null text is empty; labellers that need more words than a text has don't vote. Rows that
+    repeat a doc_id, or have none, each keep their row; other columns are left out. An empty table gives no rows. Whole
+    texts are looked at.
     """
-    model, weights = fit(documents, most)
+    poor, abusive = fit(documents, most), fit(documents, most, trait=ABUSIVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                weak, score = _score(block_of(part.column("text")), model, weights)
+                block = block_of(part.column("text"))
+                weak, score = _score(block, POOR, *poor)
+                abuse_weak, abuse = _score(block, ABUSIVE, *abusive)
+                keep = (score < reject_from) & (abuse < reject_from)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(weak), pa.array(score), pa.array(score < reject_from)],
-                    names=["doc_id", "weak", "score", "keep"],
+                    [part.column("doc_id"), *map(pa.array, (weak, score, abuse_weak, abuse, keep))],
+                    names=["doc_id", "weak", "score", "abuse_weak", "abuse_score", "keep"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, weak double, score double, keep boolean")
+    return rows.mapInArrow(run, "doc_id long, weak double, score double, abuse_weak double, abuse_score double, keep boolean")
 
 
 def keep_good(documents: DataFrame, most: int = TRAINED_ON, reject_from: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that :func:`score_documents` keeps, all columns as they are."""
-    model, weights = fit(documents, most)
+    poor, abusive = fit(documents, most), fit(documents, most, trait=ABUSIVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                _, score = _score(block_of(part.column("text")), model, weights)
-                yield part.filter(pa.array(score < reject_from))
+                block = block_of(part.column("text"))
+                (_, score), (_, abuse) = _score(block, POOR, *poor), _score(block, ABUSIVE, *abusive)
+                yield part.filter(pa.array((score < reject_from) & (abuse < reject_from)))
 
     return documents.mapInArrow(freed(run), documents.schema)

@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 
 from recordlens.llm.common import block_of
 from recordlens.llm.quality import (
-    FUNCTION_WORDS, LABELLERS, features, fit, fit_scorer, fit_weak_labels, keep_good, measures, score_documents, votes,
+    ABUSE_LABELLERS, ABUSIVE, FUNCTION_WORDS, HARMFUL_WISHES, INSULTING_ADJECTIVES, INSULTING_NOUNS, LABELLERS, abuse_measures, features, fit,
+    fit_scorer, fit_weak_labels, keep_good, measures, score_documents, votes,
 )
 
 SCHEMA = "doc_id long, text string, score string"
@@ -67,8 +70,11 @@ def test_held_out_labels(spark):
     assert len(got) == docs.count()
     # The labels are used here only, not in training.
     labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
-    good = [got[r["doc_id"]]["keep"] for r in labels if r["quality"] == 1]
-    bad = [got[r["doc_id"]]["keep"] for r in labels if r["quality"] == 0]
+    # The score of writing is right for all; whether a document stays also depends on abuse.
+    good = [got[r["doc_id"]]["score"] < 0.5 for r in labels if r["quality"] == 1]
+    bad = [got[r["doc_id"]]["score"] < 0.5 for r in labels if r["quality"] == 0]
+    stays = [got[r["doc_id"]]["keep"] for r in labels if r["quality"] == 1 and r["toxic"] == 0]
+    assert sum(stays) / len(stays) > 0.99
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.05
     model, _ = fit(docs)
     assert len(model.accuracies()) == len(LABELLERS)
@@ -81,3 +87,48 @@ def test_edge_rows(spark):
     assert keep_good(df).columns == df.columns
     assert score_documents(df.limit(0)).count() == 0 and keep_good(df.limit(0)).count() == 0
     assert votes(block_of(pa.array([None], pa.string()))).tolist() == [votes(block_of(pa.array([""]))).tolist()[0]]
+
+
+INSULTS = ["", "You IDIOT, you Moron!", "idiotic idiots' idiot_idiot trash-can", "Un crétin, CRÉTIN; die die hate", "I hate to die", "clownfish " * 40 + "clown"]
+
+
+def test_abuse_measures_equal_a_plain_count():
+    nouns, adjectives, wishes = (set(x.split()) for x in (INSULTING_NOUNS, INSULTING_ADJECTIVES, HARMFUL_WISHES))
+    found, words, _ = abuse_measures(block_of(pa.array([*INSULTS, None])))
+    for i, t in enumerate([*INSULTS, ""]):
+        small = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", small)
+        bad = [x for x in w if x in nouns | adjectives]
+        assert words[i] == len(w)
+        assert found["nouns"][i] == len(set(w) & nouns) and found["adjectives"][i] == len(set(w) & adjectives)
+        assert found["insults"][i] == len(bad) and abs(found["insult_share"][i] - len(bad) / max(len(w), 1)) < 1e-12
+        assert found["wishes"][i] == (sum(x in wishes for x in w) if bad else 0)
+
+
+def test_well_written_abuse_goes_and_a_quotation_stays(spark):
+    rng = np.random.default_rng(5)
+    plain = "the of and to in that house river garden walks reads slowly morning letter bread window table answer people".split()
+
+    def prose(n):
+        return " ".join(rng.choice(plain, n)) + "."
+
+    clean = [(i, prose(120), "x") for i in range(180)]
+    abuse = [(200 + i, f"{prose(60)} You are a worthless idiot and a pathetic loser. {prose(60)}", "x") for i in range(20)]
+    quoted = [(300, f"{prose(100)} He was once called a fool. {prose(100)}", "x"), (301, prose(100) + " Put the trash out.", "x")]
+    df = spark.createDataFrame([*clean, *abuse, *quoted], SCHEMA)
+    assert sorted(r["doc_id"] for r in keep_good(df).collect()) == [*range(180), 300, 301]
+    # Without any abuse in the table nobody is accused of it.
+    assert keep_good(spark.createDataFrame(clean, SCHEMA)).count() == 180
+
+
+def test_abuse_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    insulting = {r["doc_id"] for r in docs.collect() if r["text"] and re.search(r"\b(idiot|moron|worthless|pathetic|stupid|scum)\b", r["text"].lower())}
+    kept = {r["doc_id"] for r in keep_good(docs).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    toxic = [r["doc_id"] for r in labels if r["toxic"] == 1 and r["doc_id"] in insulting]
+    clean = [r["doc_id"] for r in labels if r["toxic"] == 0 and r["quality"] == 1]
+    assert toxic and sum(d in kept for d in toxic) / len(toxic) < 0.05 and sum(d in kept for d in clean) / len(clean) > 0.99
+    model, _ = fit(docs, trait=ABUSIVE)
+    assert len(model.accuracies()) == len(ABUSE_LABELLERS)
