@@ -107,7 +107,7 @@ def test_abuse_measures_equal_a_plain_count():
 
 def test_well_written_abuse_goes_and_a_quotation_stays(spark):
     rng = np.random.default_rng(5)
-    plain = "the of and to in that house river garden walks reads slowly morning letter bread window table answer people".split()
+    plain = "the of and to in that is with".split() * 20 + [a + b for a in "bar ten lor min sal ped vir con".split() for b in "der ing mal on at est ur il".split()] * 4
 
     def prose(n):
         return " ".join(rng.choice(plain, n)) + "."
