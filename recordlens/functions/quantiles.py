@@ -125,7 +125,8 @@ def quantiles(
 
     def value_of(name: str, weight: Column) -> Column:
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        return (low + (high - low) * weight).alias(name)
+        # Equal neighbours may be infinite.
+        return F.when(low == high, low).otherwise(low + (high - low) * weight).alias(name)
 
     return found.select(*by, *[value_of(name, weight) for name, (_, _, weight) in ranks.items()])
 
