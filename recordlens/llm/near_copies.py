@@ -1,13 +1,14 @@
-"""Near copies: SimHash fingerprints drop what cannot be alike, the exact Jaccard similarity of word shingles decides.
-
-1. Every text gets the set of hashes of its shingles, and from it 32 band values of five minimum hashes each. A pair of
-   similarity s shares no band value with probability (1 - s^5)^32, whatever the length of the texts: 3e-6 at 0.8.
-2. Texts that share a band value are candidates. First each is compared with its neighbour in a random order of
-   every list, which joins dense groups with few pairs; then all pairs of a list that are not yet in one component, by a task
-   that holds the list's sets.
-3. Of long candidates, those go whose SimHash fingerprints are farther apart than sets of that similarity ever are, short of a
-   chance below 1e-6; no sets are shipped for them.
-4. Every other pair is decided by its two whole sets. Pairs from the similarity on become components.
+"""Near copies: operator 9 finds pairs by SimHash, the exact Jaccard similarity of word shingles decides, and band values complete them.
+
+1. Every text gets its SimHash fingerprint of operator 9 and the set of hashes of its shingles.
+2. Fingerprints that are equal or within operator 9's radius, by its generalised pigeonhole, give the first candidates.
+3. Pairs of the similarity may lie beyond that radius, so each set also gets 32 band values of five minimum hashes each. A pair
+   of similarity s shares no band value with probability (1 - s^5)^32, whatever the length of the texts: 3e-6 at 0.8.
+   Each text of a list of equal band values is a candidate with its neighbour in a random order of the list, which joins
+   dense groups with few pairs; then all pairs of a list that are not yet in one component, by a task that holds the list's sets.
+4. Of long candidates by band values, those go whose wide SimHash fingerprints are farther apart than sets of that similarity
+   ever are, short of a chance below 1e-6; no sets are shipped for them.
+5. Every other pair is decided by its two whole sets. Pairs from the similarity on become components.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from recordlens.llm.common import (
     BASE, Block, RangeHash, block_of, freed, mix, shuffle_partitions, space_words, store, text_slices, window_hashes, within,
 )
 from recordlens.llm.components import components
+from recordlens.llm.simhash import fingerprint, near_links
 
 BANDS, ROWS = 32, 5
 # Members of a list, and hashes of their sets, that one task compares with each other; longer lists are cut into pairs of parts.
@@ -110,7 +113,7 @@ def _named(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def _sets(texts: DataFrame, shingle: int, banded: bool) -> DataFrame:
-    """The set of each text: its name ``fp`` and either its size and band values, or its fingerprint and hashes."""
+    """The set of each text: its name ``fp`` and either its size, band values and the text's ``print`` of operator 9, or its wide fingerprint and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +124,13 @@ def _sets(texts: DataFrame, shingle: int, banded: bool) -> DataFrame:
                     rows = iter(bands(hashes, bounds))
                     sizes = np.diff(bounds)
                     keys = [next(rows).tobytes() if n else None for n in sizes.tolist()]
+                    prints = [fingerprint(t) for t in pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("seal"), fp, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())],
-                        names=["doc_id", "seal", "fp", "n", "keys"],
+                        [
+                            part.column("doc_id"), part.column("seal"), fp, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                            pa.array(prints, pa.binary()),
+                        ],
+                        names=["doc_id", "seal", "fp", "n", "keys", "print"],
                     )
                 else:
                     grams = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -133,10 +140,25 @@ def _sets(texts: DataFrame, shingle: int, banded: bool) -> DataFrame:
                     )
 
     return texts.mapInArrow(
-        freed(run), "doc_id long, seal long, fp binary, n long, keys binary" if banded else "fp binary, sim binary, grams binary"
+        freed(run),
+        "doc_id long, seal long, fp binary, n long, keys binary, print binary" if banded else "fp binary, sim binary, grams binary",
     )
 
 
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """(a, b): sets of texts whose fingerprints are equal or linked by operator 9, as pairs of one set per fingerprint.
+
+    The links are enough to join all fingerprints that the radius joins, so pairs grow with the texts.
+    """
+    prints = store(rows.groupBy(F.col("print").alias("fp")).agg(F.min("fp").alias("of")), "near-prints")
+    left, right = (prints.select(F.col("fp").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab")
+    linked = near_links(prints.select("fp")).join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    # Sets of texts with one fingerprint, as shingles that repeat or move leave it as it is.
+    equal = rows.select("print", "fp").distinct().join(prints.select(F.col("fp").alias("print"), "of"), "print")
+    pairs = linked.unionByName(equal.select(F.col("fp").alias("a"), F.col("of").alias("b")))
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _listed(distinct: DataFrame) -> DataFrame:
     """(key, fp, n): every set under each of its band values."""
 
@@ -306,7 +328,9 @@ def near_copies(documents: DataFrame, shingle: int, similarity: float) -> DataFr
     listed = _listed(distinct)
     crowded = listed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
     listed = store(listed.join(crowded, "key"), "near-crowded")
-    wanted = distinct.join(listed.select("fp").distinct(), "fp", "left_semi").select("one.*")
+    pairs = store(_by_fingerprint(rows), "near-pairs")
+    met = listed.select("fp").unionByName(pairs.select(F.col("a").alias("fp"))).unionByName(pairs.select(F.col("b").alias("fp")))
+    wanted = distinct.join(met.distinct(), "fp", "left_semi").select("one.*")
     texts = plain.join(
         wanted.select(F.col("doc_id").alias("_id"), F.col("seal").alias("_seal")),
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("seal") == F.col("_seal")), "left_semi",
@@ -314,7 +338,7 @@ def near_copies(documents: DataFrame, shingle: int, similarity: float) -> DataFr
     sets = _sets(texts.select("text"), shingle, banded=False).groupBy("fp").agg(F.first("sim").alias("sim"), F.first("grams").alias("grams"))
     sets = store(sets, "near-grams")
     listed = store(listed.join(sets.select("fp", "sim"), "fp").join(distinct.select("fp", "keys"), "fp"), "near-listed")
-    first = store(_neighbours(listed, most_differing(similarity)), "near-first")
+    first = store(pairs.unionByName(_neighbours(listed, most_differing(similarity))).distinct(), "near-first")
     links = store(_verified(first, sets, similarity), "near-links")
     roots = components(links)
     more = store(_across(listed, roots, sets, similarity), "near-more")

@@ -11,7 +11,7 @@ from recordlens.llm import decontaminate, near_copies, packing, pii, quality
 from recordlens.llm.common import store
 from recordlens.llm.tokens import tokenizer_path
 
-# Five words and a similarity of 0.8 or more, decided by the whole sets of every candidate pair.
+# Five words and a similarity of 0.8 or more, decided by the whole sets of every pair that operator 9 or a band value finds.
 NEAR_COPIES = {"shingle": 5, "similarity": 0.8}
 VOCABULARY, END_ID = "byte_bpe_50k.json", 1
 
@@ -22,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least doc_id; see :mod:`recordlens.llm.near_copies`."""
+    """One document of each group of near copies, that of the least doc_id: operator 9 with an exact check, see :mod:`recordlens.llm.near_copies`."""
     return near_copies.keep_first(docs, **NEAR_COPIES)
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from recordlens.llm import near_copies, stages
+from recordlens.llm import near_copies, simhash, stages
 from recordlens.llm.near_copies import keep_first
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -132,3 +132,34 @@ def test_repeated_ids_lose_only_the_copy(spark):
     kept = sorted(((r["doc_id"], r["text"]) for r in keep_first(df, 5, 0.8).collect()), key=str)
     assert kept == sorted([(d, t) for d, t, _ in rows if (d, t) not in ((2, "A B C D E F"), (8, ""))], key=str)
     assert keep_first(df.limit(0), 5, 0.8).count() == 0
+
+
+def edited(rng, size):
+    """A text, the same with its last word changed, and both once more with other spacing and case."""
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(size)]
+    near = [*words[:-1], "other"]
+    return [" ".join(words), " ".join(near), "  ".join(words).upper(), "\n".join(near)]
+
+
+def test_operator_9_finds_pairs_without_band_values(spark, monkeypatch):
+    """The stage lists candidates by SimHash within the operator's radius; without lists of band values these pairs are left."""
+    listed = near_copies._listed
+    monkeypatch.setattr(near_copies, "_listed", lambda distinct: listed(distinct).limit(0))
+    rng = random.Random(3)
+    texts = [t for size in (60, 120, 400, 700, 900) for t in edited(rng, size)]
+    rows = [(i, t, "") for i, t in enumerate(texts)]
+    prints = [int.from_bytes(simhash.fingerprint(t.encode())) for t in texts]
+    want = {i: min(j for j in range(i + 1) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS) for i in range(len(texts))}
+    assert any(prints[i] != prints[j] for i, j in want.items())  # not only equal fingerprints
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {r["doc_id"] for r in stages.near_dedup(spark, df, "").collect()} == set(want.values())
+
+
+def test_pairs_of_operator_9_are_checked(spark):
+    """Fingerprints count repeats and sets do not: equal fingerprints of sets that share little are no near copies."""
+    often = "a " * 2000
+    rows = [(i, often + " ".join(f"{x}{k}" for k in range(30)), "") for i, x in enumerate("xyz")]
+    assert len({simhash.fingerprint(t.encode()) for _, t, _ in rows}) == 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert near_copies._by_fingerprint(near_copies._sets(df.withColumn("seal", df["doc_id"]), 5, True)).count() == 2
+    assert {r["doc_id"] for r in stages.near_dedup(spark, df, "").collect()} == {0, 1, 2}
