@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.runtime import materialize
 
+# Rows of a group that one task puts in order by itself; larger groups are spread over tasks.
+TASK_ROWS = 100_000
+
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -73,19 +76,27 @@ def large_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
 
 
-def places_in_groups(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], hot: DataFrame | None, name: str) -> DataFrame:
-    """``df`` with ``name``: 0, 1, ... within each group, in ``order``.
+def places_in_groups(
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], hot: DataFrame | None, name: str, size: str | None = None
+) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... within each group, in ``order``; and with ``size``, if given, the rows of the group.
 
     ``hot`` names groups whose rows are too many for one task, by some or all of the columns of ``by``. They are range
     partitioned by group and place, so such a group is spread over many tasks, and places follow from the rows before each
     partition and the first one of a group. All others take one shuffle and a window.
     """
     window = W.partitionBy(*by).orderBy(*_cols(order))
+    places = {name: F.row_number().over(window) - 1}
+    sizes = []
+    if size:
+        # One sort serves both windows.
+        places[size] = F.count(F.lit(1)).over(W.partitionBy(*by))
+        sizes = [F.count(F.lit(1)).alias(size)]
     if hot is None:
-        return df.withColumn(name, F.row_number().over(window) - 1)
+        return df.withColumns(places)
     keys = hot.select(*[c for c in hot.columns if c in by])
-    regular = df.join(keys, keys.columns, "left_anti").withColumn(name, F.row_number().over(window) - 1)
+    regular = df.join(keys, keys.columns, "left_anti").withColumns(places)
     ranked = global_rank(df.join(keys, keys.columns, "left_semi"), [*by, *order], "_in_all")
-    first = ranked.groupBy(*by).agg(F.min("_in_all").alias("_group_at"))
+    first = ranked.groupBy(*by).agg(F.min("_in_all").alias("_group_at"), *sizes)
     placed = ranked.join(first, list(by)).withColumn(name, (F.col("_in_all") - F.col("_group_at")).cast("int"))
     return regular.unionByName(placed.drop("_in_all", "_group_at"))

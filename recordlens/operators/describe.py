@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recordlens.functions.comoments import MOMENT_SCHEMA, merge_rows, moment_batch, moment_rows
 from recordlens.functions.quantiles import LINEAR, NEAREST, quantile_scalar, quantiles
 from recordlens.functions.ranking import top_per_group
-from recordlens.functions.runtime import bind, exact_sum, percent
+from recordlens.functions.runtime import bind, exact_sum, materialize, percent
 from recordlens.functions.scalars import coerce_number, decade_bucket, share_band, tier
 from recordlens.operators.profile import per_column, union_all
 
@@ -253,7 +253,8 @@ def child_density_from_nested(df: DataFrame, array_cols: Sequence[str], key: str
     """
     sizes = df.select(*([key] if key else []), *[F.greatest(F.size(c), F.lit(0)).cast("long").alias(c) for c in array_cols])
     if key:
-        sizes = sizes.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in array_cols]).drop(key)
+        # Stored, as it is read several times and the arrays behind it are much larger.
+        sizes = materialize(sizes.groupBy(key).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in array_cols]).drop(key))
     filled = [F.when(F.col(c) > 0, F.col(c)) for c in array_cols]
     n = F.count(F.lit(1))
     stats = per_column(

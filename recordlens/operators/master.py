@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.functions.ranking import dedupe_first, large_groups, places_in_groups
+from recordlens.functions.ranking import TASK_ROWS, dedupe_first, large_groups, places_in_groups
 from recordlens.functions.runtime import materialize
 from recordlens.functions.scalars import has_child_flags, total_related
 
@@ -78,36 +78,39 @@ def _records(df: DataFrame, key: str, drop: Sequence[str]) -> tuple[DataFrame, l
 
 
 def nest_children(
-    df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT
+    df: DataFrame, key: str, child: Child, limit: int = RECORD_LIMIT, spread: int | None = None
 ) -> DataFrame:
     """(key, chunk, chunks, records, record_count) for every key, ``limit`` records per row.
 
     Chunks follow each other in the order of the child, so most keys have chunk 0 of 1 and a
     large one just has more rows; ``record_count`` counts those of the row. One scan and one shuffle by key, which later
-    joins by key need no more. Keys of more records than a row holds are found first, from the keys alone, and their
-    records are spread by place, so no task gathers a hot key.
+    joins by key need no more. Keys of more records than ``spread`` are found first, from the keys alone, and their
+    records are spread by place, so no task gathers a hot key; without it, those that neither a row nor a task holds.
     """
-    return _nested(df, key, child, limit).drop("total")
+    return _nested(df, key, child, limit, spread).drop("total")
 
 
-def _nested(df: DataFrame, key: str, child: Child, limit: int) -> DataFrame:
+def _nested(df: DataFrame, key: str, child: Child, limit: int, spread: int | None = None) -> DataFrame:
     """:func:`nest_children` with ``total``, the records of the key in all its rows."""
     rows, fields = _records(df, key, child.drop)
-    hot = _hot_keys(rows, key, limit)
-    placed = places_in_groups(rows, [key], child.order, hot, "_place")
+    spread = spread or max(limit, TASK_ROWS)
+    hot = _hot_keys(rows, key, spread)
+    whole = hot is None and limit >= spread
+    placed = places_in_groups(rows, [key], child.order, hot, "_place", None if whole else "_total")
     record = F.struct(F.col("_place").alias("p"), F.struct(*fields).alias("r"))
     nested = (
         placed.withColumn("chunk", F.floor(F.col("_place") / limit).cast("int"))
         .groupBy(key, "chunk")
-        .agg(F.transform(F.sort_array(F.collect_list(record)), lambda x: x["r"]).alias("records"))
+        .agg(
+            F.transform(F.sort_array(F.collect_list(record)), lambda x: x["r"]).alias("records"),
+            *([] if whole else [F.max("_total").alias("total")]),
+        )
         .withColumn("record_count", F.size("records").cast("long"))
     )
-    if hot is None:
+    if whole:
         return nested.select(key, "chunk", F.lit(1).alias("chunks"), "records", "record_count", F.col("record_count").alias("total"))
-    total = F.coalesce("rows", "record_count")
-    return nested.join(hot, key, "left").select(
-        key, "chunk", F.ceil(total / limit).cast("int").alias("chunks"), "records", "record_count", total.alias("total")
-    )
+    chunks = F.ceil(F.col("total") / limit).cast("int").alias("chunks")
+    return nested.select(key, "chunk", chunks, "records", "record_count", "total")
 
 
 def build_master(

@@ -95,6 +95,26 @@ def test_one_scan_and_one_shuffle_per_child(spark, tmp_path):
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Broadcast" not in plan
 
 
+def test_small_keys_of_several_chunks_take_one_shuffle(spark, tmp_path):
+    """A low limit makes many chunks but no hot keys: no range partitioning and no second shuffle of the records."""
+    path = str(tmp_path / "c")
+    spark.range(50).selectExpr("id % 7 as k", "id as pos").write.parquet(path)
+    rows = spark.read.parquet(path)
+    nested = M.nest_children(rows, "k", M.Child(rows, ("pos",), drop=()), limit=3)
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "hashpartitioning(k" in plan
+    got = {(r["k"], r["chunk"]): r for r in nested.collect()}
+    for k in range(7):
+        whole = list(range(k, 50, 7))
+        parts = [whole[i : i + 3] for i in range(0, len(whole), 3)]
+        assert [[x["pos"] for x in got[k, c]["records"]] for c in range(len(parts))] == parts
+        assert {(got[k, c]["chunks"], got[k, c]["record_count"]) for c in range(len(parts))} == {(3, 3), (3, len(parts[-1]))}
+    assert len(got) == 21
+    # The same with keys of more than 7 records spread by place.
+    spread = M.nest_children(rows, "k", M.Child(rows, ("pos",), drop=()), limit=3, spread=7)
+    assert sorted(spread.collect()) == sorted(nested.collect())
+
+
 def test_unnest_skips_what_is_no_record(spark):
     texts = ["[]", "null", None, '{"k":1}', "[1]", "[{", '[{"k":1,"y":"a"},{"k":2.5}, 3, null]', "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, js string")

@@ -145,7 +145,7 @@ def nest_chunks(t: Tables) -> DataFrame:
 @query("nest_hot_keys", _CHUNKED_SQL.replace("// 4", "// 6").replace("+ 3)", "+ 5)"))
 def nest_hot_keys(t: Tables) -> DataFrame:
     """Orders of 7 lines are found to be too large for a row and spread by place."""
-    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t), limit=6)
+    nested = M.nest_children(_lines(t), "o_orderkey", _line_child(t), limit=6, spread=6)
     return nested.select("o_orderkey", "chunk", "chunks", "record_count", _digest().alias("digest"))
 
 
