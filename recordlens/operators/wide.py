@@ -16,6 +16,8 @@ from recordlens.operators.master import restrict_to_ids
 SEPARATOR = " | "
 # Values of a cell; a column with more has further parts.
 ROW_LIMIT = 100_000
+# Rows of an entity that a row holds while its values are put in order; the values of larger entities are spread.
+HELD_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -45,23 +47,60 @@ def _as_text(t: WideTable, key: str, ids: DataFrame) -> DataFrame:
     )
 
 
-def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+def wide_table(t: WideTable, key: str, ids: DataFrame, limit: int = ROW_LIMIT, held: int = HELD_ROWS) -> DataFrame:
     """(key, part, one column per column): the distinct values of each, joined in first-seen order.
 
-    ``limit`` values per part; most entities have part 0 alone. Values are reduced to distinct ones
-    with their first place before the shuffle, whatever the number of rows of an entity. A column
-    without values in a part is null there. The values of entities with more rows than a part holds are spread by place.
+    ``limit`` values per part; most entities have part 0 alone. A column without values in a part is null there. Entities of at
+    most ``held`` rows take one shuffle by key. The values of others are reduced to distinct ones with their first place before
+    the shuffle, whatever their number of rows, and spread by place.
     """
+    rows = _as_text(t, key, ids)
+    # Counted from the keys alone.
+    keys = restrict_to_ids(t.df.select(F.col(t.key).alias(key)), key, ids)
+    hot = materialize(large_groups(keys.filter(F.col(key).isNotNull()), [key], held))
+    if hot.isEmpty():
+        return _small_entities(t, key, rows, limit)
+    hot = hot.select(key)
+    small = _small_entities(t, key, rows.join(hot, key, "left_anti"), limit)
+    return small.unionByName(_large_entities(t, key, rows.join(hot, key, "left_semi"), hot, limit))
+
+
+def _small_entities(t: WideTable, key: str, rows: DataFrame, limit: int) -> DataFrame:
+    """:func:`wide_table` of entities whose rows fit into a row."""
+    names = [f"_v{i}" for i in range(len(t.columns))]
+    ordered = F.sort_array(F.collect_list(F.struct("_o", *[F.col(c).alias(v) for c, v in zip(t.columns, names, strict=True)])))
+    held = rows.groupBy(key).agg(ordered.alias("_rows"))
+
+    def values(v: str) -> Column:
+        """Distinct and filled, in first-seen order; of one place the lesser value comes first."""
+        ties = F.size(F.array_distinct("_rows._o")) < F.size("_rows")
+        pairs = F.sort_array(F.transform("_rows", lambda r: F.struct(r["_o"].alias("o"), r[v].alias("v"))))
+        seen = F.when(ties, F.transform(pairs, lambda x: x["v"])).otherwise(F.col(f"_rows.{v}"))
+        return F.array_except(seen, F.array(F.lit(None).cast("string"))).alias(v)
+
+    wide = held.select(key, *[values(v) for v in names])
+    most = F.greatest(F.lit(0), *[F.size(v) for v in names])
+
+    def cells(cut) -> list[Column]:
+        return [F.when(F.size(c) > 0, F.array_join(c, SEPARATOR)).alias(f"{t.name}_{n}") for n, c in zip(t.columns, map(cut, names), strict=True)]
+
+    one = F.array(F.struct(F.lit(0).alias("part"), *cells(F.col)))
+    several = F.transform(
+        F.sequence(F.lit(0), F.floor((most - 1) / limit).cast("int")),
+        lambda p: F.struct(p.alias("part"), *cells(lambda v: F.slice(v, p * limit + 1, limit))),
+    )
+    return wide.filter(most > 0).select(key, F.inline_outer(F.when(most <= limit, one).otherwise(several)))
+
+
+def _large_entities(t: WideTable, key: str, rows: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
+    """:func:`wide_table` of the entities in ``hot``."""
     distinct = (
-        _as_text(t, key, ids).unpivot([key, "_o"], t.columns, "column", "value")
+        rows.unpivot([key, "_o"], t.columns, "column", "value")
         .filter(F.col("value").isNotNull())
         .groupBy(key, "column", "value")
         .agg(F.min("_o").alias("_first"))
     )
-    # An entity has no more values of a column than rows, and these are counted from the keys alone.
-    keys = restrict_to_ids(t.df.select(F.col(t.key).alias(key)), key, ids)
-    hot = materialize(large_groups(keys.filter(F.col(key).isNotNull()), [key], limit))
-    placed = places_in_groups(distinct, [key, "column"], ["_first", "value"], None if hot.isEmpty() else hot, "_place")
+    placed = places_in_groups(distinct, [key, "column"], ["_first", "value"], hot, "_place")
     ordered = F.sort_array(F.collect_list(F.struct("_place", "value")))
     cells = (
         placed.withColumn("part", F.floor(F.col("_place") / limit).cast("int"))

@@ -124,6 +124,21 @@ def test_unnest_skips_what_is_no_record(spark):
     assert [r["record"]["k"] for r in M.unnest_records(df, "id", "js", schema).collect()] == [1.0, 2.5]
 
 
+def test_small_entities_of_several_parts_take_one_shuffle(spark, tmp_path):
+    """Places that tie, null places and values, and a low limit: as with spread entities, and values are not shuffled again."""
+    path = str(tmp_path / "c")
+    rows = [(i % 5, [i // 10, None][i % 13 == 0], [f"v{i * 7 % 6}", None, "nan"][i % 11 // 9], i * 3 % 4) for i in range(90)]
+    spark.createDataFrame([*rows, (7, 1, None, None), (None, 1, "x", 1)], "k long, pos int, t string, n long").write.parquet(path)
+    t = N.WideTable("x", spark.read.parquet(path), "k", ("pos",))
+    ids = spark.createDataFrame([(0,), (1,), (2,), (3,), (7,), (9,)], "k long")
+    small, large = N.wide_table(t, "k", ids, limit=2), N.wide_table(t, "k", ids, limit=2, held=0)
+    plan = N.wide_table(t, "k", F.broadcast(ids), limit=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    assert small.dtypes == large.dtypes
+    got = sorted(map(tuple, small.collect()), key=str)
+    assert got == sorted(map(tuple, large.collect()), key=str) and {r[1] for r in got} == set(range(5)) and {r[0] for r in got} == {0, 1, 2, 3, 7}
+
+
 def test_wide_values_in_first_seen_order(spark):
     df = spark.createDataFrame(
         [(1, 1, "b", 2.0), (1, 2, "a", None), (1, 3, "b", 1.0), (1, 4, "nan", 2.0), (2, 1, "", None)],
